@@ -82,10 +82,10 @@ o AS (
     CASE so WHEN 'manual' THEN 0 WHEN 'imported' THEN 1 WHEN 'distilled' THEN 2 WHEN 'session' THEN 3 WHEN 'claude-auto' THEN 4 ELSE 5 END AS c,
     CASE WHEN regexp_matches(u, '^\d+$') THEN to_timestamp(CAST(u AS BIGINT))
          WHEN regexp_matches(u, '(Z|[+-]\d\d:\d\d)$') THEN TRY_CAST(u AS TIMESTAMPTZ)
-         ELSE TRY_CAST(TRY_CAST(u AS TIMESTAMP) || '+00' AS TIMESTAMPTZ) END AS at,
+         ELSE TRY_CAST(TRY_CAST(u AS TIMESTAMP) || '+00' AS TIMESTAMPTZ) END AS stamp,
     count(*) OVER (PARTITION BY k) AS n
   FROM r),
-g AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY gone, s, c, at DESC NULLS LAST, id DESC) AS p FROM o WHERE n > 1),
+g AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY gone, s, c, stamp DESC NULLS LAST, id DESC) AS p FROM o WHERE n > 1),
 f AS (
   SELECT k, 'record' AS field, id, p FROM g
   UNION ALL SELECT k, 'value', id, p FROM g WHERE regexp_replace(value, '[\s\p{{Z}}]+', '', 'g') <> ''
