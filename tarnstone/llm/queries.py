@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnstone.llm import components, encode, leaks, near, residue, split, truth
+from tarnstone.llm import components, encode, forest, leaks, names, near, residue, split, truth
 from tarnstone.storage import table
 
 
@@ -16,6 +16,14 @@ def _tokenizer(name: str) -> tuple[str, str]:
     return public_tokenizers.path(name), public_tokenizers.PATTERN
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return names.variant_pairs(table(spark, sf, "people"))
+
+
+def p1_entities(spark: SparkSession, sf: str) -> DataFrame:
+    return names.link_people(table(spark, sf, "people"))
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return truth.survivors(table(spark, sf, "memory"))
 
@@ -48,6 +56,11 @@ def p6_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return _pieces(spark, sf)
 
 
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = forest.memory_vectors(table(spark, sf, "memory"), table(spark, sf, "reembed_staging"))
+    return forest.named(forest.nearest(vectors))
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode.encode_corpus(table(spark, sf, "documents"), *_tokenizer("byte_bpe_50k.tiktoken"))
 
@@ -65,7 +78,7 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (p2_found, p2_supported, p4_found, p5_found, p5_groups, p6_found, p6_pieces, p8_ids, p9_found, p9_kept, p10_found)
+    found = (p1_found, p1_entities, p2_found, p2_supported, p4_found, p5_found, p5_groups, p6_found, p6_pieces, p7_found, p8_ids, p9_found, p9_kept, p10_found)
     return {f.__name__: f for f in found}
 
 
