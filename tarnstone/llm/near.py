@@ -12,7 +12,7 @@ never meet each other. Then:
 2. Ring. Each set has a 128-bit parity sketch whose bits are a ring of eight segments; in any arc of the ring two sketches
    differ in at most as many bits as the sets differ in words of that arc. If all differences are within the budget, then
    from some segment on every chain of 1, 2, .. 8 consecutive segments stays within its proportional part of the budget.
-   Pairs without such a chain are dropped inside the join, before anything is exchanged.
+   Pairs without such a chain are dropped where they meet, before anything is exchanged.
 3. Check. The pairs that are left fetch their words, and the Hamming distance is counted in full.
 
 Sets whose words are too few or too frequent for step 1 (their segments can't absorb enough) are compared exactly too:
@@ -28,6 +28,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,8 @@ from tarnstone.storage import cut
 
 NUM, DEN = 7, 10
 CAP, GROUPS, BUCKETS = 128, 4, 1 << 20
+#: Rows of one signature that a task compares; rows read before a comparison starts.
+HOT_ROWS, BATCH_ROWS = 100_000, 1 << 19
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 _MASK = (1 << 64) - 1
 
@@ -119,24 +122,99 @@ def with_sketch(sets: DataFrame) -> DataFrame:
     return sets.mapInPandas(run, "cid long, n int, a long, b long, w array<long>")
 
 
-def _budget(num: int, den: int) -> str:
-    return f"((l.n + r.n) * {den - num} div {den + num})"
+def ring(x: np.ndarray, budget: np.ndarray) -> np.ndarray:
+    """Step 2 for the differing bits x (pairs by two words): has some segment all its chains within the budget?"""
+    part = np.bitwise_count(np.ascontiguousarray(x).view(np.uint16)).astype(np.int32)  # eight segments of 16 bits
+    around = np.concatenate([part, part[:, :7]], axis=1)
+    ok, chain = np.ones(part.shape, bool), np.zeros(part.shape, np.int32)
+    for size in range(1, 9):
+        chain = chain + around[:, size - 1 : size + 7]
+        ok &= chain * 8 <= size * budget[:, None]
+    return ok.any(axis=1)
 
 
-def ring(num: int = NUM, den: int = DEN) -> str:
-    """SQL condition of step 2 on rows l and r: some start has all its chains within the proportional budget."""
-    b = _budget(num, den)
-    part = lambda k: f"bit_count((l.{'ab'[k // 4]} ^ r.{'ab'[k // 4]}) & {0xFFFF << (16 * (k % 4)) if k % 4 < 3 else -(1 << 48)}L)"
-    starts = []
-    for s in range(8):
-        # the whole ring is within the budget already; shorter chains are tested for every start
-        chains = [" + ".join(part((s + i) % 8) for i in range(size)) + f" <= {size} * {b} div 8" for size in (1, 2, 4)]
-        starts.append("(" + " AND ".join(chains) + ")")
-    whole = f"bit_count(l.a ^ r.a) + bit_count(l.b ^ r.b) <= {b}"
-    return f"{whole} AND ({' OR '.join(starts)})"
+def met(cols: list[np.ndarray], num: int, den: int) -> list[np.ndarray]:
+    """Pairs (lo, hi) of the rows (key.., cid, n, a, b, side), sorted by key, that share a key and pass step 2.
+
+    The rows of a key are compared at growing distance; rows whose key has ended drop out, so the work is the number of
+    pairs. Sides keep the pairs of a split key apart: 0 meets all, else only the other side.
+    """
+    key, cell, cid, n, a, b, side = cols
+    ab = np.stack([a, b], axis=1).view(np.uint64)
+    last, d, out = len(key) - 1, 1, []
+    i = np.flatnonzero((key[1:] == key[:-1]) & (cell[1:] == cell[:-1]))
+    while len(i):
+        x = ab[i] ^ ab[i + d]
+        budget = (n[i].astype(np.int64) + n[i + d]) * (den - num) // (den + num)
+        near = np.flatnonzero(np.bitwise_count(x).sum(axis=1, dtype=np.int32) <= budget)
+        if len(near):
+            near = near[ring(x[near], budget[near])]
+            p, q = i[near], i[near] + d
+            keep = (cid[p] != cid[q]) & ((side[p] == 0) | (side[p] != side[q]))
+            p, q = cid[p[keep]], cid[q[keep]]
+            out.append(np.stack([np.minimum(p, q), np.maximum(p, q)]))
+        d += 1
+        i = i[i + d <= last]
+        i = i[(key[i + d] == key[i]) & (cell[i + d] == cell[i])]
+    return list(np.unique(np.concatenate(out, axis=1), axis=1)) if out else []
+
+
+def meeting(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """(lo, hi), distinct: the pairs of rows (sig, cell, cid, n, a, b, side) that share sig and cell and pass step 2."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+
+        def flush(final: bool) -> Iterator[pa.RecordBatch]:
+            cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+            held.clear()
+            if not final:  # the rows of the last key may go on in the next batch
+                tail = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]))
+                stop = tail[-1] + 1 if len(tail) else 0
+                held.append([c[stop:] for c in cols])
+                cols = [c[:stop] for c in cols]
+            if len(cols[0]) > 1 and (pairs := met(cols, num, den)):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], names=["lo", "hi"])
+
+        for batch in batches:
+            held.append([c.to_numpy() for c in batch.columns])
+            if sum(len(h[0]) for h in held) >= BATCH_ROWS and (held[0][0][0] != held[-1][0][-1] or held[0][1][0] != held[-1][1][-1]):
+                yield from flush(False)
+        if held:
+            yield from flush(True)
+
+    sorted_ = rows.repartition("sig", "cell").sortWithinPartitions("sig", "cell")
+    return sorted_.mapInArrow(run, "lo long, hi long").distinct()
+
+
+def cells(rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Adds (cell, side) to signature rows: a signature of more than ``hot_rows`` rows is spread over a triangular grid.
+
+    Its rows are hashed into as many blocks as it needs, and a row goes to the cells of its block with every block, so
+    each pair of rows still meets exactly once and no task holds the whole. Signatures are counted in hash buckets, whose
+    number follows the rows; buckets without such a signature cost one count and no replica.
+    """
+    buckets = max(1, rows.count() // 1000)
+    slot = F.pmod(F.xxhash64("sig"), F.lit(buckets))
+    hot = cut(rows.groupBy(slot.alias("slot")).count().where(F.col("count") > hot_rows), "hot")
+    plain = rows.withColumns({"cell": F.lit(0).cast("long"), "side": F.lit(0).cast("long")})
+    if hot.isEmpty():
+        return plain
+    at = rows.withColumn("slot", slot)
+    blocks = F.ceil(F.col("count") / hot_rows).cast("long")
+    mine = F.pmod(F.xxhash64("cid", F.lit(7)), F.col("blocks"))
+    spread = (
+        at.join(hot, "slot").withColumn("blocks", blocks).withColumn("mine", mine)
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        .withColumn("cell", 1 + F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other"))
+        .withColumn("side", F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).cast("long"))
+    )
+    cols = [*rows.columns, "cell", "side"]
+    cold = at.join(hot.select("slot"), "slot", "left_anti").withColumns({"cell": F.lit(0).cast("long"), "side": F.lit(0).cast("long")})
+    return cold.select(cols).unionByName(spread.select(cols))
 
 
-def similar_classes(sets: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
+def similar_classes(sets: DataFrame, num: int = NUM, den: int = DEN, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(lo BIGINT, hi BIGINT): pairs of classes, from a table (cid, n, w) that has each word set once."""
     spark = sets.sparkSession
     base = cut(with_sketch(sets), "sets")
@@ -172,13 +250,12 @@ def similar_classes(sets: DataFrame, num: int = NUM, den: int = DEN) -> DataFram
 
     form = "sig long, cid long, n int, a long, b long"
     slim = base.select("cid", "n", "a", "b", "w")
-    sig = slim.mapInPandas(sign, form)
-    on = F.expr(f"l.sig = r.sig AND l.cid < r.cid AND {ring(num, den)}")
-    found = sig.alias("l").join(sig.alias("r").hint("merge"), on).select(F.col("l.cid").alias("lo"), F.col("r.cid").alias("hi"))
+    sig = cut(slim.mapInPandas(sign, form), "signatures")
+    found = meeting(cells(sig, hot_rows).select("sig", "cell", "cid", "n", "a", "b", "side"), num, den)
     few = cut(slim.mapInPandas(short, form), "short")
     if not few.isEmpty():
         every = slim.select(F.explode("w").alias("sig"), "cid", "n", "a", "b").join(few.select("sig").distinct(), "sig", "left_semi")
-        on = F.expr(f"l.sig = r.sig AND l.cid <> r.cid AND {ring(num, den)}")
+        on = F.expr(f"l.sig = r.sig AND l.cid <> r.cid AND bit_count(l.a ^ r.a) + bit_count(l.b ^ r.b) <= (l.n + r.n) * {den - num} div {den + num}")
         found = found.unionByName(
             few.alias("l").join(every.alias("r"), on).select(F.least("l.cid", "r.cid").alias("lo"), F.greatest("l.cid", "r.cid").alias("hi"))
         )
