@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnstone.llm import components, encode, forest, leaks, names, near, residue, split, truth
+from tarnstone.llm import components, encode, forest, leaks, names, near, residue, split, truth, turns
 from tarnstone.storage import table
 
 
@@ -32,6 +32,18 @@ def p2_supported(spark: SparkSession, sf: str) -> DataFrame:
     return truth.supported_values(table(spark, sf, "memory"))
 
 
+def _turns(spark: SparkSession, sf: str, pauses: bool) -> DataFrame:
+    return turns.speaker_turns(table(spark, sf, "meetings"), table(spark, sf, "meeting_people"), table(spark, sf, "people"), pauses)
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _turns(spark, sf, False).select("meeting_id", "turn_no", "person_id")
+
+
+def p3_turns(spark: SparkSession, sf: str) -> DataFrame:
+    return _turns(spark, sf, True)
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return components.consolidate(table(spark, sf, "memory"), table(spark, sf, "memory_conflicts"))
 
@@ -78,7 +90,7 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (p1_found, p1_entities, p2_found, p2_supported, p4_found, p5_found, p5_groups, p6_found, p6_pieces, p7_found, p8_ids, p9_found, p9_kept, p10_found)
+    found = (p1_found, p1_entities, p2_found, p2_supported, p3_found, p3_turns, p4_found, p5_found, p5_groups, p6_found, p6_pieces, p7_found, p8_ids, p9_found, p9_kept, p10_found)
     return {f.__name__: f for f in found}
 
 
