@@ -26,6 +26,7 @@ def query(name: str, sql: str | None = None):
 
 def _load() -> None:
     """Import the modules that register queries."""
+    from tarnstone.queries import relational  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
