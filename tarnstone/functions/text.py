@@ -153,14 +153,28 @@ def stem(word: str) -> str:
     return w
 
 
-def tokens(text: str, parts: bool = True, stems: bool = True) -> list[tuple[int, str, bool]]:
-    """(position, term, is a part): words of letters and digits, folded and stemmed; parts share their word's position."""
-    out = []
+def word_terms(word: str, parts: bool, stems: bool) -> list[tuple[str, bool]]:
+    """(term, is a part) of one word."""
+    form = fold_word(word)
+    out = [(stem(form) if stems else form, False)]
+    if parts:
+        out += [(stem(fold_word(p)) if stems else fold_word(p), True) for p in word_parts(word)]
+    return out
+
+
+def tokens(text: str, parts: bool = True, stems: bool = True, known: dict | None = None) -> list[tuple[int, str, bool]]:
+    """(position, term, is a part): words of letters and digits, folded and stemmed; parts share their word's position.
+
+    ``known`` keeps the terms of words between calls, for a caller with many texts.
+    """
+    known, out = {} if known is None else known, []
     for at, word in enumerate(re.findall(r"[^\W_]+", unicodedata.normalize("NFC", text))):
-        form = fold_word(word)
-        out.append((at, stem(form) if stems else form, False))
-        if parts:
-            out += [(at, stem(fold_word(p)) if stems else fold_word(p), True) for p in word_parts(word)]
+        terms = known.get(word)
+        if terms is None:
+            if len(known) > 200_000:
+                known.clear()
+            terms = known[word] = word_terms(word, parts, stems)
+        out += [(at, t, p) for t, p in terms]
     return out
 
 

@@ -16,7 +16,7 @@ def match_class(name: Column, wanted: str) -> Column:
 
 def lines(files: DataFrame, key: list[str], body: str) -> DataFrame:
     """(key, line_no, line): the lines of every file, without a trailing empty one; carriage returns removed."""
-    text = F.regexp_replace(F.regexp_replace(F.col(body), "\r(\n|$)", "$1"), "\n$", "")
+    text = F.regexp_replace(F.regexp_replace(F.col(body), r"\r(\n|\z)", "$1"), r"\n\z", "")
     return files.select(*key, F.posexplode(F.split(text, "\n")).alias("at", "line")).select(*key, (F.col("at") + 1).alias("line_no"), "line")
 
 
