@@ -1,12 +1,13 @@
 """Ranked keyword search: postings, corpus statistics, phrase and prefix matches, weighted BM25, three tiers.
 
 The statistics (rows, rows per phrase, mean length) are those of all rows of the index; filters come after scoring, so a
-status or a date never changes a score. A query is a handful of phrases; its prefixes reach the postings as a filter, and
-only the postings that match are shuffled.
+status or a date never changes a score. Without stems a search needs no index: words are counted in the scan, two passes
+without a shuffle. ``postings`` and ``bm25`` are the form for a stored index, with stems and word parts.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -90,38 +91,98 @@ def bm25(index: DataFrame, rows: DataFrame, wanted: list[list[str]], weights: di
     return scored.where(F.col("phrases") == len(wanted)) if every else scored
 
 
-def substring_hits(df: DataFrame, source: Source, query: str) -> DataFrame:
+def _prefix(tokens: list[str]) -> str:
+    """Zero-width pattern that matches where a phrase starts: each place is counted once, overlapping ones too."""
+    return "(?<![a-z0-9])(?=" + "[^a-z0-9]+".join(tokens) + ")"
+
+
+def scan(df: DataFrame, source: Source, wanted: list[list[str]]) -> tuple[DataFrame, list[Column]]:
+    """Rows with ``len`` and ``tf0..`` (weighted occurrences of each phrase), and each phrase's part of the score.
+
+    The words are counted where they are read: no token leaves its row. One pass gathers the statistics of all rows (one
+    number a phrase), a second one scores.
+    """
+    low = {c: F.coalesce(X.ascii_lower(F.col(c).cast("string")), F.lit("")) for c in source.weights}
+    length, tf = F.lit(0), [F.lit(0.0)] * len(wanted)
+    for c, w in source.weights.items():
+        length = length + F.regexp_count(low[c], F.lit("[a-z0-9]+"))
+        tf = [t + F.lit(w) * F.regexp_count(low[c], F.lit(_prefix(p))) for t, p in zip(tf, wanted, strict=True)]
+    rows = df.withColumns({"len": length, **{f"tf{k}": t for k, t in enumerate(tf)}})
+    got = rows.agg(F.count("*").alias("n"), F.sum("len").alias("total"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(wanted))]).first()
+    n, mean = got["n"], (got["total"] or 0) / max(1, got["n"])
+    parts = []
+    for k in range(len(wanted)):
+        idf = max(math.log((n - got[f"df{k}"] + 0.5) / (got[f"df{k}"] + 0.5)), 1e-6)
+        t = F.col(f"tf{k}")
+        parts.append(F.when(t > 0, F.lit(idf) * t * 2.2 / (t + 1.2 * (0.25 + 0.75 * F.col("len") / F.lit(mean or 1.0)))).otherwise(0.0))
+    return rows, parts
+
+
+def scan_bm25(df: DataFrame, source: Source, wanted: list[list[str]], every: bool = True) -> DataFrame:
+    """(doc, score, phrases) as ``bm25``, without an index."""
+    rows, parts = scan(df, source, wanted)
+    found, score = F.lit(0), F.lit(0.0)
+    for k, p in enumerate(parts):
+        found, score = found + (F.col(f"tf{k}") > 0).cast("int"), score + p
+    scored = rows.select(F.col(source.key).alias("doc"), (-score).alias("score"), found.cast("bigint").alias("phrases"))
+    return scored.where(F.col("phrases") == len(wanted) if every else F.col("phrases") > 0)
+
+
+def substring_hit(source: Source, query: str) -> Column:
     hit = F.lit(False)
     for c in source.like():
         hit = hit | F.coalesce(X.contains_literal(F.col(c).cast("string"), query), F.lit(False))
-    return df.where(hit).select(F.col(source.key).alias("doc"))
+    return hit
+
+
+def substring_hits(df: DataFrame, source: Source, query: str) -> DataFrame:
+    return df.where(substring_hit(source, query)).select(F.col(source.key).alias("doc"))
 
 
 def search(df: DataFrame, source: Source, query: str, keep: Column | None = None, stems: bool = False, loose: bool = True) -> DataFrame:
     """(doc, tier, place, score): strict hits by BM25, then substring hits, then at most ten any-term hits.
 
-    ``keep`` filters records after they were scored. An empty query finds nothing.
+    ``keep`` filters records after they were scored. An empty query finds nothing. Only the hits of any tier are kept
+    for ranking; they are written once.
     """
     spark = df.sparkSession
-    strict_terms = phrases(X.sanitize(query), stems)
-    kept = df.where(keep).select(F.col(source.key).alias("doc")) if keep is not None else None
     if not query.strip():
         return spark.createDataFrame([], "doc long, tier int, place int, score double")
-    only = lambda f: f.join(kept, "doc", "left_semi") if kept is not None else f
-    index = postings(df, source, stems)
-    frames = []
-    if strict_terms:
-        hit = only(bm25(index, df, strict_terms, source.weights)).withColumn("g", F.lit(0))
-        frames.append(first_per(hit, ["g"], F.col("score"), F.col("doc"), n=1 << 30, rank="place").select("doc", "place", "score"))
-    sub = only(substring_hits(df, source, query)).withColumn("g", F.lit(0))
-    frames.append(first_per(sub, ["g"], F.col("doc"), n=1 << 30, rank="place").select("doc", "place", F.lit(None).cast("double").alias("score")))
-    found = tiers(frames, "doc")
-    terms = phrases(X.loose_terms(query) or [], stems) if loose else []
-    if terms:
-        rest = only(bm25(index, df, terms, source.weights, every=False)).join(found.select("doc"), "doc", "left_anti")
-        # a top list of ten
-        rest = rest.orderBy("score", "doc").limit(X.LOOSE_LIMIT).withColumn("g", F.lit(0))
-        rest = first_per(rest, ["g"], F.col("score"), F.col("doc"), n=X.LOOSE_LIMIT, rank="place").select("doc", "place", "score")
+    strict = phrases(X.sanitize(query), stems)
+    any_ = phrases(X.loose_terms(query) or [], stems) if loose else []
+    kept = F.coalesce(keep, F.lit(False)) if keep is not None else F.lit(True)
+    if stems:
+        index = cut(postings(df, source, stems), "postings")  # read several times: Python tokenises once
+        none = df.select(F.col(source.key).alias("doc")).limit(0).withColumn("score", F.lit(0.0))
+        a = bm25(index, df, strict, source.weights).select("doc", F.col("score").alias("strict")) if strict else none.select("doc", F.col("score").alias("strict"))
+        b = bm25(index, df, any_, source.weights, every=False).select("doc", F.col("score").alias("loose")) if any_ else none.select("doc", F.col("score").alias("loose"))
+        flags = df.select(F.col(source.key).alias("doc"), substring_hit(source, query).alias("sub"), kept.alias("kept"))
+        hits = flags.join(a, "doc", "left").join(b, "doc", "left").where("kept AND (sub OR strict IS NOT NULL OR loose IS NOT NULL)").drop("kept")
+    else:
+        every = strict + any_
+        rows, parts = scan(df, source, every)
+        total = lambda ps: sum(ps[1:], ps[0])
+        has = [F.col(f"tf{k}") > 0 for k in range(len(every))]
+        n = len(strict)
+        all_, some = F.lit(bool(n)), F.lit(False)
+        for h in has[:n]:
+            all_ = all_ & h
+        for h in has[n:]:
+            some = some | h
+        hits = rows.where(kept).select(
+            F.col(source.key).alias("doc"),
+            substring_hit(source, query).alias("sub"),
+            (F.when(all_, -total(parts[:n])) if n else F.lit(None).cast("double")).alias("strict"),
+            (F.when(some, -total(parts[n:])) if any_ else F.lit(None).cast("double")).alias("loose"),
+        ).where("sub OR strict IS NOT NULL OR loose IS NOT NULL")
+    hits = cut(hits, "hits").withColumn("g", F.lit(0))
+    # the ranks below are over hits: a list that a person asked for
+    first = first_per(hits.where("strict IS NOT NULL"), ["g"], F.col("strict"), F.col("doc"), n=1 << 30, rank="place").select("doc", "place", F.col("strict").alias("score"))
+    second = first_per(hits.where("sub"), ["g"], F.col("doc"), n=1 << 30, rank="place").select("doc", "place", F.lit(None).cast("double").alias("score"))
+    found = tiers([first, second], "doc")
+    if any_:
+        rest = hits.where("strict IS NULL AND NOT sub AND loose IS NOT NULL").orderBy("loose", "doc").limit(X.LOOSE_LIMIT)
+        rest = first_per(rest, ["g"], F.col("loose"), F.col("doc"), n=X.LOOSE_LIMIT, rank="place").select("doc", "place", F.col("loose").alias("score"))
         found = found.unionByName(rest.withColumn("tier", F.lit(2)))
     return found.select("doc", "tier", "place", "score")
 

@@ -37,8 +37,7 @@ _STRICT = f"WITH {bm25_sql('documents', 'doc_id', DOCS.weights, ['retry', 'queue
 
 @query("fts_strict", _STRICT)
 def _(s, d):
-    docs = T(s, d, "documents")
-    return FT.bm25(FT.postings(docs, DOCS), docs, FT.phrases(X.sanitize("retry queue")), DOCS.weights).select("doc", F.round("score", 6).alias("score"))
+    return FT.scan_bm25(T(s, d, "documents"), DOCS, FT.phrases(X.sanitize("retry queue"))).select("doc", F.round("score", 6).alias("score"))
 
 
 @query("fts_01_postings", f"SELECT term, count(*) AS n FROM (SELECT unnest({tok('text')}) AS term FROM documents WHERE text IS NOT NULL UNION ALL SELECT unnest({tok('title')}) FROM documents WHERE title IS NOT NULL) GROUP BY term")
@@ -60,14 +59,13 @@ def _(s, d):
 
 @query("fts_04_bm25_memory", f"WITH {bm25_sql('memory', 'id', MEMORY.weights, ['index'], True)} SELECT doc, round(score, 6) AS score FROM b")
 def _(s, d):
-    m = T(s, d, "memory")
-    return FT.bm25(FT.postings(m, MEMORY), m, [["index"]], MEMORY.weights).select("doc", F.round("score", 6).alias("score"))
+    return FT.scan_bm25(T(s, d, "memory"), MEMORY, [["index"]]).select("doc", F.round("score", 6).alias("score"))
 
 
 @query("fts_05_filter_after", f"WITH {bm25_sql('memory', 'id', MEMORY.weights, ['cache', 'session'], True)} SELECT doc, round(score, 6) AS score FROM b JOIN memory m ON m.id = doc WHERE m.status = 'active'")
 def _(s, d):
     m = T(s, d, "memory")
-    hit = FT.bm25(FT.postings(m, MEMORY), m, [["cache"], ["session"]], MEMORY.weights)
+    hit = FT.scan_bm25(m, MEMORY, [["cache"], ["session"]])
     return hit.join(m.where("status = 'active'").select(F.col("id").alias("doc")), "doc", "left_semi").select("doc", F.round("score", 6).alias("score"))
 
 
