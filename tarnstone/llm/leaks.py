@@ -142,4 +142,4 @@ def leaks(documents: DataFrame, items: DataFrame, n: int = N, max_item_bytes: in
 def without_leaks(documents: DataFrame, items: DataFrame, n: int = N) -> DataFrame:
     """The documents in which no item leaked, with all their columns (null texts stay)."""
     bad = leaks(documents, items, n).select(F.col("doc_id").alias("_leaked")).distinct()
-    return documents.join(bad, documents["doc_id"].cast("long") == F.col("_leaked"), "left_anti")
+    return documents.join(bad, documents["doc_id"].cast("long") == bad["_leaked"], "left_anti")

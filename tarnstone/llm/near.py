@@ -219,7 +219,7 @@ def similar_classes(sets: DataFrame, num: int = NUM, den: int = DEN, hot_rows: i
     spark = sets.sparkSession
     base = cut(with_sketch(sets), "sets")
     n_sets = max(1, base.count())
-    counted = base.select(F.explode("w").alias("x")).groupBy((F.col("x").bitwiseAND(BUCKETS - 1)).cast("int").alias("k")).count().toPandas()
+    counted = base.select(F.explode("w").alias("x")).groupBy((F.col("x").bitwiseAND(BUCKETS - 1)).cast("int").alias("k")).count().toArrow()
     freq = np.zeros(BUCKETS, np.int64)
     freq[counted["k"].to_numpy()] = counted["count"].to_numpy()
     df = spark.sparkContext.broadcast(np.minimum(freq, (1 << 31) - 1).astype(np.int32))
