@@ -7,7 +7,7 @@ Three kinds of evidence are combined for each document:
 * comparison of terms: does the body use any word of the title or of the address slug (the last part of the source)?
 * host evidence: how many documents, under how many titles and sources, carry the same body once case, digits and page
   furniture are masked. A short body, without a term of its title, that many titles of several sources share is the
-  response of a machine; together with a weak detector (a status number, a lone notice word) it counts as found.
+  response of a machine; together with a weak detector (a lone notice word) it counts as found.
 
 Only a fingerprint and the counts are shuffled, never the texts; the counts are combined on the map side, so a body
 that a third of all documents share is as cheap as any other.
@@ -31,59 +31,60 @@ PLACEHOLDERS = (
     r"\$[A-Z][A-Z0-9_]{2,}\$",
     r"(?<![\w`])__[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*__(?![\w`])",
     r"\bTODO_[A-Z_]+_HERE\b",
-    r"(?i)\{\s*(?:insert|enter|your|add|fill in)\b[^{}\n]{0,40}\}",
-    r"(?i)\[\s*(?:insert|enter|your|add|fill in|placeholder|name|insérer|votre|insertar|inserte|tu|su|nombre del?|hier|bitte)\b[^\[\]\n]{0,40}\](?!\()",
+    r"(?iu)\{\s*(?:insert|enter|your|add|fill in)\b[^{}\n]{0,40}\}",
+    r"(?iu)\[\s*(?:insert|enter|your|add|fill in|placeholder|name|insérer|votre|insertar|inserte|tu|su|nombre del?|hier|bitte)\b[^\[\]\n]{0,40}\](?!\()",
     r"(?<![\w%$({,\"'])\{\d\}(?![\w\"')}])",
 )
 # Filler phrases.
 FILLER = (
-    r"(?i)\blorem ipsum\b",
-    r"(?im)^\W*(?:sample text|text goes here|placeholder paragraph|content goes here|your (?:text|content) (?:goes )?here)\b",
-    r"(?i)\badd a description for this project\b",
-    r"(?i)\bheading 1 heading 2\b",
-    r"(?i)\bclick to (?:edit|add text)\b",
-    r"(?i)\bbeispieltext, bitte ersetzen\b",
-    r"(?i)\btexte d['’]exemple à remplacer\b",
-    r"(?i)\btexto de (?:ejemplo|muestra|relleno)\b",
-    r"(?i)\b(?:asdf|qwer|qwerty)\b(?:\s+\b(?:asdf|qwer|qwerty)\b)+",
-    r"(?i)\bx{3,}(?:\s+x{3,}){1,}\b",
-    r"(?i)\btest test test\b",
+    r"(?iu)\blorem ipsum\b",
+    r"(?imu)^\W*(?:sample text|text goes here|placeholder paragraph|content goes here|your (?:text|content) (?:goes )?here)\b",
+    r"(?iu)\badd a description for this project\b",
+    r"(?iu)\bheading 1 heading 2\b",
+    r"(?iu)\bclick to (?:edit|add text)\b",
+    r"(?iu)\bbeispieltext, bitte ersetzen\b",
+    r"(?iu)\btexte d['’]exemple à remplacer\b",
+    r"(?iu)\btexto de (?:ejemplo|muestra|relleno)\b",
+    r"(?iu)\b(?:asdf|qwer|qwerty)\b(?:\s+\b(?:asdf|qwer|qwerty)\b)+",
+    r"(?iu)\bx{3,}(?:\s+x{3,}){1,}\b",
+    r"(?iu)\btest test test\b",
 )
 # Phrases of error pages.
 ERRORS = (
-    r"(?i)\b(?:http (?:error|status) ?)?(?:40[0-9]|41[0-9]|429|50[0-9])\s*(?:[|:–-]\s*)?(?:not found|forbidden|unauthorized|bad request|bad gateway|gateway time-?out|internal server error|service (?:temporarily )?unavailable|too many requests|interner serverfehler|seite nicht gefunden)",
-    r"(?i)\bthe page you (?:asked for|requested|are looking for) (?:could not be|cannot be|was not) found",
-    r"(?i)\bservice temporarily unavailable\b",
-    r"(?i)\bpage introuvable\b",
-    r"(?i)\bseite nicht gefunden\b",
-    r"(?i)\bp[áa]gina no encontrada\b",
-    r"(?i)\binterner serverfehler\b",
-    r"(?i)\berror interno del servidor\b",
-    r"(?i)\berreur interne du serveur\b",
-    r"(?im)^\W*access denied\b",
-    r"(?i)\byour session has expired\b",
-    r"(?i)\bthis content is no longer available\b",
-    r"(?i)\bthe requested note was deleted or never existed\b",
-    r"(?i)\btoo many requests\. slow down\b",
-    r"(?i)\bwe are checking your browser\b",
-    r"(?i)\bthe server met an unexpected condition\b",
-    r"(?i)\bfatal error: uncaught exception\b",
-    r"(?i)\bupstream request timeout\b",
-    r"(?i)\bdatabase connection failed\b",
-    r"(?i)\boops! something went wrong\b",
-    r"(?is)\A\s*\{\s*\"error\"\s*:",
+    r"(?iu)\b(?:http (?:error|status) ?)?(?:40[0-9]|41[0-9]|429|50[0-9])\s*(?:[|:–-]\s*)?(?:not found|forbidden|unauthorized|bad request|bad gateway|gateway time-?out|internal server error|service (?:temporarily )?unavailable|too many requests|interner serverfehler|seite nicht gefunden)",
+    r"(?iu)\bthe page you (?:asked for|requested|are looking for) (?:could not be|cannot be|was not) found",
+    r"(?iu)\bservice temporarily unavailable\b",
+    r"(?iu)\bpage introuvable\b",
+    r"(?iu)\bseite nicht gefunden\b",
+    r"(?iu)\bp[áa]gina no encontrada\b",
+    r"(?iu)\binterner serverfehler\b",
+    r"(?iu)\berror interno del servidor\b",
+    r"(?iu)\berreur interne du serveur\b",
+    r"(?imu)^\W*access denied\b",
+    r"(?iu)\byour session has expired\b",
+    r"(?iu)\bthis content is no longer available\b",
+    r"(?iu)\bthe requested note was deleted or never existed\b",
+    r"(?iu)\btoo many requests\. slow down\b",
+    r"(?iu)\bwe are checking your browser\b",
+    r"(?iu)\bthe server met an unexpected condition\b",
+    r"(?iu)\bfatal error: uncaught exception\b",
+    r"(?iu)\bupstream request timeout\b",
+    r"(?iu)\bdatabase connection failed\b",
+    r"(?iu)\boops! something went wrong\b",
 )
+# Fixed value: an error object on a line of its own, whatever quotation marks it has.
+ERROR_OBJECT = r"(?imu)^\s*(?:<[^<>\n]{0,40}>\s*)*\{\s*\"error\"\s*:"
 # Phrases of scripts-required notices.
 SCRIPTS = (
-    r"(?i)\bjavascript is (?:disabled|required|turned off)\b",
-    r"(?i)\b(?:enable|activate|turn on) (?:javascript|scripts)\b",
-    r"(?i)\brequires? javascript\b",
-    r"(?i)\bdoes not support scripts\b",
-    r"(?i)\bnoscript: ",
-    r"(?i)\bonly works with scripting switched on\b",
-    r"(?i)\baktivieren sie javascript\b",
-    r"(?i)\bactiver javascript\b",
-    r"(?i)\bactiv[ae] javascript\b",
+    r"(?iu)\bjavascript is (?:disabled|required|turned off)\b",
+    r"(?iu)\b(?:enable|activate|turn on) (?:javascript|scripts)\b",
+    r"(?iu)\brequires? javascript\b",
+    r"(?iu)\bdoes not support scripts\b",
+    r"(?iu)\bnoscript: ",
+    r"(?iu)\bonly works with scripting switched on\b",
+    r"(?iu)\baktivieren sie javascript\b",
+    r"(?iu)\bactiver javascript\b",
+    r"(?iu)\bactiv[ae] javascript\b",
 )
 # What marks a passage as quoted: code fences, inline code, and quotation marks of several scripts.
 QUOTES = (
@@ -96,7 +97,7 @@ QUOTES = (
     r"‘[^’]{1,300}’",
     r"«[^»]{1,300}»",
 )
-WEAK = r"(?i)\b(?:40[0-9]|50[0-9]|error|javascript|scripts?|noscript|placeholder|sign in|log out)\b"
+WEAK = r"(?iu)\b(?:error|javascript|scripts?|noscript|placeholder|sign in|log out)\b"
 
 
 def any_of(patterns: tuple[str, ...]) -> str:
@@ -134,7 +135,7 @@ def evidence(documents: DataFrame, low_words: int = 24, many: int = 5) -> DataFr
         "doc_id",
         F.col("bare").rlike(any_of(PLACEHOLDERS)).alias("template"),
         F.col("bare").rlike(any_of(FILLER)).alias("filler"),
-        F.col("bare").rlike(any_of(ERRORS)).alias("error"),
+        (F.col("bare").rlike(any_of(ERRORS)) | F.col("text").rlike(ERROR_OBJECT)).alias("error"),
         F.col("bare").rlike(any_of(SCRIPTS)).alias("scripts"),
         F.col("text").rlike(WEAK).alias("weak"),
         (~F.exists(terms, lambda w: F.contains(F.lower(F.col("text")), w))).alias("mismatch"),
