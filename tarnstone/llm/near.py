@@ -45,17 +45,16 @@ _MASK = (1 << 64) - 1
 def words(*columns: str) -> Column:
     """The distinct lower-cased runs of letters and digits of the columns joined by a space."""
     text = F.lower(F.concat(*[x for c in columns for x in (F.coalesce(F.col(c), F.lit("")), F.lit(" "))]))
-    return F.array_distinct(F.filter(F.split(text, r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+    return F.array_distinct(F.array_remove(F.split(text, r"[^\p{L}\p{N}]+"), ""))
 
 
 def word_sets(memory: DataFrame) -> DataFrame:
-    """(id, cid): the rows with a value that isn't blank; and (cid, n, w): a class of rows with the same words each."""
-    rows = memory.where(F.col("id").isNotNull() & (F.regexp_replace("value", r"[\s\p{Z}\x{1c}-\x{1f}\x{85}]+", "") != "")).select(
-        F.col("id").cast("long").alias("id"), F.array_sort(words("key", "value")).alias("words")
-    )
-    return rows.where(F.size("words") > 0).select(
-        "id", F.md5(F.array_join("words", " ").cast("binary")).alias("same"), F.transform("words", lambda w: F.xxhash64(w)).alias("w")
+    """(id, s1, s2, w) of the rows with a word and a value that isn't blank: w are the words' hashes, s1 and s2 (96 bits
+    together) tell whether two rows have the same words."""
+    rows = memory.where(F.col("id").isNotNull() & F.col("value").rlike(r"[^\s\p{Z}\x{1c}-\x{1f}\x{85}]")).select(
+        F.col("id").cast("long").alias("id"), F.array_sort(F.transform(words("key", "value"), lambda w: F.xxhash64(w))).alias("w")
     )
+    return rows.where(F.size("w") > 0).select("id", F.xxhash64("w").alias("s1"), F.hash("w").alias("s2"), "w")
 
 
 def _tiers(w: np.ndarray, df: np.ndarray, n_sets: int) -> np.ndarray:
@@ -269,11 +268,10 @@ def similar_classes(sets: DataFrame, num: int = NUM, den: int = DEN, hot_rows: i
 
 
 def classes_of(memory: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Membership (id, cid) and the classes (cid, n, w); a class is named by its smallest id."""
-    rows = word_sets(memory)
-    named = rows.groupBy("same").agg(F.min("id").alias("cid"), F.first("w").alias("w"))
-    sets = named.select("cid", F.size("w").alias("n"), "w")
-    members = rows.select("id", "same").join(rows.groupBy("same").agg(F.min("id").alias("cid")), "same").select("id", "cid")
+    """Membership (id, cid) and the classes (cid, n, w); a class is named by its smallest id. Texts are read once."""
+    rows, same = cut(word_sets(memory), "words"), ["s1", "s2"]
+    sets = rows.groupBy(*same).agg(F.min("id").alias("cid"), F.first("w").alias("w")).select("cid", F.size("w").alias("n"), "w")
+    members = rows.select("id", *same).join(rows.groupBy(*same).agg(F.min("id").alias("cid")), same).select("id", "cid")
     return members, sets
 
 
