@@ -100,6 +100,28 @@ QUOTES = (
 WEAK = r"(?iu)\b(?:error|javascript|scripts?|noscript|placeholder|sign in|log out)\b"
 
 
+# What a text in lower case must contain for any pattern of a kind to match: plain searches that spare most texts the
+# patterns. A new pattern needs its literal here.
+GUARDS = {
+    PLACEHOLDERS: ("{", "[", "<%", "<<", "%", "$", "__", "todo_"),
+    FILLER: ("lorem ipsum", "sample text", "goes here", "placeholder paragraph", "your text", "your content", "add a description", "heading 1", "click to", "beispieltext", "texte d", "texto de", "asdf", "qwer", "xxx", "test test"),
+    ERRORS: (
+        "not found", "forbidden", "unauthorized", "bad request", "bad gateway", "gateway time", "server error", "unavailable", "too many requests", "serverfehler",
+        "nicht gefunden", "be found", "page introuvable", "gina no encontrada", "erreur interne", "error interno", "access denied", "session has expired",
+        "no longer available", "never existed", "checking your browser", "unexpected condition", "uncaught exception", "upstream request", "connection failed", "something went wrong",
+    ),
+    SCRIPTS: ("javascript", "scripts", "noscript", "scripting"),
+}
+
+
+def guarded(low: Column, text: Column, kind: tuple[str, ...]) -> Column:
+    """Does any pattern of a kind match the text?"""
+    may = F.lit(False)
+    for literal in GUARDS[kind]:
+        may = may | F.contains(low, F.lit(literal))
+    return may & text.rlike(any_of(kind))
+
+
 def any_of(patterns: tuple[str, ...]) -> str:
     return "|".join(f"(?:{p})" for p in patterns)
 
@@ -127,19 +149,20 @@ def evidence(documents: DataFrame, low_words: int = 24, many: int = 5) -> DataFr
     d = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("source", F.lit("")).alias("source")
     ).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.trim("text") != ""))
-    # one cheap test sends most texts past the quote stripping
-    d = d.withColumn("bare", F.when(F.col("text").rlike(any_of((*PLACEHOLDERS, *FILLER, *ERRORS, *SCRIPTS))), unquoted(F.col("text"))).otherwise(F.lit("")))
+    low, short = F.lower("text"), F.length("text") <= low_words * 12
+    kinds = {"template": PLACEHOLDERS, "filler": FILLER, "error": ERRORS, "scripts": SCRIPTS}
+    d = d.withColumns({f"{k}_seen": guarded(low, F.col("text"), ps) for k, ps in kinds.items()} | {"low_text": F.when(short, low)})
+    seen = F.col("template_seen") | F.col("filler_seen") | F.col("error_seen") | F.col("scripts_seen")
+    d = d.withColumn("bare", F.when(seen, unquoted(F.col("text"))).otherwise(F.lit("")))
     terms = F.filter(F.split(F.lower(F.concat_ws(" ", "title", F.element_at(F.split("source", "/"), -1))), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 3)
     bone = skeleton(F.col("text"))
+    object_ = F.contains("text", F.lit('"')) & F.col("text").rlike(ERROR_OBJECT)
     flags = d.select(
         "doc_id",
-        F.col("bare").rlike(any_of(PLACEHOLDERS)).alias("template"),
-        F.col("bare").rlike(any_of(FILLER)).alias("filler"),
-        (F.col("bare").rlike(any_of(ERRORS)) | F.col("text").rlike(ERROR_OBJECT)).alias("error"),
-        F.col("bare").rlike(any_of(SCRIPTS)).alias("scripts"),
-        F.col("text").rlike(WEAK).alias("weak"),
-        (~F.exists(terms, lambda w: F.contains(F.lower(F.col("text")), w))).alias("mismatch"),
-        F.when(F.length("text") <= low_words * 12, F.when(F.size(F.split(bone, " ")) <= low_words, F.xxhash64(bone))).alias("bone"),
+        *[((F.col(f"{k}_seen") & F.col("bare").rlike(any_of(ps))) | (object_ if k == "error" else F.lit(False))).alias(k) for k, ps in kinds.items()],
+        F.when(short, F.col("text").rlike(WEAK)).otherwise(F.lit(False)).alias("weak"),
+        F.when(short, ~F.exists(terms, lambda w: F.contains(F.col("low_text"), w))).otherwise(F.lit(False)).alias("mismatch"),
+        F.when(short, F.when(F.size(F.split(bone, " ")) <= low_words, F.xxhash64(bone))).alias("bone"),
         F.xxhash64("title").alias("t"),
         F.xxhash64("source").alias("s"),
     )
