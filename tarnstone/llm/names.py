@@ -82,8 +82,9 @@ def mail_key(text: str | None) -> str | None:
 def handle_key(text: str | None) -> str | None:
     if not isinstance(text, str):
         return None
-    h = fold(text).strip().rstrip("/").rpartition("/")[2].lstrip("@").strip()
-    return None if h in FILLERS else h
+    whole = fold(text).strip()
+    h = whole.rstrip("/").rpartition("/")[2].lstrip("@").strip()
+    return None if whole in FILLERS or h in FILLERS else h
 
 
 def mail_grade(mail: str, org: bool, first: str, last: str) -> int:
