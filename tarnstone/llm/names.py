@@ -152,8 +152,13 @@ def phonetic(word: str) -> str:
 
 def distance(a: str, b: str, limit: int = 3) -> int:
     """Edits (insert, delete, replace, swap neighbours) between two words, or ``limit`` if there are as many."""
+    if a == b:
+        return 0
     if abs(len(a) - len(b)) >= limit:
         return limit
+    spare = sum(max(0, a.count(c) - b.count(c)) for c in set(a))  # letters of a that b lacks: each costs an edit
+    if max(spare, spare + len(b) - len(a)) >= limit:
+        return limit
     before, row = [], list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         new = [i]
