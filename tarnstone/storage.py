@@ -15,6 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_MADE: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +42,7 @@ def cut(df: DataFrame, tag: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tarnstone-{tag}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    _MADE.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tarnstone_path = path  # type: ignore[attr-defined]
     return out
@@ -54,3 +56,22 @@ def drop(df: DataFrame) -> None:
         jvm = spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _tidy() -> None:
+    """At the end of the program the tables it cut are removed from the shared folder; none outlives it for long."""
+    from pyspark import SparkContext
+
+    gateway = SparkContext._gateway
+    for path in _MADE:
+        try:
+            if path.startswith(("file:", "/")):
+                shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+            elif gateway is not None:
+                p = gateway.jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(gateway.jvm.org.apache.hadoop.conf.Configuration()).delete(p, True)
+        except Exception:  # noqa: BLE001 - the JVM may be gone; what is left is named after this package
+            return
+
+
+atexit.register(_tidy)
