@@ -364,3 +364,106 @@ def _(s, d):
 def _(s, d):
     m = T(s, d, "memory").where("status = 'active'")
     return C.unlinked(m.select("id"), m.where(F.startswith(X.ascii_lower("key"), F.lit("db/"))), ["id"])
+
+
+@query("src_15_eval_items", "SELECT kind, count(*) AS n, min(item_id) AS first FROM eval_items GROUP BY kind")
+def _(s, d):
+    return T(s, d, "eval_items").groupBy("kind").agg(F.count("*").alias("n"), F.min("item_id").alias("first"))
+
+
+@query("src_16_facts", "SELECT id, key, coalesce(memory_type, 'project') AS type FROM memory WHERE key <> '' AND value <> ''")
+def _(s, d):
+    """Facts parsed out of replies: one reply of prose around a JSON list per memory."""
+    m = T(s, d, "memory").where("key <> '' AND value <> ''")
+    reply = F.concat(F.lit("Here it is: "), F.to_json(F.array(F.struct("key", "value", F.col("memory_type").alias("type")))), F.lit(" done"))
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            rows = [(i, f["key"], f["type"]) for i, r in zip(pdf["id"], pdf["reply"], strict=True) for f in S.distilled_facts(r)]
+            yield pd.DataFrame(rows, columns=["id", "key", "type"])
+
+    return m.select("id", reply.alias("reply")).mapInPandas(run, "id long, key string, type string")
+
+
+@query("snk_08_context_page", """
+WITH m AS (SELECT memory_type, key, row_number() OVER (PARTITION BY memory_type ORDER BY created_at DESC NULLS LAST, id) AS p FROM memory WHERE status = 'active' AND memory_type IS NOT NULL)
+SELECT memory_type, string_agg('- ' || key, chr(10) ORDER BY p) AS page FROM m WHERE p <= 5 GROUP BY memory_type""")
+def _(s, d):
+    m = T(s, d, "memory").where("status = 'active' AND memory_type IS NOT NULL")
+    top = O.first_per(m, ["memory_type"], F.col("created_at").desc(), F.col("id"), n=5, rank="p")
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("p", "key"))), lambda x: F.concat(F.lit("- "), x["key"]))
+    return top.groupBy("memory_type").agg(F.array_join(lines, "\n").alias("page"))
+
+
+@query("cmp_09_distillation", """
+WITH g AS (SELECT key, arg_max(value, id) AS value, max(id) AS id FROM memory WHERE memory_type = 'session' AND value IS NOT NULL GROUP BY key),
+a AS (SELECT key, max(id) AS active FROM memory WHERE status = 'active' AND memory_type IS DISTINCT FROM 'session' GROUP BY key),
+b AS (SELECT memory_id, count(*) AS n, max(score) AS best FROM memory_conflicts WHERE score IS NOT NULL GROUP BY 1)
+SELECT g.key, CASE WHEN a.active IS NOT NULL THEN 'supersede' WHEN coalesce(b.n, 0) = 0 THEN 'insert' WHEN b.best >= 0.97 THEN 'absorb' ELSE 'flag' END AS action
+FROM g LEFT JOIN a ON a.key = g.key LEFT JOIN b ON b.memory_id = g.id""")
+def _(s, d):
+    """One batch of new facts (the session memories): last of each key, candidates, decision."""
+    m = T(s, d, "memory")
+    g = C.last_given(m.where("memory_type = 'session' AND value IS NOT NULL").select("key", "value", "id"), "key", F.col("id"))
+    a = m.where("status = 'active'").where(~F.col("memory_type").eqNullSafe(F.lit("session"))).groupBy("key").agg(F.max("id").alias("active"))
+    b = T(s, d, "memory_conflicts").where("score IS NOT NULL").groupBy(F.col("memory_id").alias("id")).agg(F.count("*").alias("n"), F.max("score").alias("best"))
+    j = g.join(a, "key", "left").join(b, "id", "left")
+    act = C.decision(F.col("active").isNotNull(), F.coalesce("n", F.lit(0)), F.col("best"), F.lit(False), 0.97, F.lit(False))
+    return j.select("key", act.alias("action"))
+
+
+@query("evl_06_report", f"WITH {_RES}, n AS (SELECT q, count(*) FILTER (place <= 10) AS k, avg(place) AS mean FROM top GROUP BY q) SELECT q, k, round(mean, 3) AS mean FROM n")
+def _(s, d):
+    return _results(s, d)[0].groupBy("q").agg(F.count_if(F.col("place") <= 10).alias("k"), F.round(F.avg("place"), 3).alias("mean"))
+
+
+@query("msc_07_oldest_first", "SELECT memory_id, id, row_number() OVER (PARTITION BY memory_id ORDER BY created_at, id) AS position FROM memory_conflicts")
+def _(s, d):
+    w = W.partitionBy("memory_id").orderBy("created_at", "id")
+    return T(s, d, "memory_conflicts").select("memory_id", "id", F.row_number().over(w).cast("bigint").alias("position"))
+
+
+@query("msc_08_identifiers", "SELECT id, string_agg(t, ',' ORDER BY t) AS types FROM (SELECT id, 'email' AS t FROM people WHERE email <> '' UNION ALL SELECT id, 'github' FROM people WHERE github_username <> '' UNION ALL SELECT id, 'slack' FROM people WHERE slack_id <> '') GROUP BY id")
+def _(s, d):
+    has = lambda c, n: F.when(F.col(c) != "", F.lit(n))
+    types = F.array_compact(F.array(has("email", "email"), has("github_username", "github"), has("slack_id", "slack")))
+    return T(s, d, "people").select("id", types.alias("t")).where(F.size("t") > 0).select("id", F.array_join("t", ",").alias("types"))
+
+
+@query("msc_10_mail_context", """
+WITH u AS (SELECT repo_id, id, chunk_text AS body, row_number() OVER w AS p, sum(length(chunk_text)) OVER (w ROWS UNBOUNDED PRECEDING) AS used FROM chunks WINDOW w AS (PARTITION BY repo_id ORDER BY id))
+SELECT repo_id, count(*) FILTER (p = 1 OR used <= 2000) AS shown, count(*) FILTER (NOT (p = 1 OR used <= 2000)) AS left_over FROM u WHERE body IS NOT NULL GROUP BY repo_id""")
+def _(s, d):
+    m = T(s, d, "chunks").where("chunk_text IS NOT NULL").select(F.col("repo_id").alias("box"), "id", F.col("chunk_text").alias("body"), F.lit(None).cast("int").alias("read_at"))
+    out = C.handed_out(m, "box", 2000).groupBy(F.col("box").alias("repo_id")).agg(F.count_if("taken").alias("shown"), F.count_if(~F.col("taken")).alias("left_over"))
+    return out
+
+
+@query("msc_12_reply_route", "SELECT e.event_id, coalesce(c.c_custkey, s.s_suppkey + 100000) AS agent FROM events e LEFT JOIN customer c ON c.c_custkey = e.user_id AND c.c_acctbal > 0 LEFT JOIN supplier s ON s.s_suppkey = e.user_id")
+def _(s, d):
+    c = T(s, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("user_id"), F.col("c_custkey").alias("a"))
+    b = T(s, d, "supplier").select(F.col("s_suppkey").alias("user_id"), (F.col("s_suppkey") + 100000).alias("b"))
+    return T(s, d, "events").join(c, "user_id", "left").join(b, "user_id", "left").select("event_id", F.coalesce("a", "b").alias("agent"))
+
+
+@query("msc_14_table_report", "SELECT 'memory' AS name, count(*) AS n, max(id) AS last FROM memory UNION ALL SELECT 'chunks', count(*), max(id) FROM chunks UNION ALL SELECT 'people', count(*), max(id) FROM people")
+def _(s, d):
+    out = None
+    for t in ("memory", "chunks", "people"):
+        part = T(s, d, t).agg(F.count("*").alias("n"), F.max("id").alias("last")).select(F.lit(t).alias("name"), "n", "last")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("msc_15_heal", "SELECT r.id, CASE WHEN c.n IS NULL THEN 'drop' WHEN r.last_indexed IS NULL THEN 'index' WHEN r.description IS NULL THEN 'describe' ELSE 'keep' END AS action FROM repos r LEFT JOIN (SELECT repo_id, count(*) AS n FROM chunks GROUP BY 1) c ON c.repo_id = r.id")
+def _(s, d):
+    c = T(s, d, "chunks").groupBy(F.col("repo_id").alias("id")).agg(F.count("*").alias("n"))
+    r = T(s, d, "repos").join(c, "id", "left")
+    return r.select("id", F.when(F.col("n").isNull(), "drop").when(F.col("last_indexed").isNull(), "index").when(F.col("description").isNull(), "describe").otherwise("keep").alias("action"))
+
+
+@query("msc_18_usage_name", "SELECT event_id, CASE WHEN event_type = 'error' THEN event_type || ':failed' ELSE event_type END AS command FROM events")
+def _(s, d):
+    return T(s, d, "events").select("event_id", F.when(F.col("event_type") == "error", F.concat("event_type", F.lit(":failed"))).otherwise(F.col("event_type")).alias("command"))

@@ -248,10 +248,10 @@ def _(s, d):
     return T(s, d, "events").where((ts >= D.before("2024-01-30", 7, "DAYS")) & (ts < D.before("2024-01-30", 90, "MINUTES"))).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("dat_06_epoch", "SELECT id, CAST(epoch_ms(CAST(id AS BIGINT) * 1000 + 1700000000000) AS VARCHAR) AS stamp FROM memory WHERE id % 1000 <> 0")
+@query("dat_06_epoch", "SELECT id, CAST(epoch_ms(CAST(id AS BIGINT) * 1000 + 1700000000000) AS VARCHAR) AS stamp FROM memory")
 def _(s, d):
     at = D.from_millis(F.col("id") * 1000 + 1700000000000)
-    return T(s, d, "memory").where("id % 1000 <> 0").select("id", F.date_format(at, "yyyy-MM-dd HH:mm:ss").alias("stamp"))
+    return T(s, d, "memory").select("id", F.date_format(at, "yyyy-MM-dd HH:mm:ss").alias("stamp"))
 
 
 @query("mth_01_cosine", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
@@ -278,9 +278,9 @@ def _(s, d):
     return T(s, d, "memory_conflicts").where("score IS NOT NULL").select("id", M.unit(F.col("score") * 1.5 - 0.2).alias("score"))
 
 
-@query("mth_09_percent", "SELECT id, CAST(CAST(round(score * 100) AS BIGINT) AS VARCHAR) AS percent FROM memory_conflicts WHERE score IS NOT NULL AND abs(score * 1000 % 10 - 5) > 0.01")
+@query("mth_09_percent", "SELECT id, CAST(CAST(round(score * 100) AS BIGINT) AS VARCHAR) AS percent FROM memory_conflicts WHERE score IS NOT NULL")
 def _(s, d):
-    c = T(s, d, "memory_conflicts").where("score IS NOT NULL AND abs(score * 1000 % 10 - 5) > 0.01")
+    c = T(s, d, "memory_conflicts").where("score IS NOT NULL")
     return c.select("id", M.percent(F.col("score")).alias("percent"))
 
 
