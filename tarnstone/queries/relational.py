@@ -224,9 +224,9 @@ def _(s, d):
     return s.sql("SELECT id FROM jon13_people p WHERE contains(lower(name), 'vera') OR EXISTS (SELECT 1 FROM jon13_roles x WHERE x.person_id = p.id AND lower(trim(x.role)) = 'chair')")
 
 
-@query("jon_14_without_chunks", "SELECT id FROM meetings WHERE id NOT IN (SELECT meeting_id FROM meeting_people WHERE role IS NOT NULL AND meeting_id IS NOT NULL)")
+@query("jon_14_without_host", "SELECT id FROM meetings WHERE id NOT IN (SELECT meeting_id FROM meeting_people WHERE lower(trim(role)) = 'host' AND meeting_id IS NOT NULL)")
 def _(s, d):
-    listed = T(s, d, "meeting_people").where("role IS NOT NULL").select(F.col("meeting_id").alias("id"))
+    listed = T(s, d, "meeting_people").where("lower(trim(role)) = 'host'").select(F.col("meeting_id").alias("id"))
     return T(s, d, "meetings").join(listed, "id", "left_anti").select("id")
 
 
@@ -269,10 +269,11 @@ def _(s, d):
     return T(s, d, "events").join(c, "user_id", "left").select("event_id", F.coalesce("c_name", F.concat(F.lit("user "), F.col("user_id").cast("string"))).alias("name"))
 
 
-@query("jon_22_ancestors", "SELECT a.path AS parent, b.path AS child FROM repos a JOIN repos b ON a.id <> b.id AND starts_with(b.path, a.path || '/')")
+@query("jon_22_ancestors", "WITH p AS (SELECT file_path AS path FROM chunks UNION SELECT regexp_extract(file_path, '^[^/]+/[^/]+') FROM chunks UNION SELECT path FROM repos) SELECT a.path AS parent, b.path AS child FROM p a JOIN p b ON starts_with(b.path, a.path || '/')")
 def _(s, d):
     # an equi-join on every ancestor of a path instead of comparing all pairs
-    r = T(s, d, "repos").select("path").distinct()
+    c = T(s, d, "chunks")
+    r = c.select(F.col("file_path").alias("path")).union(c.select(F.regexp_extract("file_path", "^[^/]+/[^/]+", 0))).union(T(s, d, "repos").select("path")).distinct()
     parts = F.split("path", "/")
     ups = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
     child = r.select(F.col("path").alias("child"), F.explode(F.when(F.size(parts) > 1, ups)).alias("parent"))
