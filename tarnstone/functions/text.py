@@ -186,14 +186,25 @@ def ascii_lower(c: Column | str) -> Column:
     return F.translate(col(c), ASCII_UPPER, ASCII_LOWER)
 
 
+def token_lower(c: Column | str) -> Column:
+    """Lower case in which only A to Z become a to z: the fast form where nothing else is looked for than ASCII.
+
+    Of all other letters only the Kelvin sign and the dotted I have an ASCII letter in their lower case.
+    """
+    t = col(c)
+    return F.when(F.contains(t, F.lit("\u212a")) | F.contains(t, F.lit("\u0130")), ascii_lower(t)).otherwise(F.lower(t))
+
+
 def contains_literal(c: Column | str, needle: str) -> Column:
-    """Substring match in which no character is a wild card."""
+    """Substring match in which no character is a wild card, ASCII case folded."""
+    if needle.isascii():
+        return F.contains(token_lower(c), F.lit(needle.lower()))
     return F.contains(ascii_lower(c), ascii_lower(F.lit(needle)))
 
 
 def simple_tokens(c: Column | str) -> Column:
     """Words of a-z and 0-9 after ASCII lower case."""
-    return F.filter(F.split(ascii_lower(c), "[^a-z0-9]+"), lambda w: w != "")
+    return F.array_remove(F.split(token_lower(c), "[^a-z0-9]+"), "")
 
 
 def significant_tokens(c: Column | str) -> Column:

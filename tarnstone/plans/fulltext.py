@@ -96,17 +96,25 @@ def _prefix(tokens: list[str]) -> str:
     return "(?<![a-z0-9])(?=" + "[^a-z0-9]+".join(tokens) + ")"
 
 
+def _count(low: Column, tokens: list[str]) -> Column:
+    """Occurrences of a phrase; a plain search spares most texts the pattern."""
+    has = F.contains(low, F.lit(tokens[0]))
+    for t in tokens[1:]:
+        has = has & F.contains(low, F.lit(t))
+    return F.when(has, F.regexp_count(low, F.lit(_prefix(tokens)))).otherwise(0)
+
+
 def scan(df: DataFrame, source: Source, wanted: list[list[str]]) -> tuple[DataFrame, list[Column]]:
     """Rows with ``len`` and ``tf0..`` (weighted occurrences of each phrase), and each phrase's part of the score.
 
     The words are counted where they are read: no token leaves its row. One pass gathers the statistics of all rows (one
     number a phrase), a second one scores.
     """
-    low = {c: F.coalesce(X.ascii_lower(F.col(c).cast("string")), F.lit("")) for c in source.weights}
+    low = {c: F.coalesce(X.token_lower(F.col(c).cast("string")), F.lit("")) for c in source.weights}
     length, tf = F.lit(0), [F.lit(0.0)] * len(wanted)
     for c, w in source.weights.items():
         length = length + F.regexp_count(low[c], F.lit("[a-z0-9]+"))
-        tf = [t + F.lit(w) * F.regexp_count(low[c], F.lit(_prefix(p))) for t, p in zip(tf, wanted, strict=True)]
+        tf = [t + F.lit(w) * _count(low[c], p) for t, p in zip(tf, wanted, strict=True)]
     rows = df.withColumns({"len": length, **{f"tf{k}": t for k, t in enumerate(tf)}})
     got = rows.agg(F.count("*").alias("n"), F.sum("len").alias("total"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(wanted))]).first()
     n, mean = got["n"], (got["total"] or 0) / max(1, got["n"])

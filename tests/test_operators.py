@@ -140,3 +140,10 @@ def test_first_seen_once(spark, tmp_path, parts):
     df = spark.createDataFrame([(k % 5,) for k in range(40)], "k long").repartition(parts)
     df.write.parquet(folder)
     assert sorted(r.k for r in I.stream_first_seen(folder, df.schema, spark, "k").collect()) == [0, 1, 2, 3, 4]
+
+
+def test_only_ascii_letters_fold(spark):
+    n = _notes(spark, [(1, "", "5 K and É"), (2, "", "5 K and é"), (3, "", None)])
+    assert [r.doc for r in FT.substring_hits(n, NOTES, "5 k").collect()] == [2]
+    assert [r.doc for r in FT.substring_hits(n, NOTES, "É").collect()] == [1]
+    assert [r.doc for r in FT.scan_bm25(n, NOTES, [["k"]]).collect()] == [2]
