@@ -10,8 +10,8 @@ differ in more bits than a pair at the wanted cosine would, plus two standard de
 is left meets the vectors themselves, as 8-bit codes with a scale of their own (error of a cosine about 0.0006).
 
 The random projections come from a seed; only they are shipped to the tasks. The sorted strings are streamed with a
-window, never collected; AQE splits partitions of frequent strings (``rebalance``), so that many copies of a vector do
-not make one long task. Identical vectors lie side by side in every tree.
+window, never collected. A task has a range of the sorted array, cut where a bounded sample of it says, also inside a
+frequent string; each range also gets the rows before it, so that the windows go on over its edge.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 
 TREES, BITS, SKETCH, REACH = 20, 32, 256, 64
 DIM, FLOOR, K, SEED = 384, 0.8, 5, 20
+#: Vectors whose strings decide where the sorted array is cut.
+SAMPLE = 8192
 _WORDS = [f"s{k}" for k in range(SKETCH // 64)]
 
 
@@ -55,8 +57,23 @@ def _planes(dim: int, trees: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((dim, trees * BITS + SKETCH)).astype(np.float32)
 
 
-def strings(vectors: DataFrame, trees: int = TREES, dim: int = DIM, seed: int = SEED) -> DataFrame:
-    """(tk, id, s0..): a row per vector and tree; tk holds collection, tree and hash string."""
+def _place(cuts: np.ndarray, tk: np.ndarray, s0: np.ndarray) -> np.ndarray:
+    """How many of the sorted ``cuts`` (tk, s0) are at or before each row."""
+    lo, hi = np.searchsorted(cuts[:, 0], tk, "left"), np.searchsorted(cuts[:, 0], tk, "right")
+    tie = np.flatnonzero(lo < hi)
+    for at in np.unique(lo[tie]):
+        rows = tie[lo[tie] == at]
+        hi[rows] = at + np.searchsorted(cuts[at : hi[rows[0]], 1], s0[rows], "right")
+    return hi
+
+
+def strings(vectors: DataFrame, trees: int = TREES, dim: int = DIM, seed: int = SEED, edges: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """(part, own, tk, id, s0..): a row per vector and tree; tk holds collection, tree and hash string.
+
+    With ``edges`` (see ``ranges``) part is the range of the row; a row shortly before the next range comes there as well,
+    as one that isn't the range's own.
+    """
+    starts, cuts = edges or (np.empty((0, 2), np.int64),) * 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes = _planes(dim, trees, seed)
@@ -71,9 +88,31 @@ def strings(vectors: DataFrame, trees: int = TREES, dim: int = DIM, seed: int =
                 tree = coll.astype(np.int64)[:, None] * trees + np.arange(trees)
                 sk = np.packbits(bits[:, trees * BITS :], axis=1).view(np.int64)
                 cols = [((tree << BITS) | key).ravel(), np.repeat(ids, trees)] + [np.repeat(sk[:, k], trees) for k in range(len(_WORDS))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["tk", "id", *_WORDS])
+                part = _place(cuts, cols[0], cols[2])
+                again = np.flatnonzero(_place(starts, cols[0], cols[2]) > part)
+                cols = [np.concatenate([c, c[again]]) for c in (part, *cols)]
+                cols[0][len(part) :] += 1
+                own = np.arange(len(cols[0])) < len(part)
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(own), *[pa.array(c, pa.int64()) for c in cols[1:]]], names=["part", "own", "tk", "id", *_WORDS])
 
-    return vectors.mapInArrow(run, "tk long, id long, " + ", ".join(f"{w} long" for w in _WORDS))
+    return vectors.mapInArrow(run, "part int, own boolean, tk long, id long, " + ", ".join(f"{w} long" for w in _WORDS))
+
+
+def ranges(vectors: DataFrame, trees: int = TREES, reach: int = REACH, dim: int = DIM, seed: int = SEED, parts: int | None = None, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, cuts): where each range but the first has its first row to be carried in and its first own one.
+
+    They are strings of about ``sample`` vectors. Between a start and its cut are ``reach`` different ones of them, so at
+    least as many rows are carried in.
+    """
+    spark = vectors.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    share = min(1.0, sample / max(1, vectors.select("coll").count()))
+    some = vectors.where(F.pmod(F.xxhash64("coll", "id"), F.lit(1 << 30)) < F.lit(math.ceil(share * (1 << 30))))
+    got = strings(some, trees, dim, seed).select("tk", "s0").toArrow()
+    at = np.unique(np.stack([got["tk"].to_numpy(), got["s0"].to_numpy()], axis=1), axis=0)
+    parts = max(1, min(parts, len(at) // (2 * reach)))
+    first = np.arange(1, parts) * len(at) // parts
+    return at[first - reach], at[first]
 
 
 def most_bits(floor: float) -> int:
@@ -82,19 +121,19 @@ def most_bits(floor: float) -> int:
     return math.ceil(SKETCH * p + 2.1 * math.sqrt(SKETCH * p * (1 - p)))
 
 
-def candidates(rows: DataFrame, trees: int = TREES, floor: float = FLOOR, reach: int = REACH) -> DataFrame:
+def candidates(rows: DataFrame, trees: int = TREES, floor: float = FLOOR, reach: int = REACH, parts: int = 1) -> DataFrame:
     """(coll, lo, hi), distinct: pairs of the same collection that stand close in a tree and whose sketches are alike."""
     limit = most_bits(floor)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = None
         for batch in batches:
-            new = [c.to_numpy() for c in batch.columns]
+            new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             old = 0 if tail is None else len(tail[0])
             cols = new if tail is None else [np.concatenate([a, b]) for a, b in zip(tail, new, strict=True)]
             tail = [c[-reach:] for c in cols]
-            tree, ids = cols[0] >> BITS, cols[1]
-            sk = [c.view(np.uint64) for c in cols[2:]]  # bitwise_count takes the absolute value of signed numbers
+            own, tree, ids = cols[0], cols[1] >> BITS, cols[2]
+            sk = [c.view(np.uint64) for c in cols[3:]]  # bitwise_count takes the absolute value of signed numbers
             found = []
             for d in range(1, min(reach, len(ids) - 1) + 1):
                 a = max(0, old - d)
@@ -102,14 +141,14 @@ def candidates(rows: DataFrame, trees: int = TREES, floor: float = FLOOR, reach:
                 for s in sk[1:]:
                     diff += np.bitwise_count(s[a + d :] ^ s[a : len(ids) - d])
                 hit = np.flatnonzero(diff <= limit) + a
-                hit = hit[(tree[hit] == tree[hit + d]) & (ids[hit] != ids[hit + d])]
+                hit = hit[(tree[hit] == tree[hit + d]) & (ids[hit] != ids[hit + d]) & own[hit + d]]
                 if len(hit):
                     found.append(np.stack([tree[hit] // trees, np.minimum(ids[hit], ids[hit + d]), np.maximum(ids[hit], ids[hit + d])]))
             if found:
                 pairs = np.unique(np.concatenate(found, axis=1), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()) for p in pairs], names=["coll", "lo", "hi"])
 
-    near = rows.withColumn("part", F.shiftright("tk", BITS - 6)).hint("rebalance", "part").drop("part").sortWithinPartitions("tk", "s0")
+    near = rows.repartitionById(parts, "part").drop("part").sortWithinPartitions("tk", "s0", "id")
     return near.mapInArrow(run, "coll long, lo long, hi long").distinct()
 
 
@@ -159,7 +198,9 @@ def nearest(vectors: DataFrame, k: int = K, floor: float = FLOOR, trees: int = T
     slim = vectors.where(F.col("id").isNotNull() & (F.size("vec") == dim)).select(
         F.col("coll").cast("long").alias("coll"), F.col("id").cast("long").alias("id"), F.col("vec").cast("array<float>").alias("vec")
     )
-    pairs = scored(candidates(strings(slim, trees, dim), trees, floor, reach), codes(slim, dim), dim).where(F.col("cosine") >= floor)
+    edges = ranges(slim, trees, reach, dim)
+    rows = strings(slim, trees, dim, edges=edges)
+    pairs = scored(candidates(rows, trees, floor, reach, len(edges[1]) + 1), codes(slim, dim), dim).where(F.col("cosine") >= floor)
     both = pairs.select("coll", F.explode(F.array(F.struct(F.col("lo").alias("id"), F.col("hi").alias("other")), F.struct(F.col("hi").alias("id"), F.col("lo").alias("other")))).alias("p"), "cosine").select("coll", "p.id", "p.other", "cosine")
     order = Window.partitionBy("coll", "id").orderBy(F.col("cosine").desc(), "other")
     top = both.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)

@@ -39,3 +39,32 @@ def test_many_copies(spark):
     got = forest.nearest(_frame(spark, rows)).collect()
     seen = {i for r in got for i in (r.lo, r.hi)}
     assert seen == set(range(300)) and all(r.cosine > 0.999 for r in got)
+
+
+def test_windows_go_on_over_the_edges_of_ranges(spark):
+    """Small partitions, and rows in an order without sense: the pairs are those of one sorted array all the same."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.standard_normal(384) + 0.3 * rng.standard_normal((1000, 384)), rng.standard_normal((2000, 384))])
+    df = _frame(spark, [(0, int(i), x[i].tolist(), "c") for i in rng.permutation(3000)]).repartition(8)
+    names = ["spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.shuffle.partitions"]
+    before = [spark.conf.get(n) for n in names]
+    try:
+        for n, v in zip(names, ("8k", "12"), strict=True):
+            spark.conf.set(n, v)
+        got = {(r.lo, r.hi) for r in forest.nearest(df, k=3000, trees=2, reach=4).collect()}
+    finally:
+        for n, v in zip(names, before, strict=True):
+            spark.conf.set(n, v)
+    unit = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    bits = unit @ forest._planes(384, 2, forest.SEED) > 0
+    sketch = np.packbits(bits[:, 64:], axis=1).view(np.int64)
+    want = set()
+    for t in (0, 1):
+        key = bits[:, 32 * t : 32 * t + 32] @ (1 << np.arange(31, -1, -1))
+        order = np.lexsort((sketch[:, 0], key))
+        for d in range(1, 5):
+            a, b = order[:-d], order[d:]
+            near = np.bitwise_count((sketch[a] ^ sketch[b]).view(np.uint64)).sum(axis=1) <= forest.most_bits(0.8)
+            near &= (unit[a] * unit[b]).sum(axis=1) >= 0.8
+            want |= {(min(i, j), max(i, j)) for i, j in zip(a[near].tolist(), b[near].tolist(), strict=True)}
+    assert len(want) > 4000 and len(got ^ want) <= 3
