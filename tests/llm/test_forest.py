@@ -1,6 +1,7 @@
 """Nearest vectors: recall against brute force, and unusable vectors."""
 
 import numpy as np
+import pyarrow as pa
 
 from tarnstone.llm import forest
 
@@ -68,3 +69,42 @@ def test_windows_go_on_over_the_edges_of_ranges(spark):
             near &= (unit[a] * unit[b]).sum(axis=1) >= 0.8
             want |= {(min(i, j), max(i, j)) for i, j in zip(a[near].tolist(), b[near].tolist(), strict=True)}
     assert len(want) > 4000 and len(got ^ want) <= 3
+
+
+def _dense(spark, size, cosine, k=5):
+    """Recall over ``size`` vectors, a third of them around one centre, a tenth of those copied."""
+    rng = np.random.default_rng(4)
+    n, unit = size // 3, lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    centre, noise = unit(rng.standard_normal(384)), rng.standard_normal((n, 384))
+    noise = unit(noise - np.outer(noise @ centre, centre))
+    x = np.concatenate([cosine * centre + (1 - cosine**2) ** 0.5 * noise, unit(rng.standard_normal((size - n, 384)))]).astype(np.float32)
+    x[: n // 10] = x[n // 10 : n // 10 * 2]
+    x = x[rng.permutation(size)]
+    want = set()
+    for lo in range(0, size, 1000):
+        s = (x[lo : lo + 1000] @ x.T).round(6)
+        s[np.arange(len(s)), np.arange(lo, lo + len(s))] = -1
+        for i, top in enumerate(np.argsort(-s, axis=1, kind="stable")[:, :k], lo):
+            want |= {(min(i, j), max(i, j)) for j in top.tolist() if s[i - lo, j] >= 0.8}
+    vec = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 384).cast(pa.list_(pa.float32()))
+    df = spark.createDataFrame(pa.table({"coll": pa.array(np.zeros(size), pa.int32()), "id": np.arange(size), "vec": vec}))
+    got = {(r.lo, r.hi) for r in forest.nearest(df.repartition(8)).collect()}
+    return len(got & want) / len(want), len(got & want) / len(got)
+
+
+def test_dense_group(spark):
+    """Neighbours differ by less than codes tell in part, so a few of the fifth places are others."""
+    for cosine in (0.95, 0.98):
+        recall, precision = _dense(spark, 9000, cosine)
+        assert recall >= 0.9 and precision >= 0.9, (cosine, recall, precision)
+
+
+def test_many_copies_have_the_smallest_ids(spark):
+    rng = np.random.default_rng(5)
+    v, w = rng.standard_normal(384), rng.standard_normal(384)
+    rows = [(0, i, (v if i % 3 else v + 0.2 * w).tolist(), "c") for i in range(400)] + [(0, 1000, (v + 0.1 * w).tolist(), "c")]
+    got = {(r.lo, r.hi) for r in forest.nearest(_frame(spark, rows)).collect()}
+    groups = [[i for i in range(400) if i % 3], [i for i in range(400) if not i % 3]]
+    want = {(min(a, b), max(a, b)) for g in groups for a in g for b in [x for x in g[:6] if x != a][:5]}
+    near = {p for p in got if 1000 in p}
+    assert got - near == want and len(near) == 5 and len({p[0] % 3 == 0 for p in near}) == 1
