@@ -10,8 +10,8 @@
    then names alone, where groups whose contacts contradict each other (namesakes) are never joined, and a record that
    would fit several such groups goes to the one it fits best.
 
-A contact that people of many different names give (a list address, a filler) identifies nobody and is dropped; this is
-counted over all rows. Equal records are compared once. Blocks of any size are spread over a grid of tasks.
+A contact most of whose rows have a surname that fits neither its commonest one nor the address (a list address, a
+filler) identifies nobody and is dropped; this is counted over all rows. Equal records are compared once. Blocks of any size are spread over a grid of tasks.
 """
 
 from __future__ import annotations
@@ -58,8 +58,8 @@ _MAIL = re.compile(r"[\w.+'-]+@[\w-]+(?:\.[\w-]+)+")
 PARSED = "id long, org boolean, first string, last string, mail string, grade int, handle string"
 #: Grades of an address: only made of the person's name; with a number of its own; made otherwise.
 PLAIN, NUMBERED, ODD = 1, 2, 3
-#: Rows of a contact from which it can count as shared by strangers, and the different names it must have.
-SHARED_ROWS, SHARED_NAMES = 3, 3
+#: Named rows of a contact from which it can count as shared by strangers, and the share of them that must fit its name.
+SHARED_ROWS, SHARED_FIT = 3, 0.5
 
 
 def fold(text: str) -> str:
@@ -257,17 +257,30 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in PARSED.split(", ")])
 
 
+def _fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows ``n`` of a contact and name if the name may be its owner's: ``top``, the commonest, or in the address."""
+    for pdf in batches:
+        rows = []
+        for contact, first, last, top, n, total in pdf.itertuples(index=False):
+            local = re.sub(r"[^a-z]", "", contact.partition("@")[0])
+            ok = len(last) > 3 and last in local or any(len(x) > 1 and (last_score(x, top) > 0 or jaro_winkler(x, top) >= 0.88) for x in (last, first))
+            rows.append((contact, n if ok else 0, total))
+        yield pd.DataFrame(rows, columns=["contact", "fit", "all"])
+
+
 def parsed_people(people: DataFrame) -> DataFrame:
     """One row per record: see ``PARSED``. Shared contacts are null already."""
     rows = cut(
         people.where("id IS NOT NULL").select(F.col("id").cast("long").alias("id"), *[F.col(c).cast("string").alias(c) for c in ("name", "email", "github_username")]).mapInPandas(_parse, PARSED),
         "people",
     )
-    start = F.substring("last", 1, 2)
     out = rows
     for c in ("mail", "handle"):
-        use = rows.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n"), F.approx_count_distinct(F.when(F.length("last") > 1, start)).alias("d"))
-        bad = use.where((F.col("n") >= SHARED_ROWS) & (F.col("d") >= SHARED_NAMES)).select(c, F.lit(True).alias("shared"))
+        use = rows.where(F.col(c).isNotNull() & (F.length("last") > 1)).groupBy(F.col(c).alias("contact"), "first", "last").agg(F.count("*").alias("n"))
+        names = use.groupBy("contact", "last").agg(F.sum("n").alias("n"))
+        top = names.groupBy("contact").agg(F.sum("n").alias("all"), F.max(F.struct("n", F.contains("contact", "last").alias("within"), "last"))["last"].alias("top"))
+        fit = use.join(top.where(F.col("all") >= SHARED_ROWS), "contact").select("contact", "first", "last", "top", "n", "all").mapInPandas(_fit, "contact string, fit long, all long")
+        bad = fit.groupBy("contact", "all").agg(F.sum("fit").alias("fit")).where(F.col("fit") < SHARED_FIT * F.col("all")).select(F.col("contact").alias(c), F.lit(True).alias("shared"))
         out = out.join(bad, c, "left").withColumn(c, F.when(F.col("shared").isNull(), F.col(c))).drop("shared")
     return out.select(*[c.split()[0] for c in PARSED.split(", ")])
 

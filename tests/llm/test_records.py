@@ -47,6 +47,17 @@ def test_shared_contacts_identify_nobody(spark):
     assert names.link_people(_people(spark, rows).limit(0)).count() == 0
 
 
+def test_slips_make_no_strangers(spark):
+    """A contact of one person stays one, however many beginnings of the surname are mistyped."""
+    mail = "frieda_deltaruklin84@coppercairn.example"
+    df = _people(spark, [
+        (1, "Frieda Dteltaruklin", mail, None), (2, "Frieda Deltaruklin", mail, None), (3, "Frieda Drltaruklin", mail, None), (4, mail, None, None),
+    ])
+    assert _linked(df) == [(1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4)]
+    rows = [(k, f"Vera {'Lakifering'[:k % 9]}q{'Lakifering'[k % 9:]}" if k % 3 == 0 else "Vera Lakifering", None, "vlaki") for k in range(90)] + [(100, None, None, "vlaki")]
+    assert len({r.entity for r in names.link_people(_people(spark, rows)).collect()}) == 1
+
+
 def test_hot_block_is_spread(spark):
     rows = [(k, "Vera Lakifering", f"vera.lakifering{k}@one.example", f"h{k}") for k in range(60)] + [(100, "Vera Lakiferin", None, "h7")]
     found = {(r.id, r.entity) for r in names.link_people(_people(spark, rows), hot_rows=10).collect()}
