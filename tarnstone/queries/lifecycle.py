@@ -339,6 +339,13 @@ def _(s, d):
     return R.admitted(rows.where("length <= 3000"), 3000).select(F.split("path", ":")[0].cast("bigint").alias("id"), "language")
 
 
+@query("src_05_admission_whole", "SELECT id, CASE WHEN octet_length(encode(chunk_text)) > 3000 THEN 'text' WHEN file_path LIKE '%.rs' THEN 'rust' WHEN file_path LIKE '%.py' THEN 'python' WHEN file_path LIKE '%.ts' THEN 'typescript' WHEN file_path LIKE '%.go' THEN 'go' WHEN file_path LIKE '%.md' THEN 'markdown' ELSE 'text' END AS language FROM chunks WHERE chunk_text IS NOT NULL AND (octet_length(encode(chunk_text)) <= 3000 OR regexp_matches(file_path, '\\.(rs|py|ts|go|md)$'))")
+def _(s, d):
+    """Chunks of any length: known languages over the cap are text, others over it are left out."""
+    rows = T(s, d, "chunks").where("chunk_text IS NOT NULL").select(F.concat(F.col("id").cast("string"), F.lit(":"), F.col("file_path")).alias("path"), F.octet_length("chunk_text").alias("length"), F.col("chunk_text").cast("binary").alias("content"))
+    return R.admitted(rows, 3000).select(F.split("path", ":")[0].cast("bigint").alias("id"), "language")
+
+
 @query("src_06_language", "SELECT regexp_extract(file_path, '[^.]+$') AS ext, count(*) AS n FROM chunks GROUP BY 1")
 def _(s, d):
     c = T(s, d, "chunks").select(F.element_at(F.split("file_path", r"\."), -1).alias("ext"), R.language(F.col("file_path")).alias("language"))
