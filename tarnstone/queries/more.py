@@ -30,7 +30,7 @@ def _(s, d):
 @query("agg_18_bootstrap")
 def _(s, d):
     e = E.scores(*_results(s, d))
-    return E.bootstrap(e.withColumn("diff", F.col("ndcg") - F.col("recall")), "diff", resamples=300)
+    return E.bootstrap(e.withColumn("diff", F.col("ndcg") - F.col("recall")), "diff")
 
 
 @query("agg_20_pending", "SELECT count(*) AS total, count(*) FILTER (last_indexed IS NULL) AS pending FROM repos")
