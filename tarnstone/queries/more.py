@@ -192,6 +192,15 @@ def _(s, d):
     return C.patched(r, new, "id", ["name", "description"]).unionByName(fresh)
 
 
+@query("dml_12_repo_upsert_whole", "SELECT id, coalesce(CASE WHEN id % 2 = 0 THEN name || '-2' END, name) AS name, description FROM repos UNION ALL SELECT -id, name, NULL FROM repos WHERE id <> 0")
+def _(s, d):
+    """All repos are the existing side, and each of them gives a new row as well."""
+    r = T(s, d, "repos").select("id", "name", "description")
+    new = r.where("id % 2 = 0").select("id", F.concat("name", F.lit("-2")).alias("name"), F.lit(None).cast("string").alias("description"))
+    fresh = r.where("id <> 0").select((-F.col("id")).alias("id"), "name", F.lit(None).cast("string").alias("description"))
+    return C.patched(r, new, "id", ["name", "description"]).unionByName(fresh)
+
+
 @query("dml_15_file_upsert", "SELECT id, CASE WHEN id % 3 = 0 THEN NULL ELSE last_modified END AS last_modified FROM chunks WHERE repo_id <> 5")
 def _(s, d):
     c = T(s, d, "chunks")

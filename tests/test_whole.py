@@ -23,3 +23,9 @@ def test_large_files_are_admitted_as_text(spark):
 def test_bootstrap_has_2000_resamples(spark, name, of):
     diffs = E.scores(*_results(spark, SF)).withColumn("diff", F.col(of) - F.col("recall"))
     assert QUERIES[name](spark, SF).collect() == E.bootstrap(diffs, "diff", resamples=2000).collect()
+
+
+def test_all_repos_enter_the_upsert(spark):
+    ids = {r.id for r in table(spark, SF, "repos").select("id").collect()}
+    got = [r.id for r in QUERIES["dml_12_repo_upsert_whole"](spark, SF).collect()]
+    assert max(ids) > 20 and len(got) == len(set(got)) == 2 * len(ids) and {i for i in got if i > 0} == ids
