@@ -2,8 +2,9 @@
 
 1. Parse. A name is brought to (first, last) tokens: titles, notes in brackets, legal forms and notation are removed,
    accents folded; "Last, First", "LAST First", "FirstLast", initials and addresses in place of a name are understood.
-2. Block. Records meet if they share a usable address or handle, or the phonetic code of their sorted tokens: the code
-   of the last name, with each of its single deletions (so one slip in it still meets), with the initial of the first.
+2. Block. Records meet if they share a usable address or handle, or the phonetic code of their tokens: the code
+   of the last name, with each of its single deletions (so one slip in it still meets), with the initial of the first;
+   and the sorted codes of both, with the same deletions, so that the order of the parts doesn't matter.
 3. Compare. Last names by edit distance and Jaro-Winkler on their phonetic codes, first names by a nickname table,
    initials and Jaro-Winkler.
 4. Cluster. Accepted pairs become connected components, in two steps: what shares a contact and a compatible name first;
@@ -244,7 +245,13 @@ def name_score(org: bool, first: str, last: str, org2: bool, first2: str, last2:
             return 0.0
         return min((last_score(x, y) for x, y in zip(a, b, strict=True)), default=0.0)
     f, s = first_score(first, first2), last_score(last, last2)
-    return 0.0 if f == 0 or s == 0 else f * s
+    if f == 0 or s == 0:
+        # one of the two may have the parts in the other order; both must be there and fit
+        if org or org2 or min(len(first), len(last), len(first2), len(last2)) < 3:
+            return 0.0
+        f, s = min(first_score(first, last2), first_score(last2, first)), last_score(last, first2)
+        return 0.0 if f < 0.85 or s == 0 else f * s
+    return f * s
 
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -302,6 +309,10 @@ def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     marks = {f[0] for f in [*NICKNAMES.get(r.first, "").split(), r.first] if f} or {"?"}
                 for form in {f for code in codes for f in (code, *(code[:k] + code[k + 1 :] for k in range(len(code))))}:
                     keys |= {f"n{form} {m}" for m in marks}
+                if not r.org and len(r.first) > 2:
+                    first, last = phonetic(r.first), phonetic(r.last.replace("-", ""))
+                    for f, form in [(first, last), *((first[:k] + first[k + 1 :], last) for k in range(len(first))), *((first, last[:k] + last[k + 1 :]) for k in range(len(last)))]:
+                        keys.add("s" + " ".join(sorted((f, form))))
             rows += [(k, r.cid) for k in keys]
         yield pd.DataFrame(rows, columns=["sig", "cid"])
 

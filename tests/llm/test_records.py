@@ -58,6 +58,11 @@ def test_slips_make_no_strangers(spark):
     assert len({r.entity for r in names.link_people(_people(spark, rows)).collect()}) == 1
 
 
+def test_parts_in_the_other_order(spark):
+    df = _people(spark, [(1, "Vera Lakifering", None, None), (2, "Lakifering Vera", None, None), (3, "Lakiferin Vera", None, None), (4, "Lakifering Edward", None, None), (5, "Vera Brontefield", None, None)])
+    assert _linked(df) == [(1, 2), (1, 3), (2, 3)]
+
+
 def test_hot_block_is_spread(spark):
     rows = [(k, "Vera Lakifering", f"vera.lakifering{k}@one.example", f"h{k}") for k in range(60)] + [(100, "Vera Lakiferin", None, "h7")]
     found = {(r.id, r.entity) for r in names.link_people(_people(spark, rows), hot_rows=10).collect()}
