@@ -60,8 +60,6 @@ FILLER = (
     r"(?iu)\b(?:asdf|qwer|qwerty)\b(?:\s+\b(?:asdf|qwer|qwerty)\b)+",
     r"(?iu)\bx{3,}(?:\s+x{3,}){1,}\b",
     r"(?iu)\btest test test\b",
-    # four of the words with at most four others between two of them
-    r"(?iu)\b(?:(?:%(w)s)\b(?:[^\p{L}]+\p{L}+){0,4}?[^\p{L}]+){3}(?:%(w)s)\b" % {"w": "|".join(FILLER_WORDS.split())},
 )
 # Phrases of error pages.
 ERRORS = (
@@ -117,7 +115,7 @@ NOTICES = tuple(
     for x in (
         rf"\b{PAGE}\b[^.!?\n]{{0,60}}{ABSENT}", rf"{ABSENT}[^.!?\n]{{0,40}}\b{PAGE}\b", STATUS, rf"\b{FAULT}",
         rf"java\s?script[^.!?\n]{{0,60}}{SWITCHED}", rf"{SWITCHED}[^.!?\n]{{0,40}}java\s?script",
-        rf"(?=[^.!?\n]*{SWITCHED})(?=[^.!?\n]*{BROWSER})[^.!?\n]*\b{SCRIPTING}",
+        rf"(?:\A|[.!?\n])(?=[^.!?\n]*{SWITCHED})(?=[^.!?\n]*{BROWSER})[^.!?\n]*\b{SCRIPTING}",
     )
 )
 #: One of them is enough in a response that many documents of a host share.
@@ -141,8 +139,8 @@ LOW_WORDS = 40
 # What a text in lower case must contain for any pattern of a kind to match: plain searches that spare most texts the
 # patterns. A new pattern needs its literal here.
 GUARDS = {
-    PLACEHOLDERS: ("{", "[", "<", "%", "$", "__", "todo_"),
-    FILLER: ("lorem ipsum", "sample text", "goes here", "placeholder paragraph", "your text", "your content", "add a description", "heading 1", "click to", "beispieltext", "texte d", "texto de", "asdf", "qwer", "xxx", "test test", *FILLER_WORDS.split()),
+    PLACEHOLDERS: ("{", "[", "<%", "<<", "%", "$", "__", "todo_"),
+    FILLER: ("lorem ipsum", "sample text", "goes here", "placeholder paragraph", "your text", "your content", "add a description", "heading 1", "click to", "beispieltext", "texte d", "texto de", "asdf", "qwer", "xxx", "test test"),
     ERRORS: (
         "not found", "forbidden", "unauthorized", "bad request", "bad gateway", "gateway time", "server error", "unavailable", "too many requests", "serverfehler",
         "nicht gefunden", "be found", "page introuvable", "gina no encontrada", "erreur interne", "error interno", "access denied", "session has expired",
@@ -152,11 +150,25 @@ GUARDS = {
 }
 
 
+def _by_letters(words: list[str]) -> str:
+    """A pattern of the words that shares their beginnings, so that most words of a text fail at the first letters."""
+    if len(words) == 1:
+        return words[0]
+    heads = sorted({w[:1] for w in words})
+    return "(?:" + "|".join(h + _by_letters(sorted({w[1:] for w in words if w[:1] == h})) if h else "" for h in sorted(heads, reverse=True)) + ")"
+
+
+#: What is counted to spare most texts the run: cheaper, and as often in a text as filler words are behind another sign.
+FILLER_HINT = rf"[^a-z]{_by_letters(FILLER_WORDS.split())}"
+FILLER_WORD = rf"\b{_by_letters(FILLER_WORDS.split())}\b"
+#: Four filler words with at most four others between two of them.
+FILLER_RUN = rf"(?:{FILLER_WORD}(?:[^\p{{L}}]++\p{{L}}++){{0,4}}?[^\p{{L}}]++){{3}}{FILLER_WORD}"
+
+
 def guarded(low: Column, text: Column, kind: tuple[str, ...]) -> Column:
     """Does any pattern of a kind match the text?"""
-    may = F.lit(False)
-    for literal in GUARDS[kind]:
-        may = may | F.contains(low, F.lit(literal))
+    # one small expression for all literals: a long chain makes the generated method too big to be compiled
+    may = F.exists(F.array(*map(F.lit, GUARDS[kind])), lambda literal: F.contains(low, literal))
     return may & text.rlike(any_of(kind))
 
 
@@ -164,14 +176,14 @@ def any_of(patterns: tuple[str, ...]) -> str:
     return "|".join(f"(?:{p})" for p in patterns)
 
 
-def unquoted(text: Column) -> Column:
-    """The text with markup and quoted passages taken out, except where a quotation or a JSON body is all there is."""
-    text = F.regexp_replace(text, MARKUP, "\n")
-    bare = text
-    for q in QUOTES:
-        bare = F.regexp_replace(bare, q, " ")
-    whole = text.rlike(r"(?s)\A\s*[{\[].*[}\]]\s*\z") | (F.regexp_replace(bare, r"[^\p{L}\p{N}]", "") == "")
-    return F.when(whole, text).otherwise(bare)
+def with_bare(rows: DataFrame, wanted: Column) -> DataFrame:
+    """Adds ``bare``, where ``wanted``: the text with markup and quoted passages taken out, except where a quotation or a
+    JSON body is all there is. Each step is a column of its own, so that none is computed twice."""
+    rows = rows.withColumn("plain", F.when(wanted, F.regexp_replace("text", MARKUP, "\n"))).withColumn("bare", F.col("plain"))
+    for k, q in enumerate(QUOTES):
+        rows = rows.withColumn(f"bare{k}", F.regexp_replace("bare", q, " ")).drop("bare").withColumnRenamed(f"bare{k}", "bare")
+    whole = F.col("plain").rlike(r"(?s)\A\s*[{\[].*[}\]]\s*\z") | ~F.col("bare").rlike(r"[\p{L}\p{N}]")
+    return rows.withColumn("all", F.when(whole, F.col("plain")).otherwise(F.col("bare"))).drop("plain", "bare").withColumnRenamed("all", "bare")
 
 
 def skeleton(text: Column) -> Column:
@@ -185,7 +197,7 @@ def evidence(documents: DataFrame, low_words: int = LOW_WORDS) -> DataFrame:
 
     ``notice`` and ``notion`` are only set for bodies of at most ``low_words`` words, which are low in information. ``copies``, ``titles``
     and ``sources`` count the documents of the same skeleton and ``at_odds`` is the share of them that mismatch (1 copy
-    and no share for other bodies). Null and blank texts are left out; a null title or source has no terms and never
+    and no share for other bodies). ``words`` counts up to ``low_words`` + 2. Null and blank texts are left out; a null title or source has no terms and never
     matches.
     """
     d = documents.select(
@@ -193,30 +205,35 @@ def evidence(documents: DataFrame, low_words: int = LOW_WORDS) -> DataFrame:
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
     ).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.trim("text") != ""))
     kinds = {"template": PLACEHOLDERS, "filler": FILLER, "error": ERRORS, "scripts": SCRIPTS}
-    low = F.lower("text")
-    d = d.withColumns({f"{k}_seen": guarded(low, F.col("text"), ps) for k, ps in kinds.items()} | {"words": F.size(F.split(F.trim("text"), r"\s+"))})
+    low = F.col("low")
+    d = d.withColumn("low", F.lower("text")).withColumns({f"{k}_seen": guarded(low, F.col("text"), ps) for k, ps in kinds.items()} | {"words": F.size(F.split(F.trim("text"), r"\s+", low_words + 2))})
     few = F.col("words") <= low_words
     d = d.withColumns({"low_text": F.when(few, low), "bone": F.when(few, skeleton(F.col("text")))})
+    d = d.withColumn("template_seen", F.col("template_seen") | (F.contains("text", F.lit("<")) & F.col("text").rlike(r"<\p{Lu}[\p{Lu}\d]*_")))
+    d = d.withColumn("filler_seen", F.col("filler_seen") | (F.regexp_count(low, F.lit(FILLER_HINT)) >= 3))
     seen = F.col("template_seen") | F.col("filler_seen") | F.col("error_seen") | F.col("scripts_seen")
-    d = d.withColumn("bare", F.when(seen | few, unquoted(F.col("text"))).otherwise(F.lit("")))
+    d = with_bare(d, seen | few)
     terms = F.filter(F.split(F.lower(F.concat_ws(" ", "title", F.element_at(F.split("source", "/"), -1))), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 3)
     object_ = F.contains("text", F.lit('"')) & F.col("text").rlike(ERROR_OBJECT)
+    also = {"error": object_, "filler": F.col("filler_seen") & F.lower("bare").rlike(FILLER_RUN)}
     flags = d.select(
         "doc_id", "words",
-        *[((F.col(f"{k}_seen") & F.col("bare").rlike(any_of(ps))) | (object_ if k == "error" else F.lit(False))).alias(k) for k, ps in kinds.items()],
+        *[((F.col(f"{k}_seen") & F.col("bare").rlike(any_of(ps))) | also.get(k, F.lit(False))).alias(k) for k, ps in kinds.items()],
         F.when(few, F.col("bare").rlike(any_of(NOTICES))).otherwise(F.lit(False)).alias("notice"),
         F.when(few, F.col("bare").rlike(NOTION)).otherwise(F.lit(False)).alias("notion"),
         F.when(few, ~F.exists(terms, lambda w: F.contains(F.col("low_text"), w))).otherwise(F.lit(False)).alias("mismatch"),
-        # a skeleton of fewer than four words (a sign, a number, a table head) says too little to be a response
-        F.when(F.size(F.split("bone", " ")) >= 4, F.xxhash64("bone")).alias("bone"),
+        # the others are spread by their ids. A skeleton of fewer than four words (a sign, a number, a table head) says too little to be a response
+        F.coalesce(F.size(F.split("bone", " ")) >= 4, F.lit(False)).alias("short"),
+        F.xxhash64(F.when(F.size(F.split("bone", " ")) >= 4, F.col("bone")).otherwise(F.col("doc_id").cast("string"))).alias("bone"),
         F.xxhash64("title").alias("t"),
         F.xxhash64("source").alias("s"),
     )
-    shared = flags.where("bone IS NOT NULL").groupBy("bone").agg(
+    shared = flags.where("short").groupBy("bone").agg(
         F.count("*").alias("copies"), F.approx_count_distinct("t").alias("titles"), F.approx_count_distinct("s").alias("sources"),
         F.avg(F.col("mismatch").cast("double")).alias("at_odds"),
     ).where("copies > 1")
-    out = flags.join(shared, "bone", "left")
+    shared = shared.withColumnRenamed("bone", "of")
+    out = flags.join(shared, F.col("short") & (F.col("bone") == F.col("of")), "left")
     return out.select(
         "doc_id", "template", "filler", "error", "scripts", "notice", "notion", "mismatch", "words",
         *[F.coalesce(c, F.lit(1)).alias(c) for c in ("copies", "titles", "sources")], F.coalesce("at_odds", F.lit(0.0)).alias("at_odds"),
