@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnstone.llm.components import connected_components
-from tarnstone.llm.near import cells
+from tarnstone.llm.near import all_pairs, cells
 from tarnstone.storage import cut
 
 # Common short forms of first names.
@@ -391,5 +391,4 @@ def link_people(people: DataFrame, hot_rows: int = 20_000) -> DataFrame:
 def variant_pairs(people: DataFrame) -> DataFrame:
     """(lo_id, hi_id): all pairs of records of one person or organisation."""
     e = cut(link_people(people), "entities")
-    a, b = e.select("entity", F.col("id").alias("lo_id")), e.select("entity", F.col("id").alias("hi_id"))
-    return a.join(b, "entity").where("lo_id < hi_id").select("lo_id", "hi_id")
+    return all_pairs(e.select(F.col("entity").alias("sig"), F.col("id").alias("cid"))).select(F.col("x").alias("lo_id"), F.col("y").alias("hi_id"))

@@ -5,7 +5,9 @@ Two sets of a and b words share at least the part t of all their words exactly i
 never meet each other. Then:
 
 1. Segments. The words are ordered from rare to frequent, and cut by frequency into tiers (k = 1, 2, 3) and by hash into
-   ``GROUPS`` segments a tier. A set's prefix is the shortest run of its rarest words for which the segments can absorb
+   ``GROUPS`` segments a tier, twice as many for every doubling of the set over ``LEVEL`` words, so that segments stay
+   short and the combinations below grow with the words, not with their cube. A set is also cut as the smallest set it
+   can be similar to would be, so a pair always meets at the level of its smaller set. A set's prefix is the shortest run of its rarest words for which the segments can absorb
    more losses than the set may have: a segment of c words still holds k common ones after c - k losses. By the
    pigeonhole principle two similar sets share k words in some segment of both prefixes, so the k-wise combinations of
    a segment's words are its signatures. k grows with frequency, which keeps every signature about equally rare.
@@ -16,9 +18,12 @@ never meet each other. Then:
 3. Check. The pairs that are left fetch their words, and the Hamming distance is counted in full.
 
 Sets whose words are too few or too frequent for step 1 (their segments can't absorb enough) are compared exactly too:
-their prefix words meet every set that has one of them.
+their prefix words meet every set that has one of them and a size that can be similar; a word that very many sets have
+is spread over several tasks.
 
-Word frequencies are counted in ``BUCKETS`` hash buckets: that table is broadcast, and its size is fixed by the code.
+Word frequencies are counted in hash buckets, twice as many as there are words, between 2^16 and 2^22: only their
+logarithm in a byte is broadcast (4 MB at most). Beyond that a bucket holds the sum of some words, which makes them count
+as more frequent than they are: more work for a pair, never a lost one.
 """
 
 from __future__ import annotations
@@ -35,7 +40,9 @@ from pyspark.sql import functions as F
 from tarnstone.storage import cut
 
 NUM, DEN = 7, 10
-CAP, GROUPS, BUCKETS = 128, 4, 1 << 20
+CAP, GROUPS, LEVEL = 128, 4, 48
+#: Least and most hash buckets of word frequencies, as powers of two, and steps a doubling of a frequency.
+BUCKETS, STEPS = (16, 22), 8
 #: Rows of one signature that a task compares; rows read before a comparison starts.
 HOT_ROWS, BATCH_ROWS = 100_000, 1 << 19
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -57,45 +64,77 @@ def word_sets(memory: DataFrame) -> DataFrame:
     return rows.where(F.size("w") > 0).select("id", F.xxhash64("w").alias("s1"), F.hash("w").alias("s2"), "w")
 
 
-def _tiers(w: np.ndarray, df: np.ndarray, n_sets: int) -> np.ndarray:
-    c = df[w & (BUCKETS - 1)].astype(np.float64)
+def _frequency_code(count: np.ndarray) -> np.ndarray:
+    """Frequencies as a byte that keeps their order up to a step of a STEPS-th of a doubling."""
+    return np.minimum(255, np.floor(np.log2(count + 1.0) * STEPS)).astype(np.uint8)
+
+
+def _tiers(code: np.ndarray, n_sets: int) -> np.ndarray:
+    c = np.exp2(code.astype(np.float64) / STEPS) - 1
     return np.where(c <= CAP, 1, np.where(c * c <= CAP * n_sets, 2, 3))
 
 
+def _code(w: np.ndarray, df: np.ndarray) -> np.ndarray:
+    return df[w & (len(df) - 1)]
+
+
 def _need(n: int | np.ndarray, num: int, den: int):
     """Losses a set of n words may have, and one more."""
     return n - -(-num * n // den) + 1
 
 
+def _level(n: int) -> int:
+    return max(0, -(-n // LEVEL) - 1).bit_length()
+
+
 def signatures(w: np.ndarray, df: np.ndarray, n_sets: int, num: int = NUM, den: int = DEN) -> list[int]:
     """Signatures of one set (step 1), as signed 64-bit numbers."""
-    count = df[w & (BUCKETS - 1)]
-    order = np.lexsort((w, count))
+    code = _code(w, df)
+    order = np.lexsort((w, code))
     w = w[order]
-    tier = _tiers(w, df, n_sets).tolist()
-    group = ((w >> 40) & (GROUPS - 1)).tolist()
-    need, units = _need(len(w), num, den), 0
-    segments: dict[int, list[int]] = {}
-    for x, k, g in zip(w.tolist(), tier, group, strict=True):
-        if units >= need:
-            break
-        seg = segments.setdefault(k if k == 1 else k * 16 + g, [])
-        seg.append(x)
-        units += len(seg) >= k
-    out = []
-    for key, seg in segments.items():
-        k = 1 if key == 1 else key >> 4
-        if len(seg) < k:
-            continue
-        for c in combinations(seg, k):
-            s = key
-            for x, m in zip(c, _MIX, strict=False):
-                s = ((s ^ x) * m) & _MASK
-                s ^= s >> 29
-            out.append(s - (1 << 64) if s >> 63 else s)
+    tier = _tiers(code[order], n_sets).tolist()
+    words, hashed = w.tolist(), ((w >> 40) & 0xFFFFFF).tolist()
+    need, out = _need(len(w), num, den), []
+    for level in range(_level(-(-num * len(w) // den)), _level(len(w)) + 1):
+        units, last = 0, (GROUPS << level) - 1
+        segments: dict[int, list[int]] = {}
+        for x, k, g in zip(words, tier, hashed, strict=True):
+            if units >= need:
+                break
+            seg = segments.setdefault(k if k == 1 else (level << 32) + ((g & last) << 4) + k, [])
+            seg.append(x)
+            units += len(seg) >= k
+        for key, seg in segments.items():
+            k = key & 15
+            if len(seg) < k:
+                continue
+            for c in combinations(seg, k):
+                s = key
+                for x, m in zip(c, _MIX, strict=False):
+                    s = ((s ^ x) * m) & _MASK
+                    s ^= s >> 29
+                out.append(s - (1 << 64) if s >> 63 else s)
     return out
 
 
+def _too_few(w: np.ndarray, n: np.ndarray, df: np.ndarray, n_sets: int, num: int, den: int) -> np.ndarray:
+    """Which of the sets (words w one after the other, sizes n) can't absorb their losses at one of their levels."""
+    row, k = np.repeat(np.arange(len(n)), n), _tiers(_code(w, df), n_sets)
+    few, need = np.zeros(len(n), bool), _need(n, num, den)
+    own = np.array([_level(int(x)) for x in n], np.int64)
+    least = np.array([_level(-(-num * int(x) // den)) for x in n], np.int64)
+    for level in range(int(least.min(initial=0)), int(own.max(initial=0)) + 1):
+        at = (least <= level) & (level <= own)
+        mine = at[row]
+        groups = GROUPS << level
+        seg = np.where(k == 1, 0, groups * (k - 1) + ((w >> 40) & (groups - 1)))[mine]
+        uniq, count = np.unique(row[mine] * (3 * groups) + seg, return_counts=True)
+        tier = np.maximum(1, uniq % (3 * groups) // groups + 1)
+        absorbed = np.bincount(uniq // (3 * groups), weights=np.maximum(0, count - tier + 1), minlength=len(n))
+        few |= at & (absorbed < need)
+    return few
+
+
 def _flat(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     sizes = pdf["n"].to_numpy()
     return np.concatenate(pdf["w"].to_numpy()) if len(pdf) else np.empty(0, np.int64), sizes
@@ -213,15 +252,45 @@ def cells(rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     return cold.select(cols).unionByName(spread.select(cols))
 
 
+def all_pairs(rows: DataFrame, hot_rows: int = 20_000) -> DataFrame:
+    """(x, y), x < y: the pairs of rows (sig, cid) of one sig. A large group is spread over a grid of tasks."""
+    spread = cells(rows, hot_rows)
+    on = F.expr("a.sig = b.sig AND a.cell = b.cell AND a.cid < b.cid AND (a.side = 0 OR a.side <> b.side)")
+    return spread.alias("a").join(spread.alias("b"), on).select(F.col("a.cid").alias("x"), F.col("b.cid").alias("y"))
+
+
+def _short_pairs(few: DataFrame, slim: DataFrame, num: int, den: int, hot_rows: int) -> DataFrame:
+    """(lo, hi) of the sets in ``few`` and all sets that have one of their words ``sig`` and a size they can be similar to.
+
+    Rows meet by word and size. A word and size that more than ``hot_rows`` sets have is spread over as many tasks as it
+    needs; the few rows go to each of them. The number of such words is bounded by the rows over ``hot_rows``.
+    """
+    sizes = F.sequence(F.ceil(F.col("n") * num / den).cast("int"), F.floor(F.col("n") * den / num).cast("int"))
+    left = few.withColumn("size", F.explode(sizes))
+    every = slim.select(F.explode("w").alias("sig"), "cid", "n", "a", "b").join(left.select("sig", F.col("size").alias("n")).distinct(), ["sig", "n"], "left_semi")
+    every = cut(every, "every")
+    hot = cut(every.groupBy("sig", "n").count().where(F.col("count") > hot_rows).select("sig", "n", F.ceil(F.col("count") / hot_rows).cast("int").alias("parts")), "hot")
+    part = F.lit(0)
+    if not hot.isEmpty():
+        every = every.join(hot, ["sig", "n"], "left").withColumn("part", F.pmod(F.hash("cid", F.lit(11)), F.coalesce("parts", F.lit(1))))
+        left = left.join(hot.withColumnRenamed("n", "size"), ["sig", "size"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    else:
+        every, left = every.withColumn("part", part), left.withColumn("part", part)
+    on = F.expr(f"l.sig = r.sig AND l.size = r.n AND l.part = r.part AND l.cid <> r.cid AND bit_count(l.a ^ r.a) + bit_count(l.b ^ r.b) <= (l.n + r.n) * {den - num} div {den + num}")
+    return left.alias("l").join(every.alias("r"), on).select(F.least("l.cid", "r.cid").alias("lo"), F.greatest("l.cid", "r.cid").alias("hi"))
+
+
 def similar_classes(sets: DataFrame, num: int = NUM, den: int = DEN, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(lo BIGINT, hi BIGINT): pairs of classes, from a table (cid, n, w) that has each word set once."""
     spark = sets.sparkSession
     base = cut(with_sketch(sets), "sets")
-    n_sets = max(1, base.count())
-    counted = base.select(F.explode("w").alias("x")).groupBy((F.col("x").bitwiseAND(BUCKETS - 1)).cast("int").alias("k")).count().toArrow()
-    freq = np.zeros(BUCKETS, np.int64)
+    words_ = base.select(F.explode("w").alias("x"))
+    size = base.agg(F.count("*")).first()[0], words_.agg(F.approx_count_distinct("x")).first()[0]
+    n_sets, bits = max(1, size[0]), min(BUCKETS[1], max(BUCKETS[0], (2 * size[1]).bit_length()))
+    counted = words_.groupBy((F.col("x").bitwiseAND((1 << bits) - 1)).cast("int").alias("k")).count().toArrow()
+    freq = np.zeros(1 << bits, np.int64)
     freq[counted["k"].to_numpy()] = counted["count"].to_numpy()
-    df = spark.sparkContext.broadcast(np.minimum(freq, (1 << 31) - 1).astype(np.int32))
+    df = spark.sparkContext.broadcast(_frequency_code(freq))
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         d = df.value
@@ -237,14 +306,8 @@ def similar_classes(sets: DataFrame, num: int = NUM, den: int = DEN, hot_rows: i
             if not len(pdf):
                 continue
             flat, n = _flat(pdf)
-            row, k = np.repeat(np.arange(len(pdf)), n), _tiers(flat, d, n_sets)
-            seg = np.where(k == 1, 0, (k - 1) * GROUPS + ((flat >> 40) & (GROUPS - 1)))
-            width = 3 * GROUPS
-            count = np.bincount(row * width + seg, minlength=len(pdf) * width).reshape(len(pdf), width)
-            tier = np.array([1] * GROUPS + [2] * GROUPS + [3] * GROUPS)
-            few = np.maximum(0, count - tier + 1).sum(axis=1) < _need(n, num, den)
-            for r in pdf[few].itertuples(index=False):
-                order = np.lexsort((r.w, d[r.w & (BUCKETS - 1)]))[: _need(r.n, num, den)]
+            for r in pdf[_too_few(flat, n, d, n_sets, num, den)].itertuples(index=False):
+                order = np.lexsort((r.w, _code(r.w, d)))[: _need(r.n, num, den)]
                 yield pd.DataFrame({"cid": r.cid, "n": r.n, "a": r.a, "b": r.b, "sig": r.w[order]})[["sig", "cid", "n", "a", "b"]]
 
     form = "sig long, cid long, n int, a long, b long"
@@ -253,11 +316,7 @@ def similar_classes(sets: DataFrame, num: int = NUM, den: int = DEN, hot_rows: i
     found = meeting(cells(sig, hot_rows).select("sig", "cell", "cid", "n", "a", "b", "side"), num, den)
     few = cut(slim.mapInPandas(short, form), "short")
     if not few.isEmpty():
-        every = slim.select(F.explode("w").alias("sig"), "cid", "n", "a", "b").join(few.select("sig").distinct(), "sig", "left_semi")
-        on = F.expr(f"l.sig = r.sig AND l.cid <> r.cid AND bit_count(l.a ^ r.a) + bit_count(l.b ^ r.b) <= (l.n + r.n) * {den - num} div {den + num}")
-        found = found.unionByName(
-            few.alias("l").join(every.alias("r"), on).select(F.least("l.cid", "r.cid").alias("lo"), F.greatest("l.cid", "r.cid").alias("hi"))
-        )
+        found = found.unionByName(_short_pairs(few, slim, num, den, hot_rows))
     pairs = cut(found.distinct(), "pairs")
     # the full check: the words of the classes that are in a pair
     left = base.select(F.col("cid").alias("lo"), F.col("w").alias("lw"))
@@ -288,8 +347,7 @@ def near_pairs(memory: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     hi = members.select(F.col("cid").alias("hi"), F.col("id").alias("y"))
     across = links.join(lo, "lo").join(hi, "hi").select("x", "y")
     many = members.groupBy("cid").count().where("count > 1").select("cid")
-    same = members.join(many, "cid", "left_semi")
-    within = same.select("cid", F.col("id").alias("x")).join(same.select("cid", F.col("id").alias("y")), "cid").where("x < y").select("x", "y")
+    within = all_pairs(members.join(many, "cid", "left_semi").select(F.col("cid").alias("sig"), F.col("id").alias("cid")))
     return across.unionByName(within).select(F.least("x", "y").alias("lo_id"), F.greatest("x", "y").alias("hi_id"))
 
 

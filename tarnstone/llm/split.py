@@ -76,22 +76,27 @@ def _overlap_start(text: str, start: int, end: int, resume: int, need: int, limi
         return gap.end() if gap and gap.end() < end else resume
     at, found = end, resume
     for _ in range(lines):
-        at = text.rfind("\n", start, at)
+        # the end of the line before: \n, or \r alone (of \r\n the \n is met first)
+        at = max(text.rfind("\n", start, at), text.rfind("\r", start, at))
         if at < 0 or at + 1 < earliest:
             break
         found = at + 1
+        if text[at] == "\n" and at > start and text[at - 1] == "\r":
+            at -= 1
     return found
 
 
 def split(text: str, limit: int = LIMIT, chars: int = OVERLAP_CHARS, lines: int | None = None) -> list[tuple[int, int, bool]]:
     """(start, end, forced) of the pieces of a text, each at most ``limit`` characters (code points).
 
-    Every character that isn't white space at a cut is in a piece. A text within the limit, or without a visible
-    character, is one piece. ``lines`` set: pieces overlap by that many whole lines, else by up to ``chars`` characters.
+    Every character that isn't white space at a cut is in a piece. A text within the limit is one piece; one without a
+    visible character is cut every ``limit`` characters, without overlap. ``lines`` set: pieces overlap by that many whole lines, else by up to ``chars`` characters.
     """
     n = len(text)
-    if n <= limit or not text.strip(" \t\r\n"):
-        return [(0, min(n, limit), False)]
+    if n <= limit:
+        return [(0, n, False)]
+    if not text.strip(" \t\r\n"):
+        return [(a, min(n, a + limit), False) for a in range(0, n, limit)]
     out: list[tuple[int, int, bool]] = []
     head = _GAP.match(text)
     start, done = (head.end() if head else 0), 0
@@ -124,8 +129,14 @@ def split(text: str, limit: int = LIMIT, chars: int = OVERLAP_CHARS, lines: int
         start = resume if forced or need - resume > limit else _overlap_start(text, start, end, resume, need, limit, chars, lines)
 
 
-def _lines_before(text: str, at: int) -> int:
-    return len(re.findall(r"\r\n|\n|\r", text[:at]))
+def lines_before(text: str, places: list[int]) -> list[int]:
+    """How many lines have ended before each of the ascending places; the text is read once."""
+    out, done, n = [], 0, 0
+    for at in places:
+        n += text.count("\n", done, at) + text.count("\r", done, at) - text.count("\r\n", max(0, done - 1), at)
+        done = max(done, at)
+        out.append(n)
+    return out
 
 
 def _pieces(kind: str, lines: int | None, limit: int, chars: int):
@@ -133,8 +144,10 @@ def _pieces(kind: str, lines: int | None, limit: int, chars: int):
         for pdf in batches:
             rows = []
             for item, text, first in zip(pdf["item_id"], pdf["text"], pdf["first"], strict=True):
-                for no, (a, b, forced) in enumerate(split(text, limit, chars, lines), 1):
-                    line = None if first is None or pd.isna(first) else int(first) + _lines_before(text, a)
+                pieces = split(text, limit, chars, lines)
+                before = lines_before(text, [a for a, _, _ in pieces]) if lines is not None else [0] * len(pieces)
+                for no, ((a, b, forced), n) in enumerate(zip(pieces, before, strict=True), 1):
+                    line = None if first is None or pd.isna(first) else int(first) + n
                     rows.append((kind, item, no, a, b, line, "forced" if forced else "natural"))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")]).astype({"start_line": "Int64"})
 

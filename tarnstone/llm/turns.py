@@ -1,14 +1,16 @@
 """Speech transcripts into clean speaker turns (problem 3).
 
 A transcript is read in the layout its recorder writes (caption file, JSON lines, clocked lines, labelled lines); its
-segments are swept in order of their clocks (of the text where there are none); a caption that repeats the end of the
-one before loses the longest suffix-prefix overlap; hesitations and sound notes are removed, and a segment with nothing
-else in it is passed over; a turn ends where the speaker changes or, if asked for, at a pause that is long for this
-meeting. Labels are resolved among the people of the meeting only: names in any notation, initials, first names, roles
-and numbered speakers of a legend.
-
-One meeting is one row of work; people are joined to meetings by keys, their list per meeting is as long as the meeting
-has participants.
+segments are swept in order of their clocks (of the text where there are none), with the latest end of all segments
+begun so far, so that overlapping segments leave no silence between them; a caption that repeats the end of the one
+before loses the longest suffix-prefix overlap; hesitations and sound notes are removed, and a segment with nothing else
+in it is passed over; a turn ends where the speaker changes or, if asked for, at a silence that is long for this meeting.
+Where a recorder writes no end, the end is where the words would be spoken at the usual pace of this meeting. Labels are
+resolved among the people of the meeting only: names in any notation, initials, first names, roles and numbered speakers
+of a legend.
+
+One meeting is one row of work, and meetings are spread over the tasks by their id before they are read; people are joined
+to meetings by keys, their list per meeting is as long as the meeting has participants.
 """
 
 from __future__ import annotations
@@ -27,19 +29,23 @@ TURNS = "meeting_id long, turn_no int, person_id long, start double, text string
 # Sounds of hesitation, and fillers that are only cut out of a sentence.
 HESITATIONS = r"(?:u+h+m*|u+m+|e+r+m*|h+m+|m+h*m+|a+h+|e+h+|o+h+|äh+m*|euh+|eh+m*)"
 FILLERS = r"(?:you know|like)"
-_NOTE = re.compile(r"\[[^\[\]\n]{0,60}\]|\([a-z][^()\n]{0,40}\)|<[a-z][^<>\n]{0,30}>|\*[^*\n]{1,40}\*|[♪♫]+[^♪♫\n]{0,60}[♪♫]*", re.I)
+_NOTE = re.compile(r"\[[^\[\]\n]*+\]|\([a-z][^()\n]*+\)|<[a-z][^<>\n]*+>|\*(?!\s)[^*\n]++(?<!\s)\*|(?<![♪♫])[♪♫](?![♪♫])[^♪♫\n]++[♪♫]|[♪♫]+", re.I)
+_NOTE_SIGN = re.compile(r"[\[(<*♪♫]")
 _SOUND = re.compile(rf"(?:\s*[-–—,]\s*)?\b{HESITATIONS}\b(?:\s*[-–—,.…]+(?=\s|$))?", re.I)
+_SOUND_SIGN = re.compile(r"\b(?:u+[hm]|e+r+m|e+r\b|h+m|m+h|m+m|a+h|e+h|o+h|ä+h|eu+h)", re.I)
+_LOOSE = re.compile(r"\s[,.;:?!]|[,;]\s*[,;]")
 _FILLER = re.compile(rf",\s*{FILLERS}\s*,", re.I)
 _CLOCK = r"\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})?"
 _CUE = re.compile(rf"^\s*({_CLOCK})\s*-->\s*({_CLOCK})")
 _VOICE = re.compile(r"^<v\s+([^>]+)>(.*)$", re.S)
 _LEGEND = re.compile(r"(speaker\s*\d+)\s*=\s*([^;\n]+?)(?=\s*(?:[;,]\s*speaker\s*\d+\s*=|;|$))", re.I | re.M)
 _LEAD = re.compile(rf"^\s*[\[(]({_CLOCK})[\])]\s*(.*)$")
-_AFTER = re.compile(rf"^(.{{1,80}}?)\s+\(({_CLOCK})\):\s*(.*)$")
-_HEAD = re.compile(rf"^(\S.{{0,80}}?)\s{{2,}}({_CLOCK})\s*$")
-_PLAIN = re.compile(r"^(?:>>\s*)?([^:\n]{1,80}):\s+(.*)$|^(?:>>\s*)?([^:\n]{1,80}):\s*$")
-_DASH = re.compile(r"^(.{1,80}?)\s[-–—]\s(.*)$")
-Segment = tuple[float | None, str | None, str]
+_AFTER = re.compile(rf"^(\S[^(\n]*?)\s+\(({_CLOCK})\):\s*(.*)$|^(\S.*?)(?<!\s)\s++\(({_CLOCK})\):\s*(.*)$")
+_HEAD = re.compile(rf"^(\S.*?)(?<!\s)\s{{2,}}+({_CLOCK})\s*$")
+_PLAIN = re.compile(r"^(?:>>\s*)?([^:\n]++):\s+(.*)$|^(?:>>\s*)?([^:\n]++):\s*$")
+_DASH = re.compile(r"^(.+?)\s[-–—]\s(.*)$")
+#: start, end, label, text
+Segment = tuple[float | None, float | None, str | None, str]
 
 
 def seconds(clock: str) -> float:
@@ -49,11 +55,15 @@ def seconds(clock: str) -> float:
 
 def clean(text: str) -> str:
     """The words of a segment without sound notes, hesitations and fillers."""
-    text = _NOTE.sub(" ", text)
+    if _NOTE_SIGN.search(text):
+        text = _NOTE.sub(" ", text)
     text = _FILLER.sub(",", text)
-    text = _SOUND.sub(" ", text)
-    text = re.sub(r"\s+([,.;:?!])", r"\1", re.sub(r"\s+", " ", text))
-    text = re.sub(r"([,;])(?:\s*[,;])+", r"\1", text).strip(" ,;-–—")
+    if _SOUND_SIGN.search(text):
+        text = _SOUND.sub(" ", text)
+    text = " ".join(text.split())
+    if _LOOSE.search(text):
+        text = re.sub(r"([,;])(?:\s*[,;])+", r"\1", re.sub(r"\s+([,.;:?!])", r"\1", text))
+    text = text.strip(" ,;-–—")
     return text if re.search(r"[^\W_]", text) else ""
 
 
@@ -62,6 +72,9 @@ class Labels:
 
     def __init__(self, people: list[tuple[int, str | None, str | None]], legend: dict[str, str]):
         self.people = [(i, *parse_name(name)) for i, name in dict.fromkeys((i, name) for i, name, _ in people)]
+        self.names: dict[int, set[str]] = {}
+        for i, name, _ in people:
+            self.names.setdefault(i, set()).update(fold(w) for w in re.findall(r"[^\W\d_]+(?:[-'][^\W\d_]+)*", name if isinstance(name, str) else ""))
         self.roles: dict[str, list[int]] = {}
         for i, _, role in people:
             if isinstance(role, str) and role.strip() and i not in self.roles.setdefault(self.form(role), []):
@@ -73,7 +86,7 @@ class Labels:
         return re.sub(r"[\s_-]+", " ", fold(label)).strip(" .:>")
 
     def __call__(self, label: str | None) -> int | None:
-        if not label or len(label) > 90:
+        if not label:
             return None
         if label not in self.known:
             self.known[label] = self.find(label)
@@ -89,8 +102,12 @@ class Labels:
         if form in self.roles:
             return self.roles[form][0] if len(self.roles[form]) == 1 else None
         words = re.findall(r"[^\W\d_]+(?:[-'][^\W\d_]+)*", label)
-        if not words or len(words) > 5:
+        if not words:
             return None
+        if len(words) > 5:  # a long label must be made of a name of its own, else it is speech before a colon
+            said = {fold(w) for w in words}
+            fits = [i for i, _, f, s in self.people if len(f) > 1 and len(s) > 1 and {f, s} <= said and len(said & self.names[i]) * 2 >= len(said)]
+            return fits[0] if len(fits) == 1 else None
         if len(words) == 1 or all(len(w) == 1 for w in words):
             return self.short(fold("".join(words)), label)
         _, first, last = parse_name(label)
@@ -124,21 +141,21 @@ class Labels:
 
 def _captions(lines: list[str], who: Callable[[str | None], int | None]) -> list[Segment]:
     out: list[Segment] = []
-    at, body = None, []
+    at, end, body = None, None, []
 
     def close() -> None:
         if at is not None:
             text = "\n".join(body).strip()
             voice = _VOICE.match(text)
             if voice:
-                out.append((at, voice[1].strip(), voice[2].replace("</v>", "")))
+                out.append((at, end, voice[1].strip(), voice[2].replace("</v>", "")))
             else:
                 m = _PLAIN.match(text.partition("\n")[0])
                 label = m and (m[1] or m[3])
                 if label and who(label) is not None:
-                    out.append((at, label, text[m.end(1 if m[1] else 3) + 1 :]))
+                    out.append((at, end, label, text[m.end(1 if m[1] else 3) + 1 :]))
                 else:
-                    out.append((at, None, text))
+                    out.append((at, end, None, text))
 
     for line in lines:
         cue = _CUE.match(line)
@@ -146,7 +163,7 @@ def _captions(lines: list[str], who: Callable[[str | None], int | None]) -> list
             if body and body[-1].strip().isdigit():
                 body.pop()
             close()
-            at, body = seconds(cue[1]), []
+            at, end, body = seconds(cue[1]), seconds(cue[2]), []
         elif at is not None:
             body.append(line)
     close()
@@ -161,8 +178,9 @@ def _json_lines(lines: list[str]) -> list[Segment]:
         except ValueError:
             continue
         if isinstance(x, dict):
-            start = x.get("start")
-            out.append((float(start) if isinstance(start, (int, float)) else None, x.get("speaker"), str(x.get("text") or "")))
+            start, end = [float(v) if isinstance(v, (int, float)) else None for v in (x.get("start"), x.get("end"))]
+            label = x.get("speaker")
+            out.append((start, end, label if label is None else str(label), str(x.get("text") or "")))
     return out
 
 
@@ -174,13 +192,13 @@ def _labelled(lines: list[str], start: Callable[[str], Segment | None]) -> list[
         if new:
             out.append(new)
         elif out and line.strip():
-            at, label, text = out[-1]
-            out[-1] = (at, label, f"{text}\n{line.strip()}")
+            at, end, label, text = out[-1]
+            out[-1] = (at, end, label, f"{text}\n{line.strip()}")
     return out
 
 
 def segments(text: str, who: Labels) -> list[Segment]:
-    """(clock, label, text) of a transcript in any known layout; without a known label there is none."""
+    """The segments of a transcript in any known layout; without a known label there is none."""
     lines = re.split(r"\r\n|\n|\r", text)
     full = [x for x in lines if x.strip()]
     if any(_CUE.match(x) for x in full):
@@ -195,40 +213,43 @@ def segments(text: str, who: Labels) -> list[Segment]:
         p = _PLAIN.match(m[2])
         label = p and (p[1] or p[3])
         if label and who(label) is not None:
-            return seconds(m[1]), label, p[2] or ""
+            return seconds(m[1]), None, label, p[2] or ""
         d = _DASH.match(m[2])
         if d and who(d[1]) is not None:
-            return seconds(m[1]), d[1], d[2]
-        return seconds(m[1]), None, m[2]
+            return seconds(m[1]), None, d[1], d[2]
+        return seconds(m[1]), None, None, m[2]
 
     def after(line: str) -> Segment | None:
         m = _AFTER.match(line)
-        return (seconds(m[2]), m[1], m[3]) if m else None
+        return (seconds(m[2] or m[5]), None, m[1] or m[4], m[3] if m[2] else m[6]) if m else None
 
     def head(line: str) -> Segment | None:
         m = _HEAD.match(line)
-        return (seconds(m[2]), m[1], "") if m else None
+        return (seconds(m[2]), None, m[1], "") if m else None
 
     def plain(line: str) -> Segment | None:
         m = _PLAIN.match(line)
         label = m and (m[1] or m[3])
-        return (None, label, m[2] or "") if label and who(label) is not None else None
+        return (None, None, label, m[2] or "") if label and who(label) is not None else None
 
     def dash(line: str) -> Segment | None:
         m = _DASH.match(line)
-        return (None, m[1], m[2]) if m and who(m[1]) is not None else None
+        return (None, None, m[1], m[2]) if m and who(m[1]) is not None else None
 
     def clocked(line: str) -> Segment | None:
         return after(line) or lead(line) or head(line)
 
-    if sum(clocked(x) is not None for x in full) >= max(1, len(full) // 8):
-        return _labelled(lines, clocked)
-    return max((_labelled(lines, s) for s in (plain, dash)), key=len)
+    # the layout under which most segments have a speaker; of equal ones the first
+    spoken = lambda found: sum(s[2] is not None and who(s[2]) is not None for s in found)
+    return max((_labelled(lines, s) for s in (clocked, plain, dash)), key=spoken)
 
 
 def overlap(a: str, b: str) -> int:
     """Length of the longest suffix of a that is a prefix of b, at a word's end (Knuth-Morris-Pratt)."""
-    s = f"{b}\0{a[-len(b):] if b else ''}"
+    a = a[-len(b) :] if b else ""
+    if a.rfind(b[: min(4, len(b))]) < 0 and not any(b.startswith(a[-k:]) for k in range(1, min(4, len(a) + 1))):
+        return 0
+    s = f"{b}\0{a}"
     fail = [0] * len(s)
     for i in range(1, len(s)):
         k = fail[i - 1]
@@ -241,22 +262,48 @@ def overlap(a: str, b: str) -> int:
     return k
 
 
+def _tail(parts: list[str], size: int) -> str:
+    """At least the last ``size`` characters of the joined parts, if there are as many."""
+    tail = ""
+    for part in reversed(parts):
+        tail = f"{part} {tail}" if tail else part
+        if len(tail) >= size:
+            break
+    return tail
+
+
+def silences(found: list[Segment]) -> tuple[list[float], float]:
+    """Before each segment (in order of the clock) the time since the last end so far, and from where on it is long.
+
+    Long is eight times the median time from start to start. Without clocks there is no silence.
+    """
+    gaps = [(b[0] - a[0], len(a[3])) for a, b in zip(found, found[1:], strict=False) if a[0] is not None and b[0] is not None]
+    middle = lambda x: sorted(x)[len(x) // 2] if x else 0.0
+    pace, long = middle([g / max(1, n) for g, n in gaps]), 8 * middle([g for g, _ in gaps])
+    out, reach = [], None
+    for start, end, _, text in found:
+        out.append(0.0 if start is None or reach is None else start - reach)
+        if start is not None:
+            done = end if end is not None and end >= start else start + pace * len(text)
+            reach = done if reach is None else max(reach, done)
+    return out, long if gaps else float("inf")
+
+
 def turns(text: str, people: list[tuple[int, str | None, str | None]], pauses: bool = False) -> list[tuple[int, float | None, str]]:
     """(person, start, clean text) of the turns of one transcript.
 
     A segment of nobody known without words is passed over; with words it ends the turn before it, unless it has no
-    label at all. ``pauses``: a gap of more than eight times the median gap of the meeting also ends a turn.
+    label at all. ``pauses``: a silence (see ``silences``) that is long for the meeting also ends a turn.
     """
-    who = Labels(people, {k: v for k, v in _LEGEND.findall(text)})
-    found = [(at, label, t) for at, label, t in segments(text, who)]
-    if found and all(at is not None for at, _, _ in found):
+    who = Labels(people, {k: v for k, v in _LEGEND.findall(text)} if "=" in text else {})
+    found = segments(text, who)
+    if found and all(s[0] is not None for s in found):
         found.sort(key=lambda s: s[0])
-    clocks = [at for at, _, _ in found if at is not None]
-    gaps = sorted(b - a for a, b in zip(clocks, clocks[1:], strict=False))
-    long = 8 * gaps[len(gaps) // 2] if pauses and gaps else float("inf")
-    out: list[tuple[int, float | None, str]] = []
-    last, before = None, None
-    for at, label, raw in found:
+    quiet, long = silences(found) if pauses else ([0.0] * len(found), float("inf"))
+    out: list[tuple[int, float | None, list[str]]] = []
+    last, paused = None, False
+    for (at, _, label, raw), silence in zip(found, quiet, strict=True):
+        paused |= silence > long
         words = clean(raw)
         if not words:
             continue
@@ -265,15 +312,15 @@ def turns(text: str, people: list[tuple[int, str | None, str | None]], pauses: b
             if label:
                 last = None
             continue
-        paused = at is not None and before is not None and at - before > long
         if person == last and not paused:
-            p, start, text_ = out[-1]
-            k = overlap(text_.lower(), words.lower())
-            out[-1] = (p, start, f"{text_} {words[k:].strip()}".strip() if k > 3 else f"{text_} {words}")
+            k = overlap(_tail(out[-1][2], len(words)).lower(), words.lower())
+            rest = words[k:].strip() if k > 3 else words
+            if rest:
+                out[-1][2].append(rest)
         else:
-            out.append((person, at, words))
-        last, before = person, at
-    return out
+            out.append((person, at, [words]))
+        last, paused = person, False
+    return [(p, start, " ".join(parts)) for p, start, parts in out]
 
 
 def _run(pauses: bool):
@@ -301,5 +348,7 @@ def speaker_turns(meetings: DataFrame, meeting_people: DataFrame, people: DataFr
         .join(people.select(F.col("id").cast("long").alias("person_id"), F.col("name").cast("string").alias("name")), "person_id", "left")
         .groupBy("meeting_id").agg(F.collect_list(F.struct("person_id", "name", "role")).alias("people"))
     )
-    spoken = meetings.where("trim(transcript) <> ''").select(F.col("id").cast("long").alias("meeting_id"), "transcript")
-    return spoken.join(listed, "meeting_id").mapInPandas(_run(pauses), TURNS)
+    spoken = meetings.where("id IS NOT NULL AND trim(transcript) <> ''").select(F.col("id").cast("long").alias("meeting_id"), F.col("transcript").cast("string").alias("transcript"))
+    # a number of its own keeps the tasks apart, however few bytes the texts have: the work is in reading them
+    tasks = int(meetings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return spoken.repartition(tasks, "meeting_id").join(listed, "meeting_id").mapInPandas(_run(pauses), TURNS)

@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from tarnstone.llm import components, names, near, truth
@@ -193,3 +194,33 @@ def test_near_pairs_equal_brute_force(spark, monkeypatch, cap, hot):
 def test_near_empty(spark):
     df = spark.createDataFrame([], "id long, key string, value string")
     assert near.near_pairs(df).count() == 0 and near.near_groups(df).count() == 0
+
+
+def test_near_long_and_frequent_words(spark):
+    """Long sets need a number of signatures in proportion to their words; sets of frequent words only meet exactly."""
+    rng = random.Random(8)
+    code = np.full(1 << 16, 200, np.uint8)
+    counts = [len(near.signatures(np.array([rng.getrandbits(62) for _ in range(n)], np.int64), code, 1 << 40)) for n in (40, 200, 1000, 4000)]
+    assert counts[3] < 8 * counts[2] and counts[2] < 8 * counts[1] and counts[2] < 20_000
+    common, rows = [f"c{k}" for k in range(7)], []
+    for k in range(260):
+        rows.append(" ".join(rng.sample(common, rng.randrange(1, 5))))
+    for k in range(30):
+        long = [f"w{rng.randrange(400)}" for _ in range(rng.randrange(60, 300))]
+        rows += [" ".join(long), " ".join(long[rng.randrange(12) :] + ["extra"])]
+    df = spark.createDataFrame([(k, None, v) for k, v in enumerate(rows)], "id long, key string, value string")
+    sets = [set(v.split()) for v in rows]
+    want = {(a, b) for a in range(len(rows)) for b in range(a + 1, len(rows)) if 10 * len(sets[a] & sets[b]) >= 7 * len(sets[a] | sets[b])}
+    for hot in (100_000, 20):
+        members, classes = near.classes_of(df)
+        links = {(r.lo, r.hi) for r in near.similar_classes(classes, hot_rows=hot).collect()}
+        of = {r.id: r.cid for r in members.collect()}
+        assert links == {tuple(sorted((of[a], of[b]))) for a, b in want if of[a] != of[b]}
+    assert {(r.lo_id, r.hi_id) for r in near.near_pairs(df).collect()} == want
+
+
+def test_all_pairs_of_a_large_group(spark):
+    df = spark.createDataFrame([(k // 50, k) for k in range(120)], "sig long, cid long")
+    want = {(a, b) for a in range(120) for b in range(a + 1, 120) if a // 50 == b // 50}
+    got = [(r.x, r.y) for r in near.all_pairs(df, hot_rows=7).collect()]
+    assert len(got) == len(want) and set(got) == want

@@ -38,6 +38,21 @@ def test_rolling_captions_and_pauses():
     assert [t for _, _, t in turns.turns(text, PEOPLE, pauses=True)] == ["we move the call graph now and then we stop", "again"]
 
 
+def test_silence_is_measured_from_the_last_end():
+    cue = lambda a, b, t: f"00:{a:02d}:00.000 --> 00:{b:02d}:00.000\nAda: {t}\n"
+    text = "WEBVTT\n\n" + "\n".join([cue(0, 1, "one"), cue(1, 30, "a long one"), cue(2, 3, "over it"), cue(30, 31, "right after"), cue(31, 32, "more"), cue(33, 34, "and"), cue(55, 56, "late")])
+    assert [t for _, _, t in turns.turns(text, PEOPLE, pauses=True)] == ["one a long one over it right after more and", "late"]
+    assert len(turns.turns(text, PEOPLE)) == 1
+
+
+def test_long_notes_and_labels():
+    note = "[" + "the door of the northern room opens and closes again " * 3 + "]"
+    assert turns.clean(note) == "" and turns.clean("♪ la la ♪ we start") == "we start" and turns.clean("about ♪♪ the plan ♪♪ of May") == "about the plan of May"
+    label = "Ada Maria Brontefield (" + "team of the northern room and its doors " * 3 + ")"
+    assert [p for p, _, _ in turns.turns(f"{label}: one\nCyril: two\n{note}\nCyril: three", PEOPLE)] == [1, 2]
+    assert turns.turns("We asked what Ada and then Brontefield wanted from us all: nothing", PEOPLE) == []
+
+
 def test_turns_frame(spark):
     m = spark.createDataFrame([(1, "Ada: hi", "x"), (2, None, "x"), (3, "Ada: x", "x"), (4, "", "x")], "id long, transcript string, people string")
     mp = spark.createDataFrame([(1, 1, "host"), (1, 1, "guest"), (1, None, None), (None, 1, None), (2, 1, None), (4, 1, None)], "meeting_id long, person_id long, role string")
@@ -46,6 +61,15 @@ def test_turns_frame(spark):
     assert turns.speaker_turns(m.limit(0), mp, p).count() == 0
 
 
+def test_blank_and_carriage_returns():
+    assert split.split(" \n" * 900) == [(0, 800, False), (800, 1600, False), (1600, 1800, False)]
+    text = "\r".join(f"line {k} " + "x" * 90 for k in range(40))
+    pieces = split.split(text, lines=3)
+    assert all(text[a - 1] == "\r" for a, _, _ in pieces[1:]) and any(b[0] < a[1] for a, b in zip(pieces, pieces[1:]))
+    places = [a for a, _, _ in pieces]
+    assert split.lines_before(text, places) == [len(re.findall(r"\r\n|\n|\r", text[:a])) for a in places]
+
+
 def _texts():
     rng = random.Random(4)
     gaps = [" ", " ", " ", "\n", "\n\n", "\r\n", "\t", ". ", "  "]
@@ -123,7 +147,7 @@ def test_encode_frame(spark, vocabulary):
 ITEM = "Which of the five quiet sketches by Dalia shows the cold engine with exactly 22 teeth on it?"
 
 
-@pytest.mark.parametrize("limit", [leaks.MAX_ITEM_BYTES, 1])
+@pytest.mark.parametrize("limit", [leaks.BLOCK_BYTES, 40])
 def test_leaks(spark, limit):
     docs = [
         (1, "before " + ITEM + " after"), (2, "WHICH OF THE FIVE <em>QUIET</em> SKETCHES, by Da​lia shóws **the** cold engine"),
@@ -133,10 +157,40 @@ def test_leaks(spark, limit):
     items = [(10, ITEM), (11, "Short one here?"), (12, None), (13, "..."), (14, ITEM)]
     d = spark.createDataFrame([(*r, "x") for r in docs], "doc_id long, text string, item_id string")
     i = spark.createDataFrame(items, "item_id long, text string")
-    got = {(r.doc_id, r.item_id) for r in leaks.leaks(d, i, max_item_bytes=limit).collect()}
+    got = {(r.doc_id, r.item_id) for r in leaks.leaks(d, i, block_bytes=limit).collect()}
     assert got == {(k, n) for k in (1, 2, 4, 9) for n in (10, 14)} | {(5, 11)}
 
 
+def test_spans_are_the_same_for_any_blocks(spark):
+    words = [f"w{k}" for k in range(60)]
+    d = spark.createDataFrame([(1, " ".join(words[:30])), (2, " ".join(words[20:] + words[:14])), (2, "x")], "doc_id long, text string")
+    i = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:20] * 2)), (3, "w7 w8")], "item_id long, text string")
+    want = {(1, 1, 0, 30), (1, 2, 0, 20), (1, 3, 7, 9), (2, 1, 0, 54), (2, 2, 40, 54), (2, 3, 47, 49)}
+    for limit in (leaks.BLOCK_BYTES, 100):
+        assert {tuple(r) for r in leaks.leak_spans(d, i, block_bytes=limit).collect()} == want
+
+
+def test_leaks_under_markup():
+    assert leaks.words_of("two<br>three <p class='x'>four</p>five w<b>or</b>d") == ["two", "three", "four", "five", "word"]
+    assert leaks.words_of(f'one <a href="{"x" * 900}" title=y>two</a>') == ["one", "two"]
+    assert leaks.words_of("if a <b and so on " + "word " * 3) == ["if", "a", "b", "and", "so", "on", "word", "word", "word"]
+    assert leaks.words_of(f"[link](http://{'y' * 900}.example) ok") == ["link", "ok"]
+    assert leaks.words_of("東京 abc") == ["東", "京", "abc"]
+
+
+def test_leak_windows_by_brute_force():
+    rng = random.Random(3)
+    word = lambda: rng.choice("abcd")
+    items = [(k, " ".join(word() for _ in range(rng.randrange(1, 9)))) for k in range(30)]
+    index = leaks.Index(items, 5)
+    for _ in range(50):
+        words = [word() for _ in range(rng.randrange(40))]
+        runs = {(k, a) for k, t in items for r in leaks.runs_of(t.split(), 5) for a in range(len(words)) if tuple(words[a : a + len(r)]) == r}
+        got = index.hits(words, leaks.Windows(), {})
+        assert {k for k, _ in runs} == {k for k, _, _ in got}
+        assert all(any(i == k and a <= x < b for i, a, b in got) for k, x in runs)
+
+
 def test_leak_removal(spark):
     d = spark.createDataFrame([(1, ITEM, 1), (2, "fine", 1), (3, None, 1)], "doc_id long, text string, _leaked int")
     i = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
