@@ -3,12 +3,15 @@
 The vocabulary is a parameter: a file of base64 byte strings with their ranks. A text is cut by the vocabulary's
 pattern; a piece that is itself in the vocabulary is one id; any other piece is merged by ``merge_piece``. Pieces repeat
 heavily, so each Python worker keeps the ids of the pieces it has met, up to a bound.
+
+The driver reads the file and ships its bytes; a worker parses them once, for all its tasks.
 """
 
 from __future__ import annotations
 
 import base64
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,9 +22,12 @@ CACHE_PIECES, CACHE_BYTES = 200_000, 64
 _NONE = 1 << 60
 
 
+def parse_ranks(raw: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines() if line.strip())}
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
-    with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    return parse_ranks(Path(path).read_bytes())
 
 
 def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -88,9 +94,28 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 def encoder(path: str, pattern: str) -> Callable[[str | None], list[int]]:
     """A function from text to ids; null and empty text give the empty list."""
+    return Vocabulary(Path(path).read_bytes(), pattern).encoder()
+
+
+class Vocabulary:
+    """The bytes of a vocabulary file and its pattern; where it is used, the encoder made of them is kept with it."""
+
+    def __init__(self, raw: bytes, pattern: str):
+        self.raw, self.pattern, self.made = raw, pattern, None
+
+    def __getstate__(self) -> dict:
+        return {"raw": self.raw, "pattern": self.pattern, "made": None}
+
+    def encoder(self) -> Callable[[str | None], list[int]]:
+        if self.made is None:
+            self.made = _encoder(parse_ranks(self.raw), self.pattern)
+        return self.made
+
+
+def _encoder(ranks: dict[bytes, int], pattern: str) -> Callable[[str | None], list[int]]:
     import regex
 
-    ranks, cut = read_ranks(path), regex.compile(pattern)
+    cut = regex.compile(pattern)
     known: dict[str, list[int]] = {}
 
     def ids_of(piece: str) -> list[int]:
@@ -119,12 +144,14 @@ def encode_corpus(documents: DataFrame, path: str, pattern: str, id_col: str = "
     """(doc_id BIGINT, ids ARRAY<INT>) of every row, without special tokens.
 
     Null and empty texts give the empty list; repeated rows come out repeated; a text of any length is one task's work
-    and is encoded whole. Strings of special tokens are ordinary text. ``path`` must be readable on every executor.
+    and is encoded whole. Strings of special tokens are ordinary text. ``path`` is read on the driver.
     """
     slim = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
+    shared = documents.sparkSession.sparkContext.broadcast(Vocabulary(Path(path).read_bytes(), pattern))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(path, pattern)
+        encode = shared.value.encoder()
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": [encode(t) if isinstance(t, str) else [] for t in pdf["text"]]})
 

@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -55,7 +56,10 @@ TRADES = {"instruments", "optics", "translations", "legal", "catering", "analyti
 MAILBOXES = {"info", "sales", "office", "hello", "billing", "contact", "admin", "support", "mail", "team", "hr", "press", "accounts"}
 FILLERS = {"", "-", "?", "n/a", "na", "none", "null", "unknown", "ghost", "tbd", "x", "nil", "none@none.example"}
 _PLAIN = str.maketrans({"ł": "l", "ø": "o", "ß": "ss", "æ": "ae", "œ": "oe", "đ": "d", "ð": "d", "þ": "th", "ı": "i"})
+_ALIKE, _TWICE = str.maketrans("yzwcqj", "isvkki"), re.compile(r"(.)\1+")
 _MAIL = re.compile(r"[\w.+'-]+@[\w-]+(?:\.[\w-]+)+")
+#: Words and pairs of words whose results a worker keeps; names repeat.
+CACHE = 1 << 16
 PARSED = "id long, org boolean, first string, last string, mail string, grade int, handle string"
 #: Grades of an address: only made of the person's name; with a number of its own; made otherwise.
 PLAIN, NUMBERED, ODD = 1, 2, 3
@@ -64,6 +68,8 @@ SHARED_ROWS, SHARED_FIT = 3, 0.5
 
 
 def fold(text: str) -> str:
+    if text.isascii():
+        return text.lower()
     text = unicodedata.normalize("NFKD", text.lower().translate(_PLAIN))
     return "".join(c for c in text if unicodedata.category(c) not in ("Mn", "Cf")).translate(_PLAIN)
 
@@ -109,6 +115,7 @@ def mail_grade(mail: str, org: bool, first: str, last: str) -> int:
     return ODD if odd else NUMBERED if numbered else PLAIN
 
 
+@lru_cache(CACHE)
 def parse_name(name: str | None) -> tuple[bool, str, str]:
     """(organisation?, first, last); an unknown part is empty, one that is only an initial has one letter."""
     if not isinstance(name, str) or not name.strip():
@@ -144,13 +151,15 @@ def parse_name(name: str | None) -> tuple[bool, str, str]:
     return False, fold(raw[0]), fold(raw[-1])
 
 
+@lru_cache(CACHE)
 def phonetic(word: str) -> str:
     """Letters that sound alike made one: a code that keeps vowels, for names of any language."""
-    for a, b in (("ph", "f"), ("ck", "k"), ("th", "t"), ("qu", "kv"), ("sch", "s"), ("sh", "s"), ("y", "i"), ("z", "s"), ("w", "v"), ("c", "k"), ("q", "k"), ("j", "i")):
+    for a, b in (("ph", "f"), ("ck", "k"), ("th", "t"), ("qu", "kv"), ("sch", "s"), ("sh", "s")):
         word = word.replace(a, b)
-    return re.sub(r"(.)\1+", r"\1", word)
+    return _TWICE.sub(r"\1", word.translate(_ALIKE))
 
 
+@lru_cache(CACHE)
 def distance(a: str, b: str, limit: int = 3) -> int:
     """Edits (insert, delete, replace, swap neighbours) between two words, or ``limit`` if there are as many."""
     if a == b:
@@ -172,6 +181,7 @@ def distance(a: str, b: str, limit: int = 3) -> int:
     return min(row[-1], limit)
 
 
+@lru_cache(CACHE)
 def jaro_winkler(a: str, b: str) -> float:
     if a == b:
         return 1.0
@@ -198,6 +208,7 @@ def jaro_winkler(a: str, b: str) -> float:
     return jaro + same * 0.1 * (1 - jaro)
 
 
+@lru_cache(CACHE)
 def first_score(a: str, b: str) -> float:
     """1 equal, 0.9 nickname, 0.85 slip, 0.6 initial, 0.5 unknown, 0 different."""
     if not a or not b:
@@ -215,6 +226,7 @@ def first_score(a: str, b: str) -> float:
     return 0.85 if best >= 0.8 else 0.0
 
 
+@lru_cache(CACHE)
 def last_score(a: str, b: str) -> float:
     if not a or not b:
         return 0.5
@@ -247,7 +259,11 @@ def name_score(org: bool, first: str, last: str, org2: bool, first2: str, last2:
     f, s = first_score(first, first2), last_score(last, last2)
     if f == 0 or s == 0:
         # one of the two may have the parts in the other order; both must be there and fit
-        if org or org2 or min(len(first), len(last), len(first2), len(last2)) < 3:
+        if org or org2 or min(len(first), len(last), len(first2), len(last2)) < 2:
+            return 0.0
+        if (first, last) == (last2, first2):
+            return 0.9
+        if min(len(first), len(last), len(first2), len(last2)) < 3:
             return 0.0
         f, s = min(first_score(first, last2), first_score(last2, first)), last_score(last, first2)
         return 0.0 if f < 0.85 or s == 0 else f * s
@@ -301,17 +317,19 @@ def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 keys.add("m" + r.mail)
             if r.handle:
                 keys.add("h" + r.handle)
-            if len(r.last) > 2:
+            if len(r.last) > 1:
                 codes = {phonetic(re.sub(r"[\s-]", "", r.last)), *(phonetic(x) for x in r.last.split("-") if "-" in r.last and len(x) > 3)}
                 if r.org:
                     marks = ["#" + r.first]
                 else:
                     marks = {f[0] for f in [*NICKNAMES.get(r.first, "").split(), r.first] if f} or {"?"}
-                for form in {f for code in codes for f in (code, *(code[:k] + code[k + 1 :] for k in range(len(code))))}:
+                # a name of two letters has no slip that leaves it recognisable
+                for form in {f for code in codes for f in (code, *(code[:k] + code[k + 1 :] for k in range(len(code) if len(code) > 2 else 0)))}:
                     keys |= {f"n{form} {m}" for m in marks}
-                if not r.org and len(r.first) > 2:
+                if not r.org and len(r.first) > 1:
                     first, last = phonetic(r.first), phonetic(r.last.replace("-", ""))
-                    for f, form in [(first, last), *((first[:k] + first[k + 1 :], last) for k in range(len(first))), *((first, last[:k] + last[k + 1 :]) for k in range(len(last)))]:
+                    slips = min(len(r.first), len(r.last)) > 2
+                    for f, form in [(first, last), *((first[:k] + first[k + 1 :], last) for k in range(len(first) if slips else 0)), *((first, last[:k] + last[k + 1 :]) for k in range(len(last) if slips else 0))]:
                         keys.add("s" + " ".join(sorted((f, form))))
             rows += [(k, r.cid) for k in keys]
         yield pd.DataFrame(rows, columns=["sig", "cid"])
@@ -352,7 +370,7 @@ def link_people(people: DataFrame, hot_rows: int = 20_000) -> DataFrame:
     rows = cut(parsed_people(people), "parsed")
     fields = ["org", "first", "last", "mail", "grade", "handle"]
     tag = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in fields])
-    usable = F.col("mail").isNotNull() | F.col("handle").isNotNull() | ((F.length("last") > 2) & (F.length("first") > 0))
+    usable = F.col("mail").isNotNull() | F.col("handle").isNotNull() | ((F.length("last") > 1) & (F.length("first") > 0))
     rows = rows.where(usable).withColumn("tag", tag)
     records = cut(rows.groupBy("tag", *fields).agg(F.min("id").alias("cid"), F.count("*").alias("n")), "records")
     pairs = cut(scored_pairs(records.drop("tag", "n", "grade"), hot_rows), "scored")

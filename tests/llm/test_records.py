@@ -224,3 +224,9 @@ def test_all_pairs_of_a_large_group(spark):
     want = {(a, b) for a in range(120) for b in range(a + 1, 120) if a // 50 == b // 50}
     got = [(r.x, r.y) for r in near.all_pairs(df, hot_rows=7).collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_names_of_two_letters(spark):
+    rows = [(1, "Wei Li"), (2, "Li, Wei"), (3, "Wei Lu"), (4, "Li Wei"), (5, "Xu"), (6, "Anna Ng"), (7, "ANNA NG"), (8, "Anna Ho")]
+    df = spark.createDataFrame([(*r, None, None) for r in rows], "id long, name string, email string, github_username string")
+    assert {(r.lo_id, r.hi_id) for r in names.variant_pairs(df).collect()} == {(1, 2), (1, 4), (2, 4), (6, 7)}
