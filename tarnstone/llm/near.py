@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from tarnstone.storage import cut
 
 NUM, DEN = 7, 10
-CAP, GROUPS, LEVEL = 128, 4, 48
+CAP, GROUPS, LEVEL = 128, 4, 96
 #: Least and most hash buckets of word frequencies, as powers of two, and steps a doubling of a frequency.
 BUCKETS, STEPS = (16, 22), 8
 #: Rows of one signature that a task compares; rows read before a comparison starts.
