@@ -246,8 +246,8 @@ def context(c: Column | str, n: int = 200) -> Column:
 
 
 def passage(header: Column | str, text: Column | str) -> Column:
-    """A text below its header and a blank line; without header the text."""
-    return F.when(col(header).isNull(), col(text)).otherwise(F.concat(col(header), F.lit("\n\n"), col(text)))
+    """A text below its header and a blank line; without header, or with an empty one, the text."""
+    return F.when(F.nullif(col(header), F.lit("")).isNull(), col(text)).otherwise(F.concat(col(header), F.lit("\n\n"), col(text)))
 
 
 def slug(c: Column | str) -> Column:
@@ -331,40 +331,49 @@ def truncate_bytes(text: str, n: int) -> str:
 
 
 def split_long(paragraph: str, limit: int) -> list[str]:
-    """A paragraph in pieces of at most ``limit`` characters, cut after the last line or word that fits."""
-    out, rest = [], paragraph.strip()
+    """A paragraph in pieces of at most ``limit`` characters, each ending with the last line or word of its window.
+
+    The window is the first ``limit`` characters; a gap that is its first character doesn't count, and without another
+    one the window is cut hard. Only a paragraph that was cut loses the white space at the cuts.
+    """
+    out, rest = [], paragraph
     while len(rest) > limit:
-        window = rest[: limit + 1]
-        at = max(window.rfind("\n"), window.rfind(" "))
-        at = at if at > 0 else limit
-        out.append(rest[:at].strip())
-        rest = rest[at:].strip()
+        gap = max(rest.rfind("\n", 1, limit), rest.rfind(" ", 1, limit))
+        cut = gap + 1 if gap > 0 else limit
+        out.append(rest[:cut].rstrip())
+        rest = rest[cut:].lstrip()
     return [x for x in [*out, rest] if x]
 
 
 def overlap_tail(paragraph: str, overlap: int, room: int) -> str:
-    size = min(overlap, room)
-    if len(paragraph) <= size:
-        return paragraph
-    size = min(overlap, room - 3)
+    """What of a paragraph opens the next chunk: all of it, its end behind three dots, or nothing."""
+    if not overlap or len(paragraph) <= min(overlap, room):
+        return paragraph if overlap else ""
+    size = min(overlap, len(paragraph), room - 3)
     return "..." + paragraph[-size:] if size > 0 else ""
 
 
 def chunk_text(text: str, limit: int, overlap: int) -> list[str]:
-    """Chunks of whole paragraphs, packed up to ``limit`` characters, each starting with the end of the one before."""
+    """Chunks of whole paragraphs, packed up to ``limit`` characters, each starting with the end of the paragraph before.
+
+    A text within the limit is one chunk as it stands.
+    """
+    limit = max(1, limit)
     if len(text) <= limit:
-        return [text] if text.strip() else []
-    pieces = [x for p in text.split("\n\n") if p.strip() for x in split_long(p, limit)]
+        return [text]
     out: list[str] = []
-    now = ""
-    for piece in pieces:
-        if now and len(now) + 2 + len(piece) > limit:
-            out.append(now)
-            tail = overlap_tail(now.split("\n\n")[-1], overlap, limit - len(piece) - 2) if overlap else ""
-            now = f"{tail}\n\n{piece}" if tail else piece
-        else:
-            now = f"{now}\n\n{piece}" if now else piece
-    return [*out, now] if now else out
+    now: list[str] = []
+    before, size = "", -2
+    for piece in (x for p in text.split("\n\n") if p.strip() for x in split_long(p, limit)):
+        if now and size + 2 + len(piece) > limit:
+            out.append("\n\n".join(now).strip())
+            tail = overlap_tail(before, overlap, max(0, limit - len(piece) - 2))
+            now, size = ([tail], len(tail)) if tail else ([], -2)
+        now.append(piece)
+        size += 2 + len(piece)
+        before = piece
+    last = "\n\n".join(now).strip()
+    return [*out, last] if last else out
 
 
 def lines_of(text: str) -> list[str]:

@@ -2,7 +2,8 @@
 
 ``cut`` writes a frame as Parquet below the cluster's shared folder (``spark.checkpoint.dir``) and reads it back, so
 that a lost executor never forces an iterative job to replay all its earlier rounds. Only where the session names no
-such folder (unit tests on one machine) a folder of this process is used and set.
+such folder and runs on this machine alone (unit tests) a folder of this process is used and set; on a cluster that is
+an error, for each executor would write to its own disk and rows would be lost without a word.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         folder = tempfile.mkdtemp(prefix="tarnstone-")
@@ -40,14 +43,20 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame, tag: str = "step") -> DataFrame:
     """``df`` written once to the shared folder and read back: its plan is then a plain scan."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tarnstone-{tag}-{uuid.uuid4().hex}"
+    path = folder(spark, tag)
     df.write.mode("overwrite").parquet(path)
-    _MADE.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tarnstone_path = path  # type: ignore[attr-defined]
     return out
 
 
+def folder(spark: SparkSession, tag: str) -> str:
+    """A folder of its own in the shared one, removed at the end of the program."""
+    path = f"{shared_dir(spark)}/tarnstone-{tag}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
 def drop(df: DataFrame) -> None:
     """Remove the files of a frame made by ``cut`` that nothing reads any more."""
     path = getattr(df, "_tarnstone_path", None)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnstone.storage import shared_dir
+from tarnstone.storage import folder
 
 
 def changed(manifest: DataFrame, known: DataFrame, key: list[str], digest: str) -> DataFrame:
@@ -59,9 +59,7 @@ def retained(events: DataFrame, at: str, as_of: str, days: int) -> DataFrame:
 def stream_counts(folder: str, schema: T.StructType, spark, window: str = "1 hour", late: str = "1 day") -> DataFrame:
     """(start, event_type, n): event counts per window of a folder of Parquet files read as a stream, late rows included
     up to ``late``. What is there now is processed; the sink is idempotent by batch."""
-    import uuid
-
-    out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    out = folder(spark, "stream")
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
     agg = source.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late).groupBy(F.window("at", window), "event_type").agg(F.count("*").alias("n"))
 
@@ -76,9 +74,7 @@ def stream_counts(folder: str, schema: T.StructType, spark, window: str = "1 hou
 
 def stream_first_seen(folder: str, schema: T.StructType, spark, key: str) -> DataFrame:
     """Each key once, however often and in whatever batch it comes: exactly-once hand-out."""
-    import uuid
-
-    out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    out = folder(spark, "stream")
     source = spark.readStream.schema(schema).parquet(folder).select(key).dropDuplicates([key])
     q = source.writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     q.awaitTermination()
