@@ -59,16 +59,15 @@ def runs_of(words: list[str], n: int = N) -> list[tuple[str, ...]]:
 
 def _hashes(words: list[str], cache: dict[str, int]) -> np.ndarray:
     """A 64-bit number for each word: the checksums of the word and of the word with a sign before it."""
-    out = np.empty(len(words), np.uint64)
-    for k, w in enumerate(words):
-        h = cache.get(w)
-        if h is None:
-            if len(cache) > 1 << 18:
-                cache.clear()
-            b = w.encode("utf-8", "surrogatepass")
-            h = cache[w] = zlib.crc32(b) << 32 | zlib.crc32(b, 0x9E3779B9)
-        out[k] = h
-    return out
+    known = list(map(cache.get, words))
+    if None in known:
+        for k, h in enumerate(known):
+            if h is None:
+                b = words[k].encode("utf-8", "surrogatepass")
+                known[k] = cache[words[k]] = zlib.crc32(b) << 32 | zlib.crc32(b, 0x9E3779B9)
+        if len(cache) > 1 << 18:
+            cache.clear()
+    return np.array(known, np.uint64)
 
 
 class Windows:
