@@ -65,6 +65,11 @@ def read_stamp(c: Column) -> Column:
     return F.when(s.rlike(shape), F.concat(F.regexp_extract(s, shape, 1), F.lit(" "), part(2, "00:00"), part(3, ":00")).try_cast("timestamp_ntz"))
 
 
+def range_state(low: Column, high: Column) -> Column:
+    """``ok``, ``reversed`` if low is after high, ``unreadable`` if either is missing: ``range_of`` for whole columns."""
+    return F.when(low.isNull() | high.isNull(), "unreadable").when(low > high, "reversed").otherwise("ok")
+
+
 def before(as_of: str, amount: int, unit: str) -> Column:
     """The moment ``amount`` units before ``as_of``."""
     return F.lit(as_of).cast("timestamp_ntz") - F.expr(f"INTERVAL {int(amount)} {unit}")

@@ -16,6 +16,10 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(ok, dot(a, b) / norm)
 
 
+def cosine_distance(a: Column, b: Column) -> Column:
+    return 1 - cosine(a, b)
+
+
 def estimate_tokens(c: Column) -> Column:
     return F.ceil(F.octet_length(c) / 4)
 

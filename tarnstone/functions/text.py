@@ -195,6 +195,21 @@ def token_lower(c: Column | str) -> Column:
     return F.when(F.contains(t, F.lit("\u212a")) | F.contains(t, F.lit("\u0130")), ascii_lower(t)).otherwise(F.lower(t))
 
 
+def _accented() -> tuple[str, str]:
+    """The precomposed letters of the Latin blocks and the letters they are made from."""
+    pairs = [(chr(k), unicodedata.normalize("NFKD", chr(k))) for k in range(0xC0, 0x250)]
+    pairs = [(c, d[0]) for c, d in pairs if len(d) > 1 and d[0].isascii() and all(unicodedata.combining(x) for x in d[1:])]
+    return "".join(c for c, _ in pairs), "".join(d for _, d in pairs)
+
+
+ACCENTED, PLAIN = _accented()
+
+
+def without_accents(c: Column | str) -> Column:
+    """The text with its Latin letters plain and without combining marks; case stays."""
+    return F.regexp_replace(F.translate(col(c), ACCENTED, PLAIN), r"\p{M}", "")
+
+
 def contains_literal(c: Column | str, needle: str) -> Column:
     """Substring match in which no character is a wild card, ASCII case folded."""
     if needle.isascii():

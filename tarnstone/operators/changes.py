@@ -106,6 +106,18 @@ def unlinked(links: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     return links.join(gone.select(keys), keys, "left_anti")
 
 
+def addressed(mail: DataFrame, agents: DataFrame, to: str) -> DataFrame:
+    """Messages with ``recipient`` and ``state``: sent to an agent (agent, left) that is there and hasn't left, or refused."""
+    there = agents.where("NOT left").select(F.col("agent").alias(to), F.col("agent").alias("recipient"))
+    return mail.join(there, to, "left").withColumn("state", F.when(F.col("recipient").isNull(), "refused").otherwise("sent"))
+
+
+def peeked(agents: DataFrame, unread: DataFrame, key: str, seen: str, before: str) -> DataFrame:
+    """Agents with ``unread`` (is there any) and ``seen_stale`` (last seen before a moment); nothing is changed."""
+    has = unread.select(key).distinct().withColumn("_has", F.lit(True))
+    return agents.join(has, key, "left").withColumns({"unread": F.coalesce("_has", F.lit(False)), "seen_stale": F.col(seen) < F.lit(before).cast("timestamp_ntz")}).drop("_has")
+
+
 def decision(declared: Column, candidates: Column, best: Column, manual: Column, threshold: float | None, reused: Column) -> Column:
     """What to do with a new fact: supersede what it names, insert, absorb into a near duplicate, supersede it, or flag."""
     merge = F.lit(False) if threshold is None else F.coalesce((best >= threshold) & ~manual, F.lit(False))

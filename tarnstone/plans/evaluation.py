@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnstone.functions.maths import split_mix
@@ -28,6 +28,27 @@ def scores(results: DataFrame, relevant: DataFrame, k: int = 5, depth: int = 10)
     )
 
 
+def rankers(named: Column) -> dict[str, Callable[[DataFrame], DataFrame]]:
+    """The rankings an evaluation compares, the baseline first; each takes hits and gives them places."""
+    from tarnstone.plans import fusion
+
+    return {
+        "current": lambda hits: fusion.ordered(hits, "fusion", named),
+        "keyword": lambda hits: fusion.ordered(hits.where("tier = 0"), "given", named),
+        "cosine": lambda hits: fusion.ordered(hits.where("score IS NOT NULL"), "cosine", named),
+        "cosine-order": lambda hits: fusion.ordered(hits, "cosine", named),
+    }
+
+
+def ranked(hits: DataFrame, by: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """The hits under every ranker: (ranker, doc, place)."""
+    out = None
+    for name, ranker in by.items():
+        part = ranker(hits).select(F.lit(name).alias("ranker"), "doc", F.col("place").cast("int").alias("place"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def summary(per_query: DataFrame, kinds: DataFrame, digits: int = 3) -> DataFrame:
     """Means by kind and over all."""
     rows = per_query.join(kinds, "q")

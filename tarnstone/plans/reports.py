@@ -18,6 +18,28 @@ def snippet(text: Column, query: str, words: int = 20) -> Column:
     return F.when(hit > 0, F.array_join(F.slice(parts, start, F.lit(words)), " "))
 
 
+class _WordTerms:
+    """Table function: (pos, term, part) of a text, by the tokenizer of the keyword index."""
+
+    def eval(self, text: str, parts: bool, stems: bool):
+        for pos, term, part in X.tokens(text, parts=parts, stems=stems) if text else ():
+            yield pos, term, part
+
+
+def register(spark) -> None:
+    """Makes the tokenizer (``word_terms``) and the vector distance (``vec_distance_cosine``) known to SQL.
+
+    The distance is a function of SQL itself: the planner puts its expression in place, no Python runs.
+    """
+    spark.udtf.register("word_terms", F.udtf(_WordTerms, returnType="pos int, term string, part boolean"))
+    dot = "aggregate(zip_with({0}, {1}, (p, q) -> CAST(p AS DOUBLE) * CAST(q AS DOUBLE)), 0D, (s, v) -> s + v)"
+    norm = f"sqrt({dot.format('a', 'a')}) * sqrt({dot.format('b', 'b')})"
+    spark.sql(
+        "CREATE OR REPLACE TEMPORARY FUNCTION vec_distance_cosine(a ARRAY<FLOAT>, b ARRAY<FLOAT>) RETURNS DOUBLE "
+        f"RETURN CASE WHEN size(a) = size(b) AND {norm} > 0 AND {norm} < double('Infinity') THEN 1 - {dot.format('a', 'b')} / ({norm}) END"
+    )
+
+
 def keyword_snippet(text: Column, query: str, n: int = 120) -> Column:
     """The snippet, else the excerpt around the query, else the head."""
     return F.coalesce(snippet(text, query), F.when(X.contains_literal(text, query), X.excerpt(text, query, n)), X.truncate(text, n))

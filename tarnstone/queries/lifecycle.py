@@ -352,7 +352,7 @@ def _(s, d):
     return c.where("language IS NOT NULL OR ext IS NOT NULL").groupBy("ext").agg(F.count("*").alias("n"))
 
 
-@query("src_07_symbols")
+@query("src_07_python")
 def _(s, d):
     """Definitions in the Python chunks that parse on their own."""
     rows = T(s, d, "chunks").where("chunk_text IS NOT NULL").select(F.concat_ws("#", "file_path", F.col("id").cast("string")).alias("path"), R.language(F.col("file_path")).alias("language"), F.col("chunk_text").alias("text"))
@@ -384,16 +384,6 @@ def _(s, d):
     return R.turn_count(doc.select(F.to_json(F.struct(F.lit("user").alias("type"), "doc_id")).alias("value")))
 
 
-@query("src_13_session_store", "SELECT e.user_id, e.event_id, row_number() OVER (PARTITION BY e.user_id ORDER BY e.ts, e.event_id) AS position, CAST(json_extract_string(e.props, '$.k') AS BIGINT) AS k FROM events e JOIN customer c ON c.c_custkey = e.user_id")
-def _(s, d):
-    from pyspark.sql import Window as W
-
-    c = T(s, d, "customer").select(F.col("c_custkey").alias("user_id"))
-    e = T(s, d, "events").join(c, "user_id")
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    return e.select("user_id", "event_id", F.row_number().over(w).cast("bigint").alias("position"), F.get_json_object("props", "$.k").cast("bigint").alias("k"))
-
-
 @query("snk_01_insert", "SELECT (SELECT max(id) FROM meetings) + row_number() OVER (ORDER BY id) AS id, title FROM meetings WHERE trim(coalesce(transcript, '')) = ''")
 def _(s, d):
     m = T(s, d, "meetings")

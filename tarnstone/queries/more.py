@@ -240,15 +240,6 @@ def _(s, d):
     return g.where("started > ended").select("user_id", "started")
 
 
-@query("cmp_02_code_search", f"""
-WITH {_LINES} SELECT 'line' AS type, id AS ref FROM (SELECT DISTINCT id FROM l WHERE contains(lower(line), 'store') AND contains(lower(line), 'lock'))
-UNION ALL SELECT 'file', id FROM chunks WHERE contains(lower(file_path), 'lock')""")
-def _(s, d):
-    c = T(s, d, "chunks")
-    line = K.line_search(c, ["id"], "chunk_text", "store lock").select(F.lit("line").alias("type"), F.col("id").alias("ref")).distinct()
-    return line.unionByName(c.where(F.contains(F.lower("file_path"), F.lit("lock"))).select(F.lit("file").alias("type"), F.col("id").alias("ref")))
-
-
 @query("cmp_06_relevant_memories", """
 WITH m AS (SELECT id, CASE WHEN memory_type = 'feedback' THEN 0 WHEN contains(key, 'deploy') THEN 1 WHEN memory_type = 'project' THEN 2 END AS tier, created_at FROM memory WHERE status = 'active')
 SELECT id, tier, p AS place FROM (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY created_at DESC NULLS LAST, id) AS p FROM m WHERE tier IS NOT NULL) WHERE p <= 5""")
@@ -358,11 +349,6 @@ def _(s, d):
     return T(s, d, "events").where("event_type = 'signup'").agg(F.count_if(live).alias("live"), F.count_if(~live).alias("stale"))
 
 
-@query("msc_20_refs_across", "SELECT repo_id, count(*) AS refs FROM chunks WHERE contains(chunk_text, 'store') GROUP BY repo_id")
-def _(s, d):
-    return T(s, d, "chunks").where(F.contains("chunk_text", F.lit("store"))).groupBy("repo_id").agg(F.count("*").alias("refs"))
-
-
 @query("msc_22_opt_out", "SELECT c.id FROM chunks c LEFT JOIN repos r ON r.id = c.repo_id AND r.description IS NULL WHERE r.id IS NULL")
 def _(s, d):
     out = T(s, d, "repos").where("description IS NULL").select(F.col("id").alias("repo_id"))

@@ -180,29 +180,6 @@ def _(s, d):
     return m.select("key", F.explode(F.from_json("tags", "array<string>")).alias("tag")).distinct()
 
 
-@query("jon_06_symbols_files", "SELECT c.repo_id, c.file_path, count(DISTINCT c.chunk_index) AS chunks FROM chunks c JOIN repos r ON r.id = c.repo_id GROUP BY 1, 2")
-def _(s, d):
-    r = T(s, d, "repos").select(F.col("id").alias("repo_id"))
-    return T(s, d, "chunks").join(r, "repo_id").groupBy("repo_id", "file_path").agg(F.count_distinct("chunk_index").alias("chunks"))
-
-
-_EDGES = "SELECT DISTINCT a.l_suppkey AS a, b.l_suppkey AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey <> b.l_suppkey WHERE a.l_quantity >= 49 AND b.l_quantity >= 49"
-
-
-def edges(s, d):
-    """A call graph: suppliers that share an order with a large quantity each."""
-    big = T(s, d, "lineitem").where("l_quantity >= 49").select("l_orderkey", "l_suppkey").distinct()
-    a, b = big.withColumnRenamed("l_suppkey", "a"), big.withColumnRenamed("l_suppkey", "b")
-    return a.join(b, "l_orderkey").where("a <> b").select("a", "b").distinct()
-
-
-@query("jon_07_callers", f"SELECT e.b AS callee, s.s_name AS caller, n.n_name AS place FROM ({_EDGES}) e JOIN supplier s ON s.s_suppkey = e.a JOIN nation n ON n.n_nationkey = s.s_nationkey")
-def _(s, d):
-    sup = T(s, d, "supplier").select(F.col("s_suppkey").alias("a"), "s_name", F.col("s_nationkey").alias("n_nationkey"))
-    nat = T(s, d, "nation").select("n_nationkey", "n_name")
-    return edges(s, d).join(sup, "a").join(nat, "n_nationkey").select(F.col("b").alias("callee"), F.col("s_name").alias("caller"), F.col("n_name").alias("place"))
-
-
 @query("jon_09_pairs_to_keys", "SELECT a.key AS lo_key, b.key AS hi_key, c.score FROM memory_conflicts c JOIN memory a ON a.id = least(c.memory_id, c.matched_id) JOIN memory b ON b.id = greatest(c.memory_id, c.matched_id) WHERE c.memory_id <> c.matched_id")
 def _(s, d):
     m = T(s, d, "memory").select("id", "key")
@@ -290,13 +267,6 @@ def _(s, d):
     return up.join(roots.withColumn("n", F.length("p")), "p", "left").groupBy("file_path").agg(F.max("n").cast("bigint").alias("depth"))
 
 
-@query("jon_25_first_match", "SELECT l_orderkey, p.p_partkey AS first_part FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE l_quantity = 50) l LEFT JOIN (SELECT min(p_partkey) AS p_partkey, p_size FROM part GROUP BY p_size) p ON p.p_size = l.l_suppkey % 50")
-def _(s, d):
-    first = T(s, d, "part").groupBy(F.col("p_size").cast("bigint").alias("k")).agg(F.min("p_partkey").alias("first_part"))
-    l = T(s, d, "lineitem").where("l_quantity = 50").select("l_orderkey", "l_suppkey").distinct().withColumn("k", F.col("l_suppkey") % 50)
-    return l.join(first, "k", "left").select("l_orderkey", "first_part")
-
-
 # -- aggregates -------------------------------------------------------------------------------------------------------
 
 

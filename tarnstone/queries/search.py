@@ -12,7 +12,6 @@ from tarnstone.plans import code as C
 from tarnstone.plans import fulltext as FT
 from tarnstone.plans import fusion as FU
 from tarnstone.plans import vectors as V
-from tarnstone.queries.relational import _EDGES, edges
 from tarnstone.queries.scalars import low, tok
 from tarnstone.storage import table as T
 
@@ -95,13 +94,6 @@ def _(s, d):
     return FT.search(T(s, d, "documents"), DOCS, "retry queue").select("doc", "tier", F.col("place").cast("bigint").alias("place"), F.round("score", 6).alias("score"))
 
 
-@query("fts_08_stemmed")
-def _(s, d):
-    """Stemmed search with word parts: finds inflections and parts of joined names."""
-    docs = T(s, d, "documents")
-    return FT.search(docs, DOCS, "renaming queues", stems=True).select("doc", "tier", F.col("place").cast("bigint").alias("place"), F.round("score", 6).alias("score"))
-
-
 @query("fts_09_without_loose", _tier_sql("memory", "id", MEMORY.weights, ["key", "value"], ["search", "index"], ["search", "index"], "status = 'active'") + "SELECT doc, tier FROM u WHERE tier < 2")
 def _(s, d):
     return FT.search(T(s, d, "memory"), MEMORY, "search index", keep=F.col("status") == "active", loose=False).select("doc", "tier")
@@ -230,61 +222,19 @@ def _hits(s, d):
     return FU.union_hits([("document", 0, kw.join(e, "doc", "left")), ("document", 1, sem)])
 
 
-@query("fus_01_fuse", _FUSE + "SELECT doc, tier, round(kw + cs, 9) AS rrf, row_number() OVER (ORDER BY doc = 3 DESC, kw + cs DESC, input_pos) AS place FROM r")
-def _(s, d):
-    return FU.fused(_hits(s, d), F.col("doc") == 3).select("doc", "tier", F.round("rrf", 9).alias("rrf"), F.col("place").cast("bigint").alias("place"))
-
-
-@query("fus_02_cosine_order", _FUSE + "SELECT doc, row_number() OVER (ORDER BY score DESC NULLS LAST, input_pos) AS place FROM r")
-def _(s, d):
-    return FU.by_cosine(_hits(s, d)).select("doc", F.col("place").cast("bigint").alias("place"))
-
-
 _SEARCH = _FUSE + """, o AS (SELECT doc, row_number() OVER (ORDER BY doc = 3 DESC, kw + cs DESC, input_pos) AS place FROM r),
 g AS (SELECT o.doc, place, sum(ceil(least(length(x.text), 400) / 4)) OVER (ORDER BY place ROWS UNBOUNDED PRECEDING) AS used FROM o JOIN documents x ON x.doc_id = o.doc AND x.text IS NOT NULL WHERE place <= 20)
 SELECT doc, place FROM g WHERE place = (SELECT min(place) FROM g) OR used <= 1200"""
 
 
-@query("cmp_01_search", _SEARCH)
-def _(s, d):
-    placed = FU.fused(_hits(s, d), F.col("doc") == 3)
-    text = T(s, d, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("doc"), F.ceil(F.least(F.char_length("text"), F.lit(400)) / 4).alias("tokens"))
-    return FU.limited(placed.join(text, "doc"), 20, 1200, F.col("tokens")).select("doc", F.col("place").cast("bigint").alias("place"))
-
-
 @query("cmp_03_type_search", _tier_sql("meetings", "id", MEETINGS.weights, MEETINGS.substring, ["retro"], ["retro"]) + "SELECT doc, tier FROM u WHERE tier < 2 ORDER BY tier, place LIMIT 5")
 def _(s, d):
     return FT.search(T(s, d, "meetings"), MEETINGS, "retro").orderBy("tier", "place").limit(5).select("doc", "tier")
 
 
-@query("cmp_04_symbols", "SELECT id, name, CASE WHEN name = 'alder' THEN 0 WHEN lower(name) = 'alder' THEN 1 WHEN starts_with(lower(name), 'alder') THEN 2 WHEN contains(lower(name), 'alder') THEN 3 ELSE 4 END AS class FROM repos")
-def _(s, d):
-    return T(s, d, "repos").select("id", "name", C.match_class(F.col("name"), "alder").alias("class"))
-
-
 # -- graph ------------------------------------------------------------------------------------------------------------
 
 
-@query("grf_01_callees", f"SELECT b AS callee FROM ({_EDGES}) WHERE a = 1")
-def _(s, d):
-    return edges(s, d).where("a = 1").select(F.col("b").alias("callee"))
-
-
-@query("grf_03_calls", f"SELECT a, b, s_name AS target FROM ({_EDGES}) LEFT JOIN supplier ON s_suppkey = b AND s_acctbal > 0")
-def _(s, d):
-    t = T(s, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("b"), F.col("s_name").alias("target"))
-    return edges(s, d).join(t, "b", "left").select("a", "b", "target")
-
-
-@query("grf_04_bfs", f"""
-WITH RECURSIVE e AS ({_EDGES}), r(node, depth) AS (SELECT CAST((SELECT min(a) FROM e) AS BIGINT), 0 UNION SELECT e.b, r.depth + 1 FROM r JOIN e ON e.a = r.node WHERE r.depth < 4)
-SELECT node, min(depth) AS depth FROM r GROUP BY node""")
-def _(s, d):
-    e = edges(s, d)
-    first = e.agg(F.min("a")).first()[0]
-    return C.call_graph(e, first if first is not None else 0, 4)
-
-
 @query("grf_05_history", """
 WITH RECURSIVE l AS (SELECT id AS a, CAST(superseded_by AS BIGINT) AS b FROM memory WHERE superseded_by IS NOT NULL AND superseded_by <> id AND superseded_by IN (SELECT id FROM memory)),
 r(s, n) AS (SELECT id, id FROM memory UNION SELECT r.s, l.b FROM r JOIN l ON l.a = r.n)
@@ -293,17 +243,6 @@ def _(s, d):
     return C.supersession(T(s, d, "memory").select("id", F.col("superseded_by").cast("bigint").alias("heir")), "id", "heir")
 
 
-@query("grf_06_edge_dedup", f"SELECT a, count(*) AS n FROM ({_EDGES}) WHERE b NOT IN (SELECT s_suppkey FROM supplier WHERE s_nationkey = 3) GROUP BY a")
-def _(s, d):
-    noise = T(s, d, "supplier").where("s_nationkey = 3").select(F.col("s_suppkey").alias("b"))
-    return edges(s, d).join(noise, "b", "left_anti").groupBy("a").agg(F.count("*").alias("n"))
-
-
-@query("grf_07_resolution", "SELECT p_name, arg_max(p_partkey, (p_size, p_partkey)) AS symbol FROM part GROUP BY p_name")
-def _(s, d):
-    return T(s, d, "part").groupBy("p_name").agg(F.max_by("p_partkey", F.struct("p_size", "p_partkey")).alias("symbol"))
-
-
 @query("prd_17_margin", f"WITH {_SIM}, m AS (SELECT max(score) AS top FROM s WHERE score >= 0.1) SELECT vec_id, round(score, 6) AS score FROM s, m WHERE score >= greatest(0.1, top - 0.1)")
 def _(s, d):
     return P.cut_off(_scored(s, d), [], 0.1, 0.1).select("vec_id", F.round("score", 6).alias("score"))

@@ -92,6 +92,45 @@ def symbols(rows: DataFrame) -> DataFrame:
     return rows.where("language = 'python' AND text IS NOT NULL").select("path", "text").mapInPandas(run, "path string, kind string, name string, first int, last int")
 
 
+def text_bodies(spark: SparkSession, folder: str, key: str) -> DataFrame:
+    """(key, body): files read whole, one record each, without the line end of the last line; ``key`` is taken from the folder's name (key=value)."""
+    return spark.read.option("wholetext", True).text(folder).select(key, F.regexp_replace("value", r"\n\z", "").alias("body"))
+
+
+def setting(layers: list[Column], default: int, least: int, most: int) -> Column:
+    """A number from the first layer that has one (flag, environment, file), else the default, brought into its range."""
+    return F.greatest(F.lit(least), F.least(F.lit(most), F.coalesce(*layers, F.lit(default))))
+
+
+def content_text(content: Column, listed: Column, sep: str = " ") -> Column:
+    """The text of a message whose content is a string or, where ``listed``, a JSON list of blocks."""
+    blocks = F.from_json(content, "array<struct<type:string,text:string>>")
+    return F.when(listed, F.array_join(F.transform(F.filter(blocks, lambda b: b["type"] == "text"), lambda b: b["text"]), sep)).otherwise(content)
+
+
+def distilled(prompts: DataFrame, key: str, prompt: str, call) -> DataFrame:
+    """(key, reply): a distiller, given as a callable, asked once for each prompt."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({key: pdf[key], "reply": [call(p) for p in pdf[prompt]]})
+
+    return prompts.select(key, prompt).mapInPandas(run, f"{key} long, reply string")
+
+
+def reply_facts(replies: DataFrame, key: str, reply: str) -> DataFrame:
+    """One row per fact of every reply: see ``distilled_facts``; a reply that can't be read stops the job."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [key, "key", "value", "type", "supersedes", "repo_scope", "project"]
+        for pdf in batches:
+            rows = [(k, *f.values()) for k, r in zip(pdf["_k"], pdf["_r"], strict=True) for f in distilled_facts(r)]
+            yield pd.DataFrame(rows, columns=names).astype({"project": "Int64"})
+
+    slim = replies.select(F.col(key).alias("_k"), F.col(reply).alias("_r"))
+    return slim.mapInPandas(run, f"{key} long, key string, value string, type string, supersedes string, repo_scope boolean, project long")
+
+
 def session_turns(lines: DataFrame, cap_user: int = 500, cap_other: int = 1000) -> DataFrame:
     """(line, role, text, id, at) of session lines (line BIGINT, value STRING of JSON): text blocks joined, private parts out."""
     head = F.from_json("value", "struct<type:string,uuid:string,timestamp:string,message:struct<content:string>>")
@@ -128,12 +167,19 @@ def distilled_facts(reply: str) -> list[dict[str, Any]]:
         raise ValueError("no list in the reply")
     out = []
     for x in json.loads(reply[a : b + 1]):
-        if not isinstance(x, dict) or not x.get("key") or not x.get("value"):
+        if not isinstance(x, dict) or not isinstance(x.get("key"), str) or not isinstance(x.get("value"), str):
             raise ValueError(f"a fact without key or value: {x!r}")
+        text = {k: v if isinstance(v, str) else None for k, v in x.items()}
         project = x.get("project")
         if isinstance(project, str):
-            m = re.fullmatch(r"#?(\d+)", project.strip())
+            m = re.fullmatch(r"#*(-?\d+)", project.strip())
             project = int(m[1]) if m else None
-        heir = (x.get("supersedes") or "").strip() or None
-        out.append({"key": x["key"], "value": x["value"], "type": x.get("type") or "project", "supersedes": heir, "repo_scope": str(x.get("scope") or "").lower() == "repo", "project": project})
+        elif isinstance(project, bool) or not isinstance(project, int):
+            project = None
+        kind = text.get("type")
+        if x["key"] and x["value"]:  # an empty one is no error, and no fact
+            out.append({
+                "key": x["key"], "value": x["value"], "type": "project" if kind is None else kind, "supersedes": (text.get("supersedes") or "").strip() or None,
+                "repo_scope": (text.get("scope") or "").strip().lower() == "repo", "project": project,
+            })
     return out

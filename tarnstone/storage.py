@@ -14,6 +14,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 _MADE: list[str] = []
@@ -24,6 +25,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tables_in(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The names of the Parquet tables of a folder of any file system."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/*.parquet")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(f.getPath().getName().removesuffix(".parquet") for f in found)
+
+
+def open_store(spark: SparkSession, sf_dir: str, prefix: str = "") -> dict[str, DataFrame]:
+    """The tables of a folder by name, each also a temporary view (``prefix`` keeps stores apart)."""
+    store = {name: table(spark, sf_dir, name) for name in tables_in(spark, sf_dir)}
+    for name, df in store.items():
+        df.createOrReplaceTempView(prefix + name)
+    return store
+
+
+def probe(spark: SparkSession, sf_dir: str, names: list[str]) -> dict[str, bool]:
+    """Which of the tables a folder has; nothing is opened or made."""
+    known = set(tables_in(spark, sf_dir))
+    return {n: n in known for n in names}
+
+
+def repo_store(chunks: DataFrame, repo_id: int) -> DataFrame:
+    """The rows of one repository; the filter reaches the scan."""
+    return chunks.where(F.col("repo_id") == repo_id)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the session names it."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)

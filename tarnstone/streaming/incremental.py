@@ -5,7 +5,7 @@ Each is a batch function; ``stream_*`` are the Structured Streaming forms, run o
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,6 +39,26 @@ def due_sessions(turns: DataFrame, marks: DataFrame, session: str, least: int =
     return n.join(marks, session, "left").withColumn("done", F.coalesce("done", F.lit(0).cast("bigint"))).where((F.col("turns") >= least) & ((F.col("done") == 0) | (F.col("turns") - F.col("done") >= step)))
 
 
+def run_history(events: DataFrame, by: str, order: list[str], starts: Column, keep: int) -> DataFrame:
+    """The last ``keep`` entries of each history with started and crashed: a start that a start follows had no end."""
+    later = Window.partitionBy(by).orderBy(*order)
+    newest = Window.partitionBy(by).orderBy(*[F.col(c).desc() for c in order])
+    rows = events.withColumn("started", starts)
+    rows = rows.withColumns({"crashed": F.coalesce(F.col("started") & F.lead("started").over(later), F.lit(False)), "age": F.row_number().over(newest)})
+    return rows.where(F.col("age") <= keep)
+
+
+def turns_of_lanes(waiting: DataFrame, worker: list[str], is_query: Column, order: list[str]) -> DataFrame:
+    """Adds ``turn``: what waits for each worker in the order it is served; queries go before bulk, each as it came."""
+    w = Window.partitionBy(*worker).orderBy(is_query.desc(), *order)
+    return waiting.withColumn("turn", F.row_number().over(w))
+
+
+def fair_lane(spark, lane: str) -> None:
+    """Run what this thread starts next in a lane of its own; with spark.scheduler.mode=FAIR lanes share the executors."""
+    spark.sparkContext.setLocalProperty("spark.scheduler.pool", lane)
+
+
 def applied(rows: DataFrame, staged: DataFrame, key: str, text: str, vector: str) -> DataFrame:
     """Rows with the staged vectors whose text is still the row's; without one the vector is cleared."""
     s = staged.select(F.col(key), F.col(text).alias("_text"), F.col(vector).alias("_vec"))
