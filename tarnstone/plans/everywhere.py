@@ -7,6 +7,8 @@ order of the types.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -44,13 +46,18 @@ class Vectors:
     margin: float | None = None
 
 
-def hits(kinds: list[Kind], vectors: list[Vectors], extra: list[tuple[str, DataFrame]], query: str, semantic_limit: int = 25) -> DataFrame:
-    """(type, doc, tier, tier_place, score, input_pos, name) of all hits. ``extra`` are lists that rank themselves (code),
-    with doc, place and name."""
-    words = FT.search_all([(k.name, k.rows, k.source, k.keep) for k in kinds], query).select("type", "doc", (F.col("tier") * 1_000_000_000 + F.col("place")).alias("place"))
+def hits(kinds: list[Kind], vectors: list[Vectors], extra: list[tuple[str, Callable[[], DataFrame]]], query: str, semantic_limit: int = 25) -> DataFrame:
+    """(type, doc, tier, tier_place, score, input_pos, name) of all hits. ``extra`` makes lists that rank themselves
+    (code), with doc, place and name."""
+    with ThreadPoolExecutor(2 + len(vectors) + len(extra)) as lanes:  # jobs that don't wait for each other
+        parts = [lanes.submit(lambda v=v: cut(V.similar_to(v.rows, v.asked, "vec").select("type", F.col("id").cast("long").alias("doc"), "score"), "scores")) for v in vectors]
+        made = [lanes.submit(lambda make=make: cut(make().select("doc", "place", "name"), "list")) for _, make in extra]
+        words = lanes.submit(FT.search_all, [(k.name, k.rows, k.source, k.keep) for k in kinds], query).result()
+        extra = [(kind, m.result()) for (kind, _), m in zip(extra, made, strict=True)]
+        parts = [x.result() for x in parts]
+    words = words.select("type", "doc", (F.col("tier") * 1_000_000_000 + F.col("place")).alias("place"))
     scored = near = None
-    for v in vectors:
-        part = cut(V.similar_to(v.rows, v.asked, "vec").select("type", F.col("id").cast("long").alias("doc"), "score"), "scores")
+    for v, part in zip(vectors, parts, strict=True):
         best = cut_off(part, ["type"], v.floor, v.margin)
         scored, near = (part, best) if scored is None else (scored.unionByName(part), near.unionByName(best))
     column = lambda f, tier: f.select("type", "doc", F.lit(tier).alias("tier"), F.col("place").cast("long").alias("tier_place"), "score")
@@ -73,6 +80,6 @@ def hits(kinds: list[Kind], vectors: list[Vectors], extra: list[tuple[str, DataF
     return found.join(names, ["type", "doc"], "left") if names is not None else found.withColumn("name", F.lit(None).cast("string"))
 
 
-def search(kinds: list[Kind], vectors: list[Vectors], extra: list[tuple[str, DataFrame]], query: str, ranking: str = "fusion", semantic_limit: int = 25) -> DataFrame:
+def search(kinds: list[Kind], vectors: list[Vectors], extra: list[tuple[str, Callable[[], DataFrame]]], query: str, ranking: str = "fusion", semantic_limit: int = 25) -> DataFrame:
     """The hits with rrf (by fusion) and place, by the ranking asked for; a hit whose name is the query comes first."""
     return FU.ordered(hits(kinds, vectors, extra, query, semantic_limit), ranking, F.lower(F.trim("name")) == query.strip().lower())

@@ -174,9 +174,11 @@ _NO_CELL = "cast(array() as array<struct<k:int,w:double,words:string>>)"
 
 
 def _rows_of(name: str, df: DataFrame, source: Source, query: str, keep: Column | None) -> DataFrame:
-    texts = F.array(*[F.struct(F.lit(float(w)).alias("w"), F.coalesce(X.without_accents(F.col(c).cast("string")), F.lit("")).alias("text")) for c, w in source.weights.items()])
+    # one text of SQL a kind: its columns' names come from the source, and each call of a function costs the driver time
+    plain = "coalesce(regexp_replace(translate(CAST(`{0}` AS STRING), '" + X.ACCENTED + "', '" + X.PLAIN + "'), '\\\\p{{M}}', ''), '')"
+    texts = ", ".join(f"struct({float(w)}D AS w, {plain.format(c)} AS text)" for c, w in source.weights.items())
     kept = F.coalesce(keep, F.lit(False)) if keep is not None else F.lit(True)
-    return df.select(F.lit(name).alias("type"), F.col(source.key).cast("long").alias("doc"), texts.alias("texts"), substring_hit(source, query).alias("sub"), kept.alias("kept"))
+    return df.select(F.lit(name).alias("type"), F.col(source.key).cast("long").alias("doc"), F.expr(f"array({texts})").alias("texts"), substring_hit(source, query).alias("sub"), kept.alias("kept"))
 
 
 def stem_hits(kinds: list[tuple[str, DataFrame, Source, Column | None]], query: str, strict: list[list[str]], loose: list[list[str]]) -> DataFrame:
@@ -202,7 +204,6 @@ def stem_hits(kinds: list[tuple[str, DataFrame, Source, Column | None]], query:
     of = lambda name, c: F.sum(F.when(F.col("type") == name, c).otherwise(0))
     rows = rows.observe(seen, F.count(F.lit(1)).alias("all"), *[of(n, F.lit(1)).alias(f"n{k}") for k, n in enumerate(names)], *[of(n, F.col("len")).alias(f"total{k}") for k, n in enumerate(names)])
     rows = cut(rows.where((F.size("found") > 0) | F.col("sub") & F.col("kept")).select("type", "doc", "len", "found", "sub", "kept"), "found")
-    count = {n: (seen.get[f"n{k}"] or 0, (seen.get[f"total{k}"] or 0) / max(1, seen.get[f"n{k}"] or 0)) for k, n in enumerate(names)}
     long = rows.select("type", "doc", F.explode("found").alias("f")).select("type", "doc", "f.k", "f.w", "f.words").groupBy("type", "doc", "k", "w", "words").agg(F.count("*").alias("hits"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -215,26 +216,21 @@ def stem_hits(kinds: list[tuple[str, DataFrame, Source, Column | None]], query:
     hits = long.join(spelled, ["k", "words"]).groupBy("type", "doc").agg(*[F.sum(F.when(F.col("k") == k, F.col("hits") * F.col("w")).otherwise(0.0)).alias(f"tf{k}") for k in every] or [F.lit(0).alias("none")])
     hits = cut(hits, "stems")
     have = {r["type"]: r for r in hits.groupBy("type").agg(F.count("*").alias("n"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in every]).collect()}  # one row a type
-    out = rows.where("kept").drop("found").join(hits, ["type", "doc"], "left").na.fill(0.0, [f"tf{k}" for k in every])
-
-    def total(ks: range) -> Column:
-        per_type = F.lit(None).cast("double")
-        for name in names:
-            n, mean = count[name]
-            parts = [_part(n, have[name][f"df{k}"] if name in have else 0, mean, F.col(f"tf{k}")) for k in ks]
-            per_type = F.when(F.col("type") == name, -sum(parts[1:], parts[0])).otherwise(per_type)
-        return per_type
-
-    all_, some = F.lit(bool(strict)), F.lit(False)
-    for k in every:
-        has = F.col(f"tf{k}") > 0
-        all_, some = (all_ & has, some) if k < len(strict) else (all_, some | has)
-    none = F.lit(None).cast("double")
-    return out.select(
-        "type", "doc", "sub",
-        (F.when(all_, total(range(len(strict)))) if strict else none).alias("strict"),
-        (F.when(some, total(range(len(strict), len(wanted)))) if loose else none).alias("loose"),
-    ).where("sub OR strict IS NOT NULL OR loose IS NOT NULL")
+    stats = []
+    for at, name in enumerate(names):
+        n, total = seen.get[f"n{at}"] or 0, seen.get[f"total{at}"] or 0
+        stats.append((name, total / max(1, n) or 1.0, *[_idf(n, have[name][f"df{k}"] if name in have else 0) for k in every]))
+    known = rows.sparkSession.createDataFrame(stats, "type string, mean double" + "".join(f", idf{k} double" for k in every))
+    out = rows.where("kept").drop("found").join(F.broadcast(known), "type").join(hits, ["type", "doc"], "left").na.fill(0.0, [f"tf{k}" for k in every])
+    part = "IF(tf{0} > 0, idf{0} * tf{0} * 2.2D / (tf{0} + 1.2D * (0.25D + 0.75D * len / mean)), 0D)"
+
+    def score(ks: range, joined: str, name: str) -> str:
+        if not ks:
+            return f"CAST(NULL AS DOUBLE) AS {name}"
+        return f"IF({joined.join(f'tf{k} > 0' for k in ks)}, -({' + '.join(part.format(k) for k in ks)}), NULL) AS {name}"
+
+    out = out.selectExpr("type", "doc", "sub", score(range(len(strict)), " AND ", "strict"), score(range(len(strict), len(wanted)), " OR ", "loose"))
+    return out.where("sub OR strict IS NOT NULL OR loose IS NOT NULL")
 
 
 def _any_with_all(lows: str, heads: list[str]) -> Column:
@@ -258,10 +254,13 @@ def _cells(k: int, word: str) -> Column:
     return F.flatten(F.transform("texts", found))
 
 
+def _idf(n: int, df: int) -> float:
+    return max(math.log((n - df + 0.5) / (df + 0.5)), 1e-6)
+
+
 def _part(n: int, df: int, mean: float, tf: Column) -> Column:
     """What a phrase that ``df`` of ``n`` rows have adds to the score of a row."""
-    idf = max(math.log((n - df + 0.5) / (df + 0.5)), 1e-6)
-    return F.when(tf > 0, F.lit(idf) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * F.col("len") / F.lit(mean or 1.0)))).otherwise(0.0)
+    return F.when(tf > 0, F.lit(_idf(n, df)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * F.col("len") / F.lit(mean or 1.0)))).otherwise(0.0)
 
 
 def substring_hit(source: Source, query: str) -> Column:

@@ -29,8 +29,16 @@ def code_lines(chunks: DataFrame) -> DataFrame:
     return lines(code, ["id", "repo_id", "file_path", "last_modified"], "chunk_text").withColumnRenamed("line_no", "n")
 
 
-def symbols(chunks: DataFrame) -> DataFrame:
-    """(symbol, id, repo_id, file_path, last_modified, n, kind, name, signature) of every definition."""
+def symbols(chunks: DataFrame, holding: list[str] | None = None) -> DataFrame:
+    """(symbol, id, repo_id, file_path, last_modified, n, kind, name, signature) of every definition.
+
+    ``holding``: only of files that have one of these texts, in any case; the others are not cut into lines.
+    """
+    if holding:
+        has = F.lit(False)
+        for t in holding:
+            has = has | F.contains(F.lower("chunk_text"), F.lit(t.lower()))
+        chunks = chunks.where(has)
     found = code_lines(chunks).withColumns({"kind": F.regexp_extract("line", DEFINITION, 1), "name": F.regexp_extract("line", DEFINITION, 2)}).where("name <> ''")
     return found.select((F.col("id") * LINE_KEYS + F.col("n")).alias("symbol"), "id", "repo_id", "file_path", "last_modified", "n", "kind", "name", X.signature(F.trim("line")).alias("signature"))
 
@@ -121,7 +129,7 @@ def line_hits(chunks: DataFrame, query: str, limit: int, few: int = X.LOOSE_LIMI
 
 def code_rank(hits: DataFrame, phrase: Column, cls: Column, ties: list[str], limit: int, few: int = X.LOOSE_LIMIT) -> DataFrame:
     """The best ``limit`` of all repos, in order: whole hits by phrase and class, then at most ``few`` others by terms."""
-    rows = hits.withColumns({"_phrase": phrase.cast("int"), "_class": cls})
+    rows = cut(hits.withColumns({"_phrase": phrase.cast("int"), "_class": cls}), "code")  # a few of each repo, read twice
     whole = rows.where("whole").orderBy(F.col("_phrase").desc(), "_class", *ties).limit(limit)
     some = rows.where("NOT whole").orderBy(F.col("terms").desc(), "_class", *ties).limit(few)
     both = whole.unionByName(some)

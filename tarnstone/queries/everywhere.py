@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarnstone.catalog import query
+from tarnstone.functions import text as X
 from tarnstone.plans import everywhere as G
 from tarnstone.plans import fulltext as FT
 from tarnstone.plans import fusion as FU
@@ -47,9 +48,16 @@ def vectors(s, d) -> list[G.Vectors]:
 def code(s, d):
     """The lists of code: symbols and lines of all repositories, in the order they rank themselves."""
     chunks = T(s, d, "chunks")
-    symbols = S.code_rank(S.symbol_hits(S.symbols(chunks), WORDS), F.lit(0), F.col("class"), ["name", "symbol"], 50)
-    lines = S.code_rank(S.line_hits(chunks, WORDS, 20), F.col("phrase"), F.lit(0), ["id", "n"], 20)
-    return [("symbol", symbols.select(F.col("symbol").alias("doc"), "place", "name")), ("code", lines.select((F.col("id") * S.LINE_KEYS + F.col("n")).alias("doc"), "place", F.lit(None).cast("string").alias("name")))]
+
+    def symbols():
+        found = S.symbol_hits(S.symbols(chunks, X.code_terms(WORDS)), WORDS)
+        return S.code_rank(found, F.lit(0), F.col("class"), ["name", "symbol"], 50).select(F.col("symbol").alias("doc"), "place", "name")
+
+    def lines():
+        found = S.code_rank(S.line_hits(chunks, WORDS, 20), F.col("phrase"), F.lit(0), ["id", "n"], 20)
+        return found.select((F.col("id") * S.LINE_KEYS + F.col("n")).alias("doc"), "place", F.lit(None).cast("string").alias("name"))
+
+    return [("symbol", symbols), ("code", lines)]
 
 
 def _terms(c: str) -> str:
@@ -150,4 +158,4 @@ def _(s, d):
 def _(s, d):
     """Code search gives its lists side by side, not fused."""
     (a, symbols), (b, lines) = code(s, d)
-    return symbols.select(F.lit(a).alias("type"), "doc", "place").unionByName(lines.select(F.lit(b).alias("type"), "doc", "place"))
+    return symbols().select(F.lit(a).alias("type"), "doc", "place").unionByName(lines().select(F.lit(b).alias("type"), "doc", "place"))
