@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None):
 
 def _load() -> None:
     """Import the modules that register queries."""
-    from tarnstone.queries import codebase, entries, everywhere, lifecycle, more, relational, scalars, search  # noqa: F401
+    from tarnstone.queries import codebase, compositions, entries, everywhere, lifecycle, more, records, relational, scalars, search  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

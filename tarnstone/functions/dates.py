@@ -65,6 +65,25 @@ def read_stamp(c: Column) -> Column:
     return F.when(s.rlike(shape), F.concat(F.regexp_extract(s, shape, 1), F.lit(" "), part(2, "00:00"), part(3, ":00")).try_cast("timestamp_ntz"))
 
 
+def bounds_of(c: Column) -> tuple[Column, Column]:
+    """The first and the last second of a typed day or minute (or the second itself); null if it can't be read."""
+    s = F.trim(c)
+    day, minute = rf"^({_DATE})$", rf"^({_DATE})[T ](\d{{2}}:\d{{2}})(:\d{{2}})?$"
+    part = lambda k: F.regexp_extract(s, minute, k)
+
+    def at(day_time: str, second: str) -> Column:
+        text = F.when(s.rlike(day), F.concat(s, F.lit(" " + day_time))).when(s.rlike(minute), F.concat(part(1), F.lit(" "), part(2), F.when(part(3) == "", F.lit(second)).otherwise(part(3))))
+        return F.when(text.try_cast("timestamp_ntz").isNotNull(), text)
+
+    return at("00:00:00", ":00"), at("23:59:59", ":59")
+
+
+def age_of(n: Column, unit: Column, today: str) -> Column:
+    """The day ``n`` units (d, w, m, y in either case) before today; a shorter month gives its last day."""
+    day, u = F.lit(today).cast("date"), F.lower(unit)
+    return F.when(u == "d", F.date_sub(day, n)).when(u == "w", F.date_sub(day, n * 7)).when(u == "m", F.add_months(day, -n)).when(u == "y", F.add_months(day, -n * 12))
+
+
 def range_state(low: Column, high: Column) -> Column:
     """``ok``, ``reversed`` if low is after high, ``unreadable`` if either is missing: ``range_of`` for whole columns."""
     return F.when(low.isNull() | high.isNull(), "unreadable").when(low > high, "reversed").otherwise("ok")

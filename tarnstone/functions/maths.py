@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,6 +37,15 @@ def rrf(rank: Column, k: int = 60) -> Column:
     return F.lit(1.0) / (F.lit(k) + rank)
 
 
+def split_mix_first(seeds: np.ndarray) -> np.ndarray:
+    """The first number of each seed's sequence."""
+    with np.errstate(over="ignore"):
+        z = seeds.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return z ^ (z >> np.uint64(31))
+
+
 def split_mix(seed: int, count: int) -> list[int]:
     """The first numbers of SplitMix64 (public algorithm)."""
     out = []

@@ -333,7 +333,8 @@ def yaml_quote(text: str) -> str:
 
 
 def terminal_safe(text: str) -> str:
-    return "".join(" " if c == "\t" else c if c == "\n" or c.isprintable() else f"\\u{{{ord(c):x}}}" for c in text)
+    """A text without control characters but line ends: tabs are spaces, the others are written out."""
+    return "".join(" " if c == "\t" else c if c == "\n" or unicodedata.category(c) != "Cc" else f"\\u{{{ord(c):x}}}" for c in text)
 
 
 def truncate_bytes(text: str, n: int) -> str:
@@ -342,6 +343,81 @@ def truncate_bytes(text: str, n: int) -> str:
     return text if len(raw) <= n else raw[:n].decode("utf-8", "ignore") + "..."
 
 
+# -- the same as expressions ------------------------------------------------------------------------------------------
+
+
+def truncated_bytes(c: Column | str, n: int) -> Column:
+    """``truncate_bytes`` as an expression: the cut goes back over the at most three bytes that go on a character."""
+    raw = col(c).cast("binary")
+    goes_on = lambda at: F.hex(F.substring(raw, at, 1)).between("80", "BF")
+    at = F.when(~goes_on(n + 1), n).when(~goes_on(n), n - 1).when(~goes_on(n - 1), n - 2).otherwise(n - 3)
+    return F.when(F.octet_length(raw) <= n, col(c)).otherwise(F.concat(F.substring(raw, F.lit(1), at).cast("string"), F.lit("...")))
+
+
+def _each(c: Column, signs: dict[str, str]) -> Column:
+    for sign, form in signs.items():
+        c = F.replace(c, F.lit(sign), F.lit(form))
+    return c
+
+
+#: Control characters without a short form, and how YAML and a terminal are given them.
+CONTROLS = [k for k in [*range(32), *range(127, 160)] if chr(k) not in "\n\t\r"]
+
+
+def yaml_quoted(c: Column | str) -> Column:
+    """``yaml_quote`` as an expression."""
+    plain = _each(col(c), {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t"})
+    rare = _each(plain, {chr(k): f"\\x{k:02x}" for k in CONTROLS if k < 128})
+    return F.concat(F.lit('"'), F.when(col(c).rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"), rare).otherwise(plain), F.lit('"'))
+
+
+def safe_for_terminal(c: Column | str) -> Column:
+    """``terminal_safe`` as an expression."""
+    plain = F.replace(col(c), F.lit("\t"), F.lit(" "))
+    rare = _each(plain, {chr(k): f"\\u{{{k:x}}}" for k in [13, *CONTROLS]})
+    return F.when(col(c).rlike(r"[\x00-\x08\x0b-\x1f\x7f-\x{9f}]"), rare).otherwise(plain)
+
+
+REMOTE_URL = r"^[A-Za-z+]+://(?:[^@/]+@)?([^/:]+)(?::\d+)?/(.+)$"
+REMOTE_SCP = r"^(?:[^@/\s]+@)?([^/:\s]{2,}):([^\\\s][^\s]*)$"
+
+
+def remote(c: Column | str) -> Column:
+    """``normal_remote`` as an expression."""
+    u = F.trim(col(c))
+    form = F.when(u.rlike(REMOTE_URL) & ~F.startswith(F.lower(u), F.lit("file:")), F.lit(1)).when(~F.contains(u, F.lit("://")) & u.rlike(REMOTE_SCP), F.lit(2))
+    part = lambda k: F.when(form == 1, F.regexp_extract(u, REMOTE_URL, k)).otherwise(F.regexp_extract(u, REMOTE_SCP, k))
+    path = F.regexp_replace(F.regexp_replace(part(2), "^/+|/+$", ""), r"(?:\.git)?/*$", "")
+    return F.when(form.isNotNull() & (path != ""), F.concat(F.lower(part(1)), F.lit("/"), path))
+
+
+def terms_of(c: Column | str) -> Column:
+    """``sanitize`` as an expression."""
+    return F.filter(F.transform(F.split(col(c), r"[ \t\n\r\f]+"), lambda w: F.replace(w, F.lit('"'), F.lit(""))), lambda w: w != "")
+
+
+_BARE = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
+
+
+def loose_terms_of(c: Column | str) -> Column:
+    """``loose_terms`` as an expression."""
+    terms, stop = terms_of(c), F.array(*[F.lit(w) for w in STOPWORDS])
+    bare = lambda w: F.lower(F.regexp_replace(w, _BARE, ""))
+    words = F.filter(terms, lambda w: bare(w) != "")
+    kept = F.filter(words, lambda w: ~F.array_contains(stop, bare(w)))
+    kept = F.when(F.size(kept) > 0, kept).otherwise(words)
+    return F.when(~((F.size(kept) == 0) | ((F.size(terms) == 1) & (F.size(kept) == 1))), kept)
+
+
+def code_terms_of(c: Column | str) -> Column:
+    """``code_terms`` as an expression."""
+    words = F.filter(F.split(col(c), r"[ \t\n\r\f]+"), lambda w: w != "")
+    stop = F.array(*[F.lit(w) for w in STOPWORDS])
+    bare = F.transform(words, lambda w: F.lower(F.regexp_replace(w, r"^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+$", "")))
+    kept = F.array_distinct(F.filter(bare, lambda w: (F.char_length(w) >= 3) & ~F.array_contains(stop, w)))
+    return F.when(F.size(words) < 2, F.array().cast("array<string>")).otherwise(F.slice(kept, 1, CODE_TERMS))
+
+
 # -- chunking ---------------------------------------------------------------------------------------------------------
 
 

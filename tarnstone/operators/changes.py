@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnstone.operators.ordering import first_per, numbered
+
 
 def new_ids(rows: DataFrame, last: int, order: list[str], id_col: str = "id") -> DataFrame:
     """Ids after ``last`` for a batch of new rows, in the given order."""
-    return rows.withColumn(id_col, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)).cast("bigint") + F.lit(last))
+    return numbered(rows, *order, name=id_col).withColumn(id_col, F.col(id_col) + F.lit(last))
 
 
 def upsert(active: DataFrame, given: DataFrame, key: str, as_of: str) -> DataFrame:
@@ -50,6 +52,58 @@ def supersede(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return j.withColumn("superseded_by", F.when(hit, F.col("heir")).otherwise(F.col("superseded_by"))).withColumn("status", F.when(hit, F.lit("superseded")).otherwise(F.col("status"))).drop("heir")
 
 
+def active_rows(rows: DataFrame) -> DataFrame:
+    """The active row of each key (the latest, should there be several)."""
+    return first_per(rows.where("status = 'active'"), ["key"], F.col("id").desc())
+
+
+def supersede_into(active: DataFrame, given: DataFrame) -> DataFrame:
+    """(change, key, value): what superseding (old_key, new_key, new_value) does to active rows (id, key, value, source).
+
+    ``retired`` rows of old keys, the row of each new key ``added`` or ``updated``, and a ``snapshot`` of an updated one.
+    All of a pair happens or nothing: the old key must be active, the keys must differ, a hand-written row stays. Of
+    several pairs with one new key the one with the largest old id gives the value; an equal value changes no row.
+    """
+    old = active.select(F.col("key").alias("old_key"), F.col("id").alias("old_id"), F.col("value").alias("old_value"))
+    new = active.select(F.col("key").alias("new_key"), F.col("id").alias("new_id"), F.col("value").alias("before"), F.col("source").alias("_source"))
+    ok = given.where("old_key <> new_key").join(old, "old_key").join(new, "new_key", "left").where("coalesce(_source, '') <> 'manual'")
+    last = ok.groupBy("new_key").agg(F.max_by(F.struct("new_value", "before"), "old_id").alias("w"), F.max("new_id").alias("new_id")).select("new_key", "w.*", "new_id")
+    moved = last.where(F.col("new_id").isNull() | ~F.col("before").eqNullSafe(F.col("new_value")))
+    retired = ok.select(F.lit("retired").alias("change"), F.col("old_key").alias("key"), F.col("old_value").alias("value"))
+    put = moved.select(F.when(F.col("new_id").isNull(), "added").otherwise("updated").alias("change"), F.col("new_key").alias("key"), F.col("new_value").alias("value"))
+    kept = moved.where("new_id IS NOT NULL").select(F.lit("snapshot").alias("change"), F.col("new_key").alias("key"), F.col("before").alias("value"))
+    return retired.unionByName(put).unionByName(kept)
+
+
+def transitions(rows: DataFrame, status: str, verb: str, allowed: dict[tuple[str, str], str]) -> DataFrame:
+    """Rows after their verb, with ``moved``; a verb that the state doesn't allow changes nothing."""
+    table = F.create_map(*[F.lit(x) for (a, v), b in allowed.items() for x in (f"{a} {v}", b)])
+    to = F.try_element_at(table, F.concat_ws(" ", status, verb))
+    return rows.withColumns({"moved": to.isNotNull(), status: F.coalesce(to, status)})
+
+
+def files_after(known: DataFrame, walk: DataFrame, key: list[str], digest: str, kept: list[str]) -> DataFrame:
+    """The files of a walk; what was known of a file (``kept``) stays only while its digest is the same."""
+    old = known.select(*key, F.col(digest).alias("_old"), *kept)
+    j = walk.join(old, key, "left")
+    same = F.col(digest).eqNullSafe(F.col("_old"))
+    return j.select(*key, digest, *[F.when(same, F.col(c)).alias(c) for c in kept])
+
+
+def taken_over(mail: DataFrame, agents: DataFrame) -> DataFrame:
+    """Mail (agent, ..) with ``mailbox``: the agent (agent, name, seen) that holds its agent's name, the last one seen."""
+    holder = agents.groupBy("name").agg(F.max_by("agent", F.struct("seen", "agent")).alias("mailbox"))
+    return mail.join(agents.select("agent", "name"), "agent").join(holder, "name")
+
+
+def identifiers(given: DataFrame, known: list[str], owner: str) -> DataFrame:
+    """Given identifiers (owner, type, value) with ``state``: ok, of an unknown type, or taken by an earlier owner."""
+    first = given.groupBy("type", "value").agg(F.min(owner).alias("_first"))
+    j = given.join(first, ["type", "value"])
+    state = F.when(~F.col("type").isin(*known), "unknown type").when(F.col(owner) > F.col("_first"), "taken").otherwise("ok")
+    return j.withColumn("state", state).drop("_first").select(owner, "type", "value", "state")
+
+
 def mark_stale(rows: DataFrame, chosen: Column, reason: str) -> DataFrame:
     """Active rows that are chosen become stale; the reason goes below their value."""
     hit = (F.col("status") == "active") & chosen

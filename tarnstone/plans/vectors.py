@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarnstone.storage import cut
+
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Cosines of the rows of a with the rows of b; NaN where a norm is zero or not finite."""
@@ -55,31 +58,88 @@ def best_per_record(scored: DataFrame, record: str, tie: str, k: int) -> DataFra
 
 
 def without_overlaps(scored: DataFrame, by: list[str], first: str, last: str, tie: str) -> DataFrame:
-    """Greedily, best first: a chunk stays unless it overlaps one kept before in the same file."""
+    """Greedily, best first: a chunk stays unless it overlaps one kept before in the same file.
+
+    Kept chunks don't overlap one another, so a sorted list of their ends tells in logarithmic time whether a new one fits.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[int] = []
-        for at, row in pdf.sort_values(["score", tie], ascending=[False, True]).iterrows():
-            if all(row[last] < pdf.at[k, first] or row[first] > pdf.at[k, last] for k in kept):
+        pdf = pdf.sort_values(["score", tie], ascending=[False, True], ignore_index=True)
+        starts, ends, kept = [], [], []
+        for at, (a, b) in enumerate(zip(pdf[first].tolist(), pdf[last].tolist(), strict=True)):
+            k = bisect.bisect_left(ends, a)  # the first kept chunk that doesn't end before this one begins
+            if k == len(ends) or starts[k] > b:
+                starts.insert(k, a)
+                ends.insert(k, b)
                 kept.append(at)
-        return pdf.loc[kept]
+        return pdf.iloc[kept]
 
     return scored.groupBy(*by).applyInPandas(run, scored.schema)
 
 
-def nearest_records(rows: DataFrame, queries: DataFrame, vec: str, key: str, k: int) -> DataFrame:
+def best_keys(rows: DataFrame, probes: DataFrame, key: str, asked: str, vec: str, k: int, block: int = 4096) -> DataFrame:
+    """(asked, key, score): for every ``asked`` the ``k`` keys with the best cosine to any of its probes.
+
+    Probes are a stated set and go out in blocks by what they are for; each task keeps the best keys it has met, and only
+    those meet. Vectors without a length have no score.
+    """
+    sent = cut(probes.select(F.col(asked).alias("a"), F.col(vec).alias("v")), "probes")
+    blocks = max(1, -(-sent.count() // block))
+    kind = rows.schema[key].dataType.simpleString()
+    out = None
+    for b in range(blocks):
+        got = sent.where(F.pmod(F.xxhash64("a"), F.lit(blocks)) == b).toArrow()
+        if not got.num_rows:
+            continue
+        names, of = np.unique(got["a"].to_numpy(), return_inverse=True)
+        order = np.argsort(of, kind="stable")
+        q, starts = np.array(got["v"].to_pylist(), np.float64)[order], np.searchsorted(of[order], np.arange(len(names)))
+
+        def run(batches: Iterator[pd.DataFrame], names=names, q=q, starts=starts) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                s = cosine(q, np.stack(pdf[vec].to_numpy()).astype(np.float64))
+                best = np.maximum.reduceat(np.where(np.isfinite(s), s, -2), starts, axis=0)
+                found = pd.DataFrame({asked: np.repeat(names, len(pdf)), key: np.tile(pdf[key].to_numpy(), len(names)), "score": best.ravel()})
+                found = found[found["score"] > -2].groupby([asked, key], as_index=False)["score"].max()
+                yield found.sort_values("score", ascending=False).groupby(asked).head(k)
+
+        part = rows.select(key, vec).mapInPandas(run, f"{asked} long, {key} {kind}, score double")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return rows.sparkSession.createDataFrame([], f"{asked} long, {key} {kind}, score double")
+    best = out.groupBy(asked, key).agg(F.max("score").alias("score"))
+    w = Window.partitionBy(asked).orderBy(F.col("score").desc(), key)
+    return best.withColumn("_p", F.row_number().over(w)).where(F.col("_p") <= k).drop("_p")
+
+
+def nearest_records(rows: DataFrame, queries: DataFrame, vec: str, key: str, k: int, block: int = 4096) -> DataFrame:
     """(query_key, key, score, place): the ``k`` most similar rows of each query vector, exactly.
 
-    Queries are a stated set: they are sent out in blocks of bounded size, each task keeps its ``k`` best per query, and
-    only those meet in the final rank.
+    Queries are a stated set. They are written in blocks of about ``block`` vectors, each block is one scan of the rows,
+    each task keeps its ``k`` best per query, and only those meet in the final rank.
     """
-    block = [(r[0], r[1]) for r in queries.select(key, vec).where(F.col(vec).isNotNull()).collect()]
-    keys = np.array([b[0] for b in block], np.int64)
-    q = np.stack([np.asarray(b[1], np.float64) for b in block]) if block else np.empty((0, 1))
+    asked = cut(queries.select(F.col(key).cast("long").alias("q"), F.col(vec).alias("v")).where(F.col(vec).isNotNull()), "queries")
+    blocks = max(1, -(-asked.count() // block))
+    out = None
+    for b in range(blocks):
+        got = asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).toArrow()
+        if got.num_rows:
+            part = _nearest_of(rows, got["q"].to_numpy(), np.array(got["v"].to_pylist(), np.float64), vec, key, k)
+            out = part if out is None else out.unionByName(part)
+    if out is None:
+        return rows.sparkSession.createDataFrame([], f"query_key long, {key} long, score double, place int")
+    w = Window.partitionBy("query_key").orderBy(F.col("score").desc(), key)
+    return out.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+
+
+def _nearest_of(rows: DataFrame, keys: np.ndarray, q: np.ndarray, vec: str, key: str, k: int) -> DataFrame:
+    width = q.shape[1]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if not len(pdf) or not len(q):
+            if not len(pdf):
                 continue
             ids = pdf[key].to_numpy()
             s = cosine(q, np.stack(pdf[vec].to_numpy()).astype(np.float64))
@@ -89,7 +149,4 @@ def nearest_records(rows: DataFrame, queries: DataFrame, vec: str, key: str, k:
             out = pd.DataFrame({"query_key": np.repeat(keys, n), key: ids[part.ravel()], "score": np.take_along_axis(s, part, 1).ravel()})
             yield out[out["score"] > -2]
 
-    width = q.shape[1]
-    found = rows.where(F.size(vec) == width).select(key, vec).mapInPandas(run, f"query_key long, {key} long, score double")
-    w = Window.partitionBy("query_key").orderBy(F.col("score").desc(), key)
-    return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    return rows.where(F.size(vec) == width).select(key, vec).mapInPandas(run, f"query_key long, {key} long, score double")

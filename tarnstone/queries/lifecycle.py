@@ -50,18 +50,6 @@ def _(s, d):
     return C.snapshots(a, C.upsert(a, _given(s, d), "key", "now"), "key").select("key", F.md5(F.col("value").cast("binary")).alias("value"), "status")
 
 
-@query("dml_03_supersede", """
-WITH p AS (SELECT a.key AS old_key, min(b.key) AS new_key FROM memory a JOIN memory b ON b.id = a.id + 1 WHERE a.id % 7 = 0 GROUP BY a.key),
-h AS (SELECT p.old_key, min(x.heir) AS heir FROM p JOIN (SELECT key, max(id) AS heir FROM memory WHERE status = 'active' GROUP BY key) x ON x.key = p.new_key WHERE p.old_key <> p.new_key GROUP BY 1)
-SELECT m.id, CASE WHEN m.status = 'active' AND h.heir IS NOT NULL THEN 'superseded' ELSE m.status END AS status, CASE WHEN m.status = 'active' AND h.heir IS NOT NULL THEN h.heir ELSE CAST(m.superseded_by AS BIGINT) END AS superseded_by
-FROM memory m LEFT JOIN h ON h.old_key = m.key""")
-def _(s, d):
-    m = T(s, d, "memory").withColumn("superseded_by", F.col("superseded_by").cast("bigint"))
-    b = m.select((F.col("id") - 1).alias("id"), F.col("key").alias("new_key"))
-    pairs = m.where("id % 7 = 0").select("id", F.col("key").alias("old_key")).join(b, "id").groupBy("old_key").agg(F.min("new_key").alias("new_key"))
-    return C.supersede(m, pairs).select("id", "status", "superseded_by")
-
-
 @query("dml_04_stale", "SELECT id, CASE WHEN status = 'active' AND memory_type = 'session' THEN 'stale' ELSE status END AS status, md5(CASE WHEN status = 'active' AND memory_type = 'session' THEN value || chr(10) || '[stale: moved]' ELSE value END) AS value FROM memory WHERE memory_type IS NOT NULL")
 def _(s, d):
     m = T(s, d, "memory").where("memory_type IS NOT NULL")
@@ -175,16 +163,6 @@ def _(s, d):
     return m.select("id", act.alias("action"))
 
 
-@query("cmp_05_session_context", """
-WITH t AS (SELECT repo_id, id, CAST(ceil(octet_length(encode(chunk_text)) / 4) AS BIGINT) AS tok FROM chunks), r AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY id) AS p, sum(tok) OVER (PARTITION BY repo_id ORDER BY id ROWS UNBOUNDED PRECEDING) AS used FROM t)
-SELECT repo_id, count(*) AS shown, CAST(max(used) AS BIGINT) AS used FROM r WHERE p = 1 OR used <= 750 GROUP BY repo_id""")
-def _(s, d):
-    from tarnstone.functions.maths import estimate_tokens
-
-    t = T(s, d, "chunks").select("repo_id", "id", estimate_tokens(F.col("chunk_text")).cast("bigint").alias("tok"))
-    return O.within_budget(t, ["repo_id"], [F.col("id")], F.col("tok"), 750).groupBy("repo_id").agg(F.count("*").alias("shown"), F.max("used").alias("used"))
-
-
 @query("cmp_07_full_records", "SELECT m.id, m.title, count(DISTINCT x.person_id) AS people, string_agg(DISTINCT lower(trim(x.role)), ',' ORDER BY lower(trim(x.role))) AS roles FROM meetings m LEFT JOIN meeting_people x ON x.meeting_id = m.id GROUP BY 1, 2")
 def _(s, d):
     x = T(s, d, "meeting_people").groupBy("meeting_id").agg(F.count_distinct("person_id").alias("people"), F.array_join(F.sort_array(F.collect_set(F.lower(F.trim("role")))), ",").alias("roles"))
@@ -333,25 +311,6 @@ def _(s, d):
 # -- sources and sinks ------------------------------------------------------------------------------------------------
 
 
-@query("src_05_admission", "SELECT id, CASE WHEN file_path LIKE '%.rs' THEN 'rust' WHEN file_path LIKE '%.py' THEN 'python' WHEN file_path LIKE '%.ts' THEN 'typescript' WHEN file_path LIKE '%.go' THEN 'go' WHEN file_path LIKE '%.md' THEN 'markdown' ELSE 'text' END AS language FROM chunks WHERE chunk_text IS NOT NULL AND octet_length(encode(chunk_text)) <= 3000")
-def _(s, d):
-    rows = T(s, d, "chunks").where("chunk_text IS NOT NULL").select(F.concat(F.col("id").cast("string"), F.lit(":"), F.col("file_path")).alias("path"), F.octet_length("chunk_text").alias("length"), F.col("chunk_text").cast("binary").alias("content"))
-    return R.admitted(rows.where("length <= 3000"), 3000).select(F.split("path", ":")[0].cast("bigint").alias("id"), "language")
-
-
-@query("src_05_admission_whole", "SELECT id, CASE WHEN octet_length(encode(chunk_text)) > 3000 THEN 'text' WHEN file_path LIKE '%.rs' THEN 'rust' WHEN file_path LIKE '%.py' THEN 'python' WHEN file_path LIKE '%.ts' THEN 'typescript' WHEN file_path LIKE '%.go' THEN 'go' WHEN file_path LIKE '%.md' THEN 'markdown' ELSE 'text' END AS language FROM chunks WHERE chunk_text IS NOT NULL AND (octet_length(encode(chunk_text)) <= 3000 OR regexp_matches(file_path, '\\.(rs|py|ts|go|md)$'))")
-def _(s, d):
-    """Chunks of any length: known languages over the cap are text, others over it are left out."""
-    rows = T(s, d, "chunks").where("chunk_text IS NOT NULL").select(F.concat(F.col("id").cast("string"), F.lit(":"), F.col("file_path")).alias("path"), F.octet_length("chunk_text").alias("length"), F.col("chunk_text").cast("binary").alias("content"))
-    return R.admitted(rows, 3000).select(F.split("path", ":")[0].cast("bigint").alias("id"), "language")
-
-
-@query("src_06_language", "SELECT regexp_extract(file_path, '[^.]+$') AS ext, count(*) AS n FROM chunks GROUP BY 1")
-def _(s, d):
-    c = T(s, d, "chunks").select(F.element_at(F.split("file_path", r"\."), -1).alias("ext"), R.language(F.col("file_path")).alias("language"))
-    return c.where("language IS NOT NULL OR ext IS NOT NULL").groupBy("ext").agg(F.count("*").alias("n"))
-
-
 @query("src_07_python")
 def _(s, d):
     """Definitions in the Python chunks that parse on their own."""
@@ -359,25 +318,6 @@ def _(s, d):
     return R.symbols(rows)
 
 
-@query("src_08_newest_commit", "SELECT repo_id, file_path, max(last_modified) AS last_modified FROM chunks WHERE last_modified IS NOT NULL GROUP BY 1, 2")
-def _(s, d):
-    return T(s, d, "chunks").where("last_modified IS NOT NULL").groupBy("repo_id", "file_path").agg(F.max("last_modified").alias("last_modified"))
-
-
-@query("src_10_markdown_notes", "SELECT 'k' || doc_id AS key, 'reference' AS memory_type, title, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS value FROM documents WHERE kind = 'readme' AND text IS NOT NULL AND trim(title) <> '' AND NOT contains(text, '---') AND NOT contains(title, chr(10))")
-def _(s, d):
-    doc = T(s, d, "documents").where("kind = 'readme' AND text IS NOT NULL AND trim(title) <> ''").where(~F.contains("text", F.lit("---")) & ~F.contains("title", F.lit("\n")))
-    page = F.concat(F.lit("---\nname: k"), F.col("doc_id").cast("string"), F.lit("\ntype: reference\ntitle: "), F.col("title"), F.lit("\n---\n"), F.col("text"))
-    return R.markdown_notes(doc.select(F.concat(F.lit("notes/n"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), page.alias("text")))
-
-
-@query("src_11_session_turns", "SELECT doc_id AS line, 'user' AS role, substring(trim(text, ' '), 1, 500) AS text FROM documents WHERE kind = 'session' AND text IS NOT NULL AND trim(text, ' ') <> '' AND NOT starts_with(text, '[')")
-def _(s, d):
-    doc = T(s, d, "documents").where("kind = 'session' AND text IS NOT NULL").where(~F.startswith("text", F.lit("[")))
-    line = F.to_json(F.struct(F.lit("user").alias("type"), F.struct(F.col("text").alias("content")).alias("message")))
-    return R.session_turns(doc.select(F.col("doc_id").alias("line"), line.alias("value"))).select("line", "role", "text")
-
-
 @query("src_12_turn_count", "SELECT count(*) AS turns FROM documents WHERE kind = 'session' AND text IS NOT NULL")
 def _(s, d):
     doc = T(s, d, "documents").where("kind = 'session' AND text IS NOT NULL")
@@ -457,6 +397,47 @@ def _(s, d):
     return m.select("id", F.filter(F.from_json("tags", "array<string>"), lambda t: t != "brook").alias("tags"))
 
 
-@query("mth_05_excerpts", "SELECT doc_id, substring(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 80) AS line FROM documents WHERE text IS NOT NULL")
+@query("src_05_admission", "SELECT id, CASE WHEN octet_length(encode(chunk_text)) > 3000 THEN 'text' WHEN file_path LIKE '%.rs' THEN 'rust' WHEN file_path LIKE '%.py' THEN 'python' WHEN file_path LIKE '%.ts' THEN 'typescript' WHEN file_path LIKE '%.go' THEN 'go' WHEN file_path LIKE '%.md' THEN 'markdown' ELSE 'text' END AS language FROM chunks WHERE chunk_text IS NOT NULL AND (octet_length(encode(chunk_text)) <= 3000 OR regexp_matches(file_path, '\\.(rs|py|ts|go|md)$'))")
+def _(s, d):
+    """Chunks of any length: known languages over the cap are text, others over it are left out."""
+    rows = T(s, d, "chunks").where("chunk_text IS NOT NULL").select(F.concat(F.col("id").cast("string"), F.lit(":"), F.col("file_path")).alias("path"), F.octet_length("chunk_text").alias("length"), F.col("chunk_text").cast("binary").alias("content"))
+    return R.admitted(rows, 3000).select(F.split("path", ":")[0].cast("bigint").alias("id"), "language")
+
+
+@query("src_06_language", """
+WITH p AS (SELECT id, CASE id % 4 WHEN 0 THEN file_path WHEN 1 THEN regexp_replace(file_path, '\\.[a-z]+$', '.tsx') WHEN 2 THEN regexp_replace(file_path, '\\.[a-z]+$', '') ELSE regexp_replace(file_path, '\\.[a-z]+$', '.lock') END AS path FROM chunks)
+SELECT id, CASE WHEN ends_with(path, '.rs') THEN 'rust' WHEN ends_with(path, '.py') THEN 'python' WHEN ends_with(path, '.ts') OR ends_with(path, '.tsx') THEN 'typescript' WHEN ends_with(path, '.md') THEN 'markdown' END AS language FROM p""")
+def _(s, d):
+    """Known, other known, missing and unknown extensions: each path has one of four."""
+    ext = lambda e: F.regexp_replace("file_path", r"\.[a-z]+$", e)
+    n = F.col("id") % 4
+    path = F.when(n == 0, F.col("file_path")).when(n == 1, ext(".tsx")).when(n == 2, ext("")).otherwise(ext(".lock"))
+    return T(s, d, "chunks").select("id", R.language(path).alias("language"))
+
+
+@query("src_10_markdown_notes", "SELECT 'k' || doc_id AS key, 'reference' AS memory_type, trim(title) AS title, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS value FROM documents WHERE kind = 'readme' AND text IS NOT NULL AND trim(title) <> ''")
+def _(s, d):
+    doc = T(s, d, "documents").where("kind = 'readme' AND text IS NOT NULL AND trim(title) <> ''")
+    page = F.concat(F.lit("---\nname: k"), F.col("doc_id").cast("string"), F.lit("\ntype: reference\ntitle: "), F.col("title"), F.lit("\n---\n"), F.col("text"))
+    return R.markdown_notes(doc.select(F.concat(F.lit("notes/n"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), page.alias("text")))
+
+
+@query("src_11_session_turns", """
+WITH t AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'user' ELSE 'assistant' END AS role, trim(CASE WHEN doc_id % 3 = 0 THEN coalesce(title, '') || ' ' || text ELSE text END, ' ') AS x FROM documents WHERE kind = 'session' AND text IS NOT NULL)
+SELECT doc_id AS line, role, substring(x, 1, CASE role WHEN 'user' THEN 500 ELSE 1000 END) AS text FROM t WHERE x <> ''""")
+def _(s, d):
+    """Turns whose content is a string (also one that starts with a bracket) or a list of blocks."""
+    doc = T(s, d, "documents").where("kind = 'session' AND text IS NOT NULL")
+    kind = F.when(F.col("doc_id") % 2 == 0, "user").otherwise("assistant")
+    block = lambda k, c: F.struct(F.lit(k).alias("type"), c.alias("text"))
+    blocks = F.array(block("text", F.coalesce("title", F.lit(""))), block("tool_use", F.lit("no")), block("text", F.col("text")))
+    plain = F.to_json(F.struct(kind.alias("type"), F.struct(F.col("text").alias("content")).alias("message")))
+    listed = F.to_json(F.struct(kind.alias("type"), F.struct(blocks.alias("content")).alias("message")))
+    return R.session_turns(doc.select(F.col("doc_id").alias("line"), F.when(F.col("doc_id") % 3 == 0, listed).otherwise(plain).alias("value"))).select("line", "role", "text")
+
+
+@query("mth_05_metrics", _SCORES + "SELECT q, round(recall, 9) AS recall_at_5, round(rr, 9) AS reciprocal_rank, round(ndcg, 9) AS ndcg_at_10 FROM e WHERE recall > 0 OR rr > 0 OR ndcg > 0")
 def _(s, d):
-    return T(s, d, "documents").where("text IS NOT NULL").select("doc_id", F.coalesce(X.context("text", 80), F.lit("")).alias("line"))
+    """Recall in five, reciprocal rank and nDCG in ten; a label counts once, where it first stands."""
+    e = E.scores(*_results(s, d), k=5, depth=10).where("recall > 0 OR rr > 0 OR ndcg > 0")
+    return e.select("q", F.round("recall", 9).alias("recall_at_5"), F.round("rr", 9).alias("reciprocal_rank"), F.round("ndcg", 9).alias("ndcg_at_10"))

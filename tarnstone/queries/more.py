@@ -38,12 +38,6 @@ def _(s, d):
     return T(s, d, "repos").agg(F.count("*").alias("total"), F.count_if(F.col("last_indexed").isNull()).alias("pending"))
 
 
-@query("win_03_cosine_rank", f"WITH {_SIM} SELECT vec_id, row_number() OVER (ORDER BY score DESC, vec_id) AS place FROM s WHERE score >= 0.05")
-def _(s, d):
-    hits = _scored(s, d).where("score >= 0.05").withColumn("g", F.lit(0))
-    return O.first_per(hits, ["g"], F.col("score").desc(), F.col("vec_id"), n=1 << 30, rank="place").select("vec_id", F.col("place").cast("bigint").alias("place"))
-
-
 @query("win_09_packed", """
 WITH RECURSIVE c AS (SELECT repo_id, file_path, id, octet_length(encode(chunk_text)) AS n, row_number() OVER (PARTITION BY repo_id, file_path ORDER BY id) AS k FROM chunks WHERE chunk_text IS NOT NULL),
 r AS (SELECT repo_id, file_path, id, k, n AS used, 0 AS pack FROM c WHERE k = 1
@@ -86,13 +80,6 @@ def _(s, d):
     return page.select("k", F.size("shown").cast("bigint").alias("shown"), F.when(F.size("shown") > 0, total).alias("ids"))
 
 
-@query("srt_04_bm25_order", _STRICT.replace("SELECT doc, round(score, 6) AS score FROM b", "SELECT doc, row_number() OVER (ORDER BY score, title, doc) AS place FROM b JOIN documents ON doc_id = doc"))
-def _(s, d):
-    docs = T(s, d, "documents")
-    hit = FT.scan_bm25(docs, DOCS, [["retry"], ["queue"]]).join(docs.select(F.col("doc_id").alias("doc"), "title"), "doc").withColumn("g", F.lit(0))
-    return O.first_per(hit, ["g"], F.col("score"), F.col("title").asc_nulls_last(), F.col("doc"), n=1 << 30, rank="place").select("doc", F.col("place").cast("bigint").alias("place"))
-
-
 @query("srt_05_knn", f"WITH {_SIM} SELECT vec_id FROM s ORDER BY score DESC, vec_id LIMIT 10")
 def _(s, d):
     return V.top_k(_scored(s, d), 10, "vec_id").select("vec_id")
@@ -141,16 +128,6 @@ def _(s, d):
     return words.mapInPandas(run, "word string, part string").groupBy("part").agg(F.count("*").alias("words"))
 
 
-@query("str_12_snippet")
-def _(s, d):
-    return T(s, d, "documents").select("doc_id", R.snippet(F.col("text"), "retry queue").alias("snippet")).where("snippet IS NOT NULL")
-
-
-@query("str_13_keyword_snippet")
-def _(s, d):
-    return T(s, d, "documents").where("text IS NOT NULL").select("doc_id", R.keyword_snippet(F.col("text"), "ail digest").alias("snippet"))
-
-
 @query("str_33_sibling_key", "WITH k AS (SELECT DISTINCT key FROM memory), n AS (SELECT key FROM k UNION SELECT key || '-distilled' FROM k WHERE length(key) % 2 = 0) SELECT k.key, CASE WHEN NOT EXISTS (SELECT 1 FROM n WHERE n.key = k.key || '-distilled') THEN k.key || '-distilled' ELSE k.key || '-distilled-2' END AS sibling FROM k")
 def _(s, d):
     k = T(s, d, "memory").select("key").distinct()
@@ -178,55 +155,6 @@ def _(s, d):
     return m.select("id", F.concat(F.lit("- "), "key", F.lit(": "), F.substring(X.squeeze("value"), 1, 240)).alias("line"))
 
 
-@query("dml_10_conclude", "SELECT doc_id, CASE WHEN length(text) > 500 THEN 'concluded' ELSE 'open' END AS status, CASE WHEN length(text) > 500 THEN '2026-03-01' END AS closed FROM documents WHERE kind = 'investigation' AND text IS NOT NULL")
-def _(s, d):
-    i = T(s, d, "documents").where("kind = 'investigation' AND text IS NOT NULL").select("doc_id", F.lit("open").alias("status"), F.lit(None).cast("string").alias("closed"), F.lit("").alias("notes"), F.char_length("text").alias("n"))
-    return C.finish(i, F.col("n") > 500, "concluded", "done", "2026-03-01").select("doc_id", "status", "closed")
-
-
-@query("dml_12_repo_upsert", "SELECT id, coalesce(CASE WHEN id % 2 = 0 THEN name || '-2' END, name) AS name, description FROM repos WHERE id <= 20 UNION ALL SELECT id + 100, name, NULL FROM repos WHERE id <= 3")
-def _(s, d):
-    r = T(s, d, "repos").where("id <= 20").select("id", "name", "description")
-    new = r.where("id % 2 = 0").select("id", F.concat("name", F.lit("-2")).alias("name"), F.lit(None).cast("string").alias("description"))
-    fresh = r.where("id <= 3").select((F.col("id") + 100).alias("id"), "name", F.lit(None).cast("string").alias("description"))
-    return C.patched(r, new, "id", ["name", "description"]).unionByName(fresh)
-
-
-@query("dml_12_repo_upsert_whole", "SELECT id, coalesce(CASE WHEN id % 2 = 0 THEN name || '-2' END, name) AS name, description FROM repos UNION ALL SELECT -id, name, NULL FROM repos WHERE id <> 0")
-def _(s, d):
-    """All repos are the existing side, and each of them gives a new row as well."""
-    r = T(s, d, "repos").select("id", "name", "description")
-    new = r.where("id % 2 = 0").select("id", F.concat("name", F.lit("-2")).alias("name"), F.lit(None).cast("string").alias("description"))
-    fresh = r.where("id <> 0").select((-F.col("id")).alias("id"), "name", F.lit(None).cast("string").alias("description"))
-    return C.patched(r, new, "id", ["name", "description"]).unionByName(fresh)
-
-
-@query("dml_15_file_upsert", "SELECT id, CASE WHEN id % 3 = 0 THEN NULL ELSE last_modified END AS last_modified FROM chunks WHERE repo_id <> 5")
-def _(s, d):
-    c = T(s, d, "chunks")
-    kept = C.unlinked(c, c.where("repo_id = 5").select("repo_id").distinct(), ["repo_id"])
-    return kept.select("id", F.when(F.col("id") % 3 != 0, F.col("last_modified")).alias("last_modified"))
-
-
-@query("dml_17_take_over", "SELECT e.user_id, CASE WHEN e.user_id % 10 = 1 THEN e.user_id - 1 ELSE e.user_id END AS mailbox, count(*) AS n FROM events e GROUP BY 1, 2")
-def _(s, d):
-    e = T(s, d, "events")
-    over = e.select("user_id").distinct().where("user_id % 10 = 1").select("user_id", (F.col("user_id") - 1).alias("to"))
-    return e.join(over, "user_id", "left").groupBy("user_id", F.coalesce("to", "user_id").alias("mailbox")).agg(F.count("*").alias("n"))
-
-
-@query("dml_23_known_types", "SELECT kind, count(*) AS n FROM documents WHERE kind IN ('memory', 'todo', 'readme') GROUP BY kind")
-def _(s, d):
-    known = s.createDataFrame([("memory",), ("todo",), ("readme",)], "kind string")
-    return T(s, d, "documents").join(known, "kind", "left_semi").groupBy("kind").agg(F.count("*").alias("n"))
-
-
-@query("stm_10_job_order", "SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS turn FROM events WHERE event_type IN ('click', 'view')")
-def _(s, d):
-    w = W.partitionBy("event_type").orderBy("ts", "event_id")
-    return T(s, d, "events").where(F.col("event_type").isin("click", "view")).select("event_id", F.row_number().over(w).cast("bigint").alias("turn"))
-
-
 @query("stm_11_date_checkpoint", "SELECT c.repo_id, c.file_path, max(c.last_modified) AS last_modified FROM chunks c JOIN repos r ON r.id = c.repo_id AND c.last_modified > r.last_indexed GROUP BY 1, 2")
 def _(s, d):
     mark = T(s, d, "repos").select(F.col("id").alias("repo_id"), "last_indexed")
@@ -240,33 +168,12 @@ def _(s, d):
     return g.where("started > ended").select("user_id", "started")
 
 
-@query("cmp_06_relevant_memories", """
-WITH m AS (SELECT id, CASE WHEN memory_type = 'feedback' THEN 0 WHEN contains(key, 'deploy') THEN 1 WHEN memory_type = 'project' THEN 2 END AS tier, created_at FROM memory WHERE status = 'active')
-SELECT id, tier, p AS place FROM (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY created_at DESC NULLS LAST, id) AS p FROM m WHERE tier IS NOT NULL) WHERE p <= 5""")
-def _(s, d):
-    tier = F.when(F.col("memory_type") == "feedback", 0).when(F.contains("key", F.lit("deploy")), 1).when(F.col("memory_type") == "project", 2)
-    m = T(s, d, "memory").where("status = 'active'").select("id", tier.alias("tier"), "created_at").where("tier IS NOT NULL")
-    return O.first_per(m, ["tier"], F.col("created_at").desc(), F.col("id"), n=5, rank="place").select("id", "tier", F.col("place").cast("bigint").alias("place"))
-
-
 @query("cmp_10_conflict_report", "SELECT a.key AS old_key, count(*) AS n, max(c.score) AS worst FROM memory_conflicts c JOIN memory a ON a.id = c.memory_id WHERE a.status = 'active' GROUP BY 1")
 def _(s, d):
     a = T(s, d, "memory").where("status = 'active'").select(F.col("id").alias("memory_id"), F.col("key").alias("old_key"))
     return T(s, d, "memory_conflicts").join(a, "memory_id").groupBy("old_key").agg(F.count("*").alias("n"), F.max("score").alias("worst"))
 
 
-@query("evl_01_rankers", f"WITH {_SIM}, a AS (SELECT 'cosine' AS ranker, vec_id, row_number() OVER (ORDER BY score DESC, vec_id) AS place FROM s UNION ALL SELECT 'id', vec_id, row_number() OVER (ORDER BY vec_id) FROM s) SELECT * FROM a WHERE place <= 10")
-def _(s, d):
-    rankers = {"cosine": lambda f: f.orderBy(F.col("score").desc(), "vec_id"), "id": lambda f: f.orderBy("vec_id")}
-    out = None
-    for name, rank in rankers.items():
-        top = rank(_scored(s, d)).limit(10).withColumn("g", F.lit(0))
-        key = [F.col("score").desc(), F.col("vec_id")] if name == "cosine" else [F.col("vec_id")]
-        part = O.first_per(top, ["g"], *key, n=10, rank="place").select(F.lit(name).alias("ranker"), "vec_id", F.col("place").cast("bigint").alias("place"))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 @query("evl_07_pool", f"WITH {_RES} SELECT label, count(DISTINCT q) AS queries, min(place) AS best FROM top GROUP BY label")
 def _(s, d):
     return _results(s, d)[0].groupBy("label").agg(F.count_distinct("q").alias("queries"), F.min("place").alias("best"))
@@ -302,26 +209,6 @@ def _(s, d):
     return T(s, d, "chunks").select("id", S.indexable(F.col("file_path")).alias("indexable"))
 
 
-@query("src_09_changed_paths", "SELECT coalesce(a.file_path, b.file_path) AS file_path FROM (SELECT DISTINCT file_path FROM chunks WHERE repo_id <> 6) a FULL JOIN (SELECT DISTINCT file_path FROM chunks WHERE repo_id <> 7) b ON a.file_path = b.file_path WHERE a.file_path IS NULL OR b.file_path IS NULL")
-def _(s, d):
-    from tarnstone.streaming.incremental import changed
-
-    c = T(s, d, "chunks")
-    side = lambda r: c.where(f"repo_id <> {r}").select("file_path", F.lit(1).alias("h")).distinct()
-    return changed(side(6), side(7), ["file_path"], "h").select("file_path")
-
-
-@query("src_19_identity", "SELECT repo_id, min(last_modified) AS first FROM chunks WHERE last_modified IS NOT NULL GROUP BY repo_id")
-def _(s, d):
-    return T(s, d, "chunks").where("last_modified IS NOT NULL").groupBy("repo_id").agg(F.min(F.struct("last_modified", "id"))["last_modified"].alias("first"))
-
-
-@query("msc_02_sources_in_order", "SELECT kind, doc_id, row_number() OVER (PARTITION BY kind ORDER BY doc_id) AS position FROM documents WHERE text IS NOT NULL AND kind IN ('meeting', 'todo')")
-def _(s, d):
-    t = T(s, d, "documents").where(F.col("text").isNotNull() & F.col("kind").isin("meeting", "todo"))
-    return t.select("kind", "doc_id", F.row_number().over(W.partitionBy("kind").orderBy("doc_id")).cast("bigint").alias("position"))
-
-
 @query("msc_04_store_vector", "SELECT m.id, coalesce(len(g.vec), len(m.embedding)) AS width FROM memory m LEFT JOIN reembed_staging g ON g.tbl = 0 AND g.id = m.id AND m.status = 'active'")
 def _(s, d):
     g = T(s, d, "reembed_staging").where("tbl = 0").select("id", F.size("vec").alias("n"))
@@ -361,11 +248,6 @@ def _(s, d):
     return C.unlinked(m.select("id"), m.where(F.startswith(X.ascii_lower("key"), F.lit("db/"))), ["id"])
 
 
-@query("src_15_eval_items", "SELECT kind, count(*) AS n, min(item_id) AS first FROM eval_items GROUP BY kind")
-def _(s, d):
-    return T(s, d, "eval_items").groupBy("kind").agg(F.count("*").alias("n"), F.min("item_id").alias("first"))
-
-
 @query("src_16_facts", "SELECT id, key, coalesce(memory_type, 'project') AS type FROM memory WHERE key <> '' AND value <> ''")
 def _(s, d):
     """Facts parsed out of replies: one reply of prose around a JSON list per memory."""
@@ -462,3 +344,57 @@ def _(s, d):
 @query("msc_18_usage_name", "SELECT event_id, CASE WHEN event_type = 'error' THEN event_type || ':failed' ELSE event_type END AS command FROM events")
 def _(s, d):
     return T(s, d, "events").select("event_id", F.when(F.col("event_type") == "error", F.concat("event_type", F.lit(":failed"))).otherwise(F.col("event_type")).alias("command"))
+
+
+@query("dml_12_repo_upsert", "SELECT id, coalesce(CASE WHEN id % 2 = 0 THEN name || '-2' END, name) AS name, description FROM repos UNION ALL SELECT -id, name, NULL FROM repos WHERE id <> 0")
+def _(s, d):
+    """All repos are the existing side, and each of them gives a new row as well."""
+    r = T(s, d, "repos").select("id", "name", "description")
+    new = r.where("id % 2 = 0").select("id", F.concat("name", F.lit("-2")).alias("name"), F.lit(None).cast("string").alias("description"))
+    fresh = r.where("id <> 0").select((-F.col("id")).alias("id"), "name", F.lit(None).cast("string").alias("description"))
+    return C.patched(r, new, "id", ["name", "description"]).unionByName(fresh)
+
+
+@query("msc_02_sources_in_order", "SELECT kind, doc_id, row_number() OVER (PARTITION BY kind ORDER BY doc_id) AS position FROM documents WHERE text IS NOT NULL UNION ALL SELECT 'chunk', id, row_number() OVER (ORDER BY id) FROM chunks WHERE chunk_text IS NOT NULL UNION ALL SELECT 'transcript', id, row_number() OVER (ORDER BY id) FROM meetings WHERE transcript IS NOT NULL")
+def _(s, d):
+    """Every kind of item with a text, each in order of its id."""
+    parts = [
+        T(s, d, "documents").where("text IS NOT NULL").select("kind", "doc_id"),
+        T(s, d, "chunks").where("chunk_text IS NOT NULL").select(F.lit("chunk").alias("kind"), F.col("id").alias("doc_id")),
+        T(s, d, "meetings").where("transcript IS NOT NULL").select(F.lit("transcript").alias("kind"), F.col("id").alias("doc_id")),
+    ]
+    return O.numbered(parts[0].unionByName(parts[1]).unionByName(parts[2]), "doc_id", by="kind", name="position")
+
+
+@query("win_03_cosine_rank", f"WITH {_SIM} SELECT vec_id, row_number() OVER (ORDER BY score DESC, vec_id) AS place FROM s WHERE score >= 0.05")
+def _(s, d):
+    return O.numbered(_scored(s, d).where("score >= 0.05"), F.col("score").desc(), "vec_id").select("vec_id", "place")
+
+
+@query("srt_04_bm25_order", _STRICT.replace("SELECT doc, round(score, 6) AS score FROM b", "SELECT doc, row_number() OVER (ORDER BY score, title, doc) AS place FROM b JOIN documents ON doc_id = doc"))
+def _(s, d):
+    docs = T(s, d, "documents")
+    hit = FT.scan_bm25(docs, DOCS, [["retry"], ["queue"]]).join(docs.select(F.col("doc_id").alias("doc"), "title"), "doc")
+    return O.numbered(hit, "score", F.col("title").asc_nulls_last(), "doc").select("doc", "place")
+
+
+_RANKED = f"""
+{_SIM}, k AS (SELECT vec_id AS doc, row_number() OVER (ORDER BY vec_id) AS pos FROM s WHERE label = 3), h AS (SELECT s.vec_id AS doc, 0 AS tier, k.pos AS input_pos, CASE WHEN s.vec_id % 2 = 0 THEN s.score END AS score FROM s JOIN k ON k.doc = s.vec_id
+ UNION ALL (SELECT vec_id, 1, 1000000000 + row_number() OVER (ORDER BY score DESC, vec_id), score FROM s WHERE label <> 3 ORDER BY score DESC, vec_id LIMIT 25)),
+r AS (SELECT *, CASE WHEN tier = 0 THEN 1 / (60 + row_number() OVER (PARTITION BY tier ORDER BY input_pos)) ELSE 0 END + CASE WHEN score IS NULL THEN 0 ELSE 1 / (60 + row_number() OVER (ORDER BY score DESC NULLS LAST, input_pos)) END AS rrf FROM h)"""
+
+
+@query("evl_01_rankers", f"""
+WITH {_RANKED} SELECT 'current' AS ranker, doc, row_number() OVER (ORDER BY round(rrf, 12) DESC, input_pos) AS place FROM r
+UNION ALL SELECT 'keyword', doc, input_pos FROM r WHERE tier = 0
+UNION ALL SELECT 'cosine', doc, row_number() OVER (ORDER BY score DESC, input_pos) FROM r WHERE score IS NOT NULL
+UNION ALL SELECT 'cosine-order', doc, row_number() OVER (ORDER BY score DESC NULLS LAST, input_pos) FROM r""")
+def _(s, d):
+    """The four rankers of an evaluation over the hits of one search: keyword hits (every other one with a vector) and the
+    nearest other records."""
+    scored = _scored(s, d).select(F.col("vec_id").cast("bigint").alias("doc"), "label", "score")
+    kw = O.numbered(scored.where("label = 3"), "doc", name="input_pos").select("doc", F.lit(0).alias("tier"), "input_pos", F.when(F.col("doc") % 2 == 0, F.col("score")).alias("score"))
+    near = scored.where("label <> 3").orderBy(F.col("score").desc(), "doc").limit(25)
+    near = O.numbered(near, F.col("score").desc(), "doc", name="p", rows=25).select("doc", F.lit(1).alias("tier"), (F.col("p") + 1_000_000_000).alias("input_pos"), "score")
+    hits = kw.unionByName(near).withColumns({"type": F.lit("vector"), "tier_place": F.col("input_pos")})
+    return E.ranked(hits, E.rankers(F.lit(False))).select("ranker", "doc", F.col("place").cast("bigint").alias("place"))

@@ -90,9 +90,7 @@ def _(s, d):
 
 @query("prd_14_needs_review", "SELECT id, row_number() OVER (ORDER BY coalesce(reviewed_at, created_at), id) AS place FROM memory WHERE status = 'active' AND (reviewed_at IS NULL OR reviewed_at < TIMESTAMP '2026-03-01' - INTERVAL 90 DAY)")
 def _(s, d):
-    # the report is one ordered list: its rank needs one order over all rows
-    w = W.orderBy(F.coalesce("reviewed_at", "created_at"), "id")
-    return P.needs_review(T(s, d, "memory"), AS_OF, 90).select("id", F.row_number().over(w).cast("bigint").alias("place"))
+    return O.numbered(P.needs_review(T(s, d, "memory"), AS_OF, 90), F.coalesce("reviewed_at", "created_at"), "id").select("id", "place")
 
 
 @query("prd_15_active_agents", "SELECT user_id, max(ts) AS seen FROM events GROUP BY user_id HAVING max(ts) >= TIMESTAMP '2024-01-29 23:30:00' AND count(*) FILTER (event_type = 'error' AND ts >= TIMESTAMP '2024-01-29') = 0")

@@ -23,28 +23,6 @@ def tok(c: str) -> str:
     return f"list_filter(string_split_regex({low(c)}, '[^a-z0-9]+'), lambda w: w <> '')"
 
 
-@query("str_01_sanitize", "SELECT * FROM (VALUES (1, 'report-gen-worker'), (2, 'rust'), (3, 'hello world')) t(place, term)")
-def _(s, d):
-    rows = [(1, X.sanitize('report-gen-worker')[0]), (2, X.sanitize('rust code')[0]), (3, " ".join(X.sanitize('"hello" w"orld')))]
-    return s.createDataFrame(rows, "place int, term string")
-
-
-@query("str_02_loose_terms", "SELECT * FROM (VALUES ('why did we drop CoreML?', 'drop CoreML?'), ('what is', 'what is'), ('retry', NULL)) t(q, terms)")
-def _(s, d):
-    qs = ["why did we drop CoreML?", "what is", "retry"]
-    return s.createDataFrame([(q, " ".join(t) if (t := X.loose_terms(q)) else None) for q in qs], "q string, terms string")
-
-
-@query("str_03_code_terms", "SELECT unnest(['password', 'stored', 'see', 'rotate_password']) AS term, unnest([1, 2, 3, 4]) AS place")
-def _(s, d):
-    return s.createDataFrame([(t, k) for k, t in enumerate(X.code_terms("How is the DB password stored? see rotate_password()"), 1)], "term string, place int")
-
-
-@query("str_04_trigram_terms", "SELECT 'sanitize' AS term")
-def _(s, d):
-    return s.createDataFrame([(t,) for t in X.trigram_terms("fn sanitize")], "term string")
-
-
 @query("str_05_stopwords", f"SELECT doc_id, len(list_filter({tok('text')}, lambda w: w IN ({', '.join(repr(w) for w in X.STOPWORDS)}))) AS stops FROM documents WHERE text IS NOT NULL")
 def _(s, d):
     stop = F.array(*[F.lit(w) for w in X.STOPWORDS])
@@ -84,16 +62,6 @@ def _(s, d):
     return T(s, d, "memory").where("value IS NOT NULL").select("id", X.truncate("value", 40).alias("head"))
 
 
-@query("str_10_truncate_bytes")
-def _(s, d):
-    def run(batches):
-        for pdf in batches:
-            pdf["head"] = [X.truncate_bytes(t, 60) for t in pdf["text"]]
-            yield pdf[["doc_id", "head"]]
-
-    return T(s, d, "documents").where("text IS NOT NULL").select("doc_id", "text").mapInPandas(run, "doc_id long, head string")
-
-
 @query("str_11_excerpt", f"""
 WITH t AS (SELECT doc_id, text, greatest(CASE WHEN strpos({low('text')}, 'retry queue') > 0 THEN strpos({low('text')}, 'retry queue') ELSE strpos({low('text')}, 'retry') END - 30, 1) AS a FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, CASE WHEN a > 1 THEN '...' ELSE '' END || substring(text, a, 90) || CASE WHEN length(text) > a + 89 THEN '...' ELSE '' END AS excerpt FROM t""")
@@ -106,7 +74,7 @@ def _(s, d):
     return T(s, d, "chunks").select("id", X.context("context").alias("context"))
 
 
-@query("str_15_passage", "SELECT id, CASE WHEN context IS NULL THEN chunk_text ELSE context || chr(10) || chr(10) || chunk_text END AS passage FROM chunks")
+@query("str_15_passage", "SELECT id, CASE WHEN nullif(context, '') IS NULL THEN chunk_text ELSE context || chr(10) || chr(10) || chunk_text END AS passage FROM chunks")
 def _(s, d):
     return T(s, d, "chunks").select("id", X.passage("context", "chunk_text").alias("passage"))
 
@@ -155,22 +123,6 @@ def _(s, d):
     return T(s, d, "memory").select("id", X.key_path("key").alias("path"))
 
 
-def _per_row(name, fn, src, key, col):
-    @query(name)
-    def run_query(s, d):
-        def run(batches):
-            for pdf in batches:
-                pdf["out"] = [fn(x) for x in pdf[col]]
-                yield pdf[[key, "out"]]
-
-        return T(s, d, src).where(F.col(col).isNotNull()).select(key, col).mapInPandas(run, f"{key} long, out string")
-
-
-_per_row("str_24_yaml_quote", X.yaml_quote, "meetings", "id", "title")
-_per_row("str_25_normal_remote", lambda x: X.normal_remote("git@Host.example:" + x.strip("/") + ".git"), "repos", "id", "path")
-_per_row("str_28_terminal_safe", X.terminal_safe, "documents", "doc_id", "title")
-
-
 @query("str_26_without_private", r"SELECT doc_id, length(regexp_replace(replace(text, 'the ', '<Private>x</private>'), '(?s)<[Pp]rivate>.*?(?:</private>|\z)', '', 'g')) AS n FROM documents WHERE text IS NOT NULL")
 def _(s, d):
     marked = F.replace("text", F.lit("the "), F.lit("<Private>x</private>"))
@@ -222,18 +174,6 @@ def _(s, d):
     return named.where(X.names_query("name", "Vera Lakifering ")).select("id").unionByName(named.join(third, "n", "left_semi").select("id")).distinct()
 
 
-@query("dat_01_bounds", "SELECT * FROM (VALUES ('2026-06-01T09:30', '2026-06-01 09:30:00', '2026-06-01 09:30:59'), ('2026-06-08', '2026-06-08 00:00:00', '2026-06-08 23:59:59')) t(q, low, high)")
-def _(s, d):
-    day = dt.date(2026, 3, 31)
-    return s.createDataFrame([(q, D.bound(q, day, False), D.bound(q, day, True)) for q in ("2026-06-01T09:30", "2026-06-08")], "q string, low string, high string")
-
-
-@query("dat_02_ages", "SELECT unit, CAST(CASE unit WHEN 'd' THEN DATE '2026-03-31' - 9 WHEN 'w' THEN DATE '2026-03-31' - 63 WHEN 'm' THEN DATE '2026-03-31' - INTERVAL 1 MONTH ELSE DATE '2026-03-31' - INTERVAL 1 YEAR END AS DATE) AS day FROM (SELECT unnest(['d', 'w', 'm', 'y']) AS unit)")
-def _(s, d):
-    day = dt.date(2026, 3, 31)
-    return s.createDataFrame([(u, D.age(f"{n}{u.upper()}", day)) for u, n in (("d", 9), ("w", 9), ("m", 1), ("y", 1))], "unit string, day date")
-
-
 @query("dat_03_read_stamp", r"""
 SELECT id, CAST(date_trunc('second', TRY_CAST(regexp_replace(trim(updated_at), 'Z$', '') AS TIMESTAMP)) AS VARCHAR) AS stamp FROM memory
 WHERE TRY_CAST(regexp_replace(trim(updated_at), 'Z$', '') AS TIMESTAMP) IS NOT NULL AND regexp_matches(trim(updated_at), '^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2})?(\.\d+)?Z?)?$')""")
@@ -284,11 +224,6 @@ def _(s, d):
     return c.select("id", M.percent(F.col("score")).alias("percent"))
 
 
-@query("mth_10_split_mix")
-def _(s, d):
-    return s.createDataFrame([(k, str(v)) for k, v in enumerate(M.split_mix(42, 16))], "n int, value string")
-
-
 @query("arr_01_tags", "SELECT id, array_to_string(list_transform(string_split(replace(replace(replace(tags, '[', ''), ']', ''), '\"', ''), ','), lambda t: trim(t)), '|') AS tags FROM memory WHERE tags IS NOT NULL")
 def _(s, d):
     flat = F.regexp_replace("tags", r'[\[\]"]', "")
@@ -314,3 +249,142 @@ def _(s, d):
 @query("hsh_01_sha256", "SELECT doc_id, sha256(text) AS hash FROM documents WHERE text IS NOT NULL")
 def _(s, d):
     return T(s, d, "documents").where("text IS NOT NULL").select("doc_id", F.sha2("text", 256).alias("hash"))
+
+
+_SPLIT = r"string_split_regex({0}, '[ \t\n\r\f]+')"
+_TERMS = f"list_filter(list_transform({_SPLIT}, lambda w: replace(w, '\"', '')), lambda w: w <> '')"
+_STOP = ", ".join(repr(w) for w in X.STOPWORDS)
+_BARE_SQL = r"lower(regexp_replace(w, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g'))"
+
+
+@query("str_01_sanitize", f"SELECT doc_id, md5(array_to_string({_TERMS.format('text')}, '|')) AS terms FROM documents WHERE text IS NOT NULL")
+def _(s, d):
+    return T(s, d, "documents").where("text IS NOT NULL").select("doc_id", F.md5(F.array_join(X.terms_of("text"), "|")).alias("terms"))
+
+
+@query("str_02_loose_terms", f"""
+WITH t AS (SELECT doc_id, {_TERMS.format('title')} AS t FROM documents WHERE title IS NOT NULL UNION ALL SELECT -item_id, {_TERMS.format('text')} FROM eval_items),
+k AS (SELECT doc_id, t, list_filter(t, lambda w: {_BARE_SQL} <> '') AS w, list_filter(t, lambda w: {_BARE_SQL} <> '' AND {_BARE_SQL} NOT IN ({_STOP})) AS k FROM t),
+f AS (SELECT doc_id, t, CASE WHEN len(k) > 0 THEN k ELSE w END AS k FROM k)
+SELECT doc_id, CASE WHEN NOT (len(k) = 0 OR (len(t) = 1 AND len(k) = 1)) THEN array_to_string(k, '|') END AS terms FROM f""")
+def _(s, d):
+    q = T(s, d, "documents").where("title IS NOT NULL").select("doc_id", F.col("title").alias("q")).unionByName(T(s, d, "eval_items").select((-F.col("item_id")).alias("doc_id"), F.col("text").alias("q")))
+    return q.select("doc_id", F.array_join(X.loose_terms_of("q"), "|").alias("terms"))
+
+
+@query("str_03_code_terms", rf"""
+WITH t AS (SELECT item_id, list_filter({_SPLIT.format('text')}, lambda w: w <> '') AS t FROM eval_items WHERE text IS NOT NULL)
+SELECT item_id, array_to_string(CASE WHEN len(t) < 2 THEN [] ELSE list_slice(list_filter(list_transform(t, lambda w: lower(regexp_replace(w, '^[^\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+$', '', 'g'))), lambda w, i: length(w) >= 3 AND w NOT IN ({_STOP}) AND list_position(list_transform(t, lambda v: lower(regexp_replace(v, '^[^\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+$', '', 'g'))), w) = i), 1, 16) END, '|') AS terms FROM t""")
+def _(s, d):
+    return T(s, d, "eval_items").where("text IS NOT NULL").select("item_id", F.array_join(X.code_terms_of("text"), "|").alias("terms"))
+
+
+@query("str_04_trigram_terms", f"SELECT id, array_to_string(list_filter({_TERMS.format('value')}, lambda w: length(w) >= 3), '|') AS terms FROM memory WHERE value IS NOT NULL")
+def _(s, d):
+    return T(s, d, "memory").where("value IS NOT NULL").select("id", F.array_join(F.filter(X.terms_of("value"), lambda w: F.char_length(w) >= 3), "|").alias("terms"))
+
+
+@query("str_10_truncate_bytes", "SELECT doc_id, CASE WHEN octet_length(encode(text)) <= 60 THEN text ELSE left(text, list_max(list_filter(range(0, 61), lambda k: octet_length(encode(left(text, CAST(k AS INT)))) <= 60))) || '...' END AS head FROM documents WHERE text IS NOT NULL")
+def _(s, d):
+    return T(s, d, "documents").where("text IS NOT NULL").select("doc_id", X.truncated_bytes("text", 60).alias("head"))
+
+
+_FLAT = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
+_WORDS_SQL = rf"w AS (SELECT doc_id, text, string_split({_FLAT}, ' ') AS p FROM documents WHERE text IS NOT NULL)"
+
+
+def _snippet_sql(*terms: str) -> str:
+    hit = " OR ".join(f"starts_with(regexp_replace({low('x')}, '^[^a-z0-9]+', ''), '{t}')" for t in terms)
+    return f"{_WORDS_SQL}, h AS (SELECT *, list_position(list_transform(p, lambda x: {hit}), TRUE) AS pos FROM w), sn AS (SELECT doc_id, text, CASE WHEN pos > 0 THEN array_to_string(list_slice(p, greatest(pos - 6, 1), greatest(pos - 6, 1) + 19), ' ') END AS snippet FROM h)"
+
+
+@query("str_12_snippet", f"WITH {_snippet_sql('retry', 'queue')} SELECT doc_id, snippet FROM sn WHERE snippet IS NOT NULL")
+def _(s, d):
+    from tarnstone.plans import reports as R
+
+    return T(s, d, "documents").select("doc_id", R.snippet(F.col("text"), "retry queue").alias("snippet")).where("snippet IS NOT NULL")
+
+
+@query("str_13_keyword_snippet", f"""
+WITH {_snippet_sql('ail', 'digest')}, x AS (SELECT *, strpos({low('text')}, 'ail digest') AS w, strpos({low('text')}, 'ail') AS f FROM sn), y AS (SELECT *, greatest((CASE WHEN w > 0 THEN w ELSE f END) - 40, 1) AS a FROM x)
+SELECT doc_id, coalesce(snippet, CASE WHEN w > 0 THEN CASE WHEN a > 1 THEN '...' ELSE '' END || substring(text, a, 120) || CASE WHEN length(text) > a + 119 THEN '...' ELSE '' END END, CASE WHEN length(text) > 120 THEN substring(text, 1, 120) || '...' ELSE text END) AS snippet FROM y""")
+def _(s, d):
+    from tarnstone.plans import reports as R
+
+    return T(s, d, "documents").where("text IS NOT NULL").select("doc_id", R.keyword_snippet(F.col("text"), "ail digest").alias("snippet"))
+
+
+def _replaced(c: str, signs: dict[int, str]) -> str:
+    for k, form in signs.items():
+        c = f"replace({c}, chr({k}), '{form}')"
+    return c
+
+
+_YAML = {92: "\\\\", 34: '\\"', 10: "\\n", 13: "\\r", 9: "\\t", **{k: f"\\x{k:02x}" for k in X.CONTROLS if 0 < k < 128}}
+
+
+@query("str_24_yaml_quote", f"SELECT doc_id, md5('\"' || {_replaced('text', _YAML)} || '\"') AS quoted FROM documents WHERE text IS NOT NULL")
+def _(s, d):
+    return T(s, d, "documents").where("text IS NOT NULL").select("doc_id", F.md5(X.yaml_quoted("text").cast("binary")).alias("quoted"))
+
+
+_REMOTES = "CASE id % 6 WHEN 0 THEN 'git@Host.example:' || ltrim(path, '/') || '.git' WHEN 1 THEN 'https://Host.example:8443' || path || '.git/' WHEN 2 THEN 'ssh://git@Host.example' || path WHEN 3 THEN 'file://' || path WHEN 4 THEN path ELSE 'C:\\' || name END"
+
+
+@query("str_25_normal_remote", rf"""
+WITH u AS (SELECT id, {_REMOTES} AS u FROM repos), f AS (SELECT *, CASE WHEN regexp_matches(u, '{X.REMOTE_URL}') AND NOT starts_with(lower(u), 'file:') THEN '{X.REMOTE_URL}' WHEN NOT contains(u, '://') AND regexp_matches(u, '{X.REMOTE_SCP}') THEN '{X.REMOTE_SCP}' END AS form FROM u),
+p AS (SELECT id, CASE WHEN form = '{X.REMOTE_URL}' THEN lower(regexp_extract(u, '{X.REMOTE_URL}', 1)) ELSE lower(regexp_extract(u, '{X.REMOTE_SCP}', 1)) END AS host, CASE WHEN form = '{X.REMOTE_URL}' THEN regexp_extract(u, '{X.REMOTE_URL}', 2) ELSE regexp_extract(u, '{X.REMOTE_SCP}', 2) END AS path, form FROM f)
+SELECT id, CASE WHEN form IS NOT NULL THEN host || '/' || regexp_replace(trim(path, '/'), '\.git$', '') END AS out FROM p""")
+def _(s, d):
+    """Addresses in six written forms; paths of this machine have none."""
+    form = F.col("id") % 6
+    url = (
+        F.when(form == 0, F.concat(F.lit("git@Host.example:"), F.regexp_replace("path", "^/+", ""), F.lit(".git")))
+        .when(form == 1, F.concat(F.lit("https://Host.example:8443"), "path", F.lit(".git/"))).when(form == 2, F.concat(F.lit("ssh://git@Host.example"), "path"))
+        .when(form == 3, F.concat(F.lit("file://"), "path")).when(form == 4, F.col("path")).otherwise(F.concat(F.lit("C:\\"), "name"))
+    )
+    return T(s, d, "repos").select("id", X.remote(url).alias("out"))
+
+
+@query("str_28_terminal_safe", f"SELECT doc_id, md5({_replaced('text', {9: ' ', 13: chr(92) + 'u{d}', **{k: f'{chr(92)}u{{{k:x}}}' for k in X.CONTROLS if k > 0}})}) AS safe FROM documents WHERE text IS NOT NULL")
+def _(s, d):
+    return T(s, d, "documents").where("text IS NOT NULL").select("doc_id", F.md5(X.safe_for_terminal("text").cast("binary")).alias("safe"))
+
+
+_DAY, _MINUTE = r"'^\d{4}-\d{2}-\d{2}$'", r"'^(\d{4}-\d{2}-\d{2})[T ](\d{2}:\d{2})(:\d{2})?$'"
+
+
+@query("dat_01_bounds", f"""
+WITH m AS (SELECT id, trim(meeting_date) AS q FROM meetings), b AS (SELECT id,
+ CASE WHEN regexp_matches(q, {_DAY}) THEN q || ' 00:00:00' WHEN regexp_matches(q, {_MINUTE}) THEN regexp_extract(q, {_MINUTE}, 1) || ' ' || regexp_extract(q, {_MINUTE}, 2) || coalesce(nullif(regexp_extract(q, {_MINUTE}, 3), ''), ':00') END AS low,
+ CASE WHEN regexp_matches(q, {_DAY}) THEN q || ' 23:59:59' WHEN regexp_matches(q, {_MINUTE}) THEN regexp_extract(q, {_MINUTE}, 1) || ' ' || regexp_extract(q, {_MINUTE}, 2) || coalesce(nullif(regexp_extract(q, {_MINUTE}, 3), ''), ':59') END AS high FROM m)
+SELECT id, CASE WHEN TRY_CAST(low AS TIMESTAMP) IS NOT NULL THEN low END AS low, CASE WHEN TRY_CAST(high AS TIMESTAMP) IS NOT NULL THEN high END AS high FROM b""")
+def _(s, d):
+    low_, high = D.bounds_of(F.col("meeting_date"))
+    return T(s, d, "meetings").select("id", low_.alias("low"), high.alias("high"))
+
+
+@query("dat_02_ages", """
+SELECT id, CAST(CASE id % 4 WHEN 0 THEN DATE '2026-03-31' - n WHEN 1 THEN DATE '2026-03-31' - 7 * n WHEN 2 THEN DATE '2026-03-31' - to_months(n) ELSE DATE '2026-03-31' - to_months(12 * n) END AS DATE) AS day FROM (SELECT id, CAST(id % 40 AS INT) AS n FROM memory)""")
+def _(s, d):
+    unit = F.element_at(F.array(*[F.lit(u) for u in "dWmY"]), (F.col("id") % 4 + 1).cast("int"))
+    return T(s, d, "memory").select("id", D.age_of((F.col("id") % 40).cast("int"), unit, "2026-03-31").alias("day"))
+
+
+_M64 = "18446744073709551616::UHUGEINT"
+
+
+@query("mth_10_split_mix", f"""
+WITH a AS (SELECT event_id, ((event_id::UHUGEINT + 11400714819323198485::UHUGEINT) % {_M64})::UBIGINT AS z FROM events),
+b AS (SELECT event_id, ((xor(z, z >> 30)::UHUGEINT * 13787848793156543929::UHUGEINT) % {_M64})::UBIGINT AS z FROM a),
+c AS (SELECT event_id, ((xor(z, z >> 27)::UHUGEINT * 10723151780598845931::UHUGEINT) % {_M64})::UBIGINT AS z FROM b)
+SELECT event_id, CAST(xor(z, z >> 31) AS VARCHAR) AS value FROM c""")
+def _(s, d):
+    """The first number of the sequence that each row's id seeds."""
+
+    def run(batches):
+        for pdf in batches:
+            pdf["value"] = [str(v) for v in M.split_mix_first(pdf["event_id"].to_numpy()).tolist()]
+            yield pdf
+
+    return T(s, d, "events").select("event_id").mapInPandas(run, "event_id long, value string")

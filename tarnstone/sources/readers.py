@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnstone.functions.text import without_private
@@ -92,6 +92,70 @@ def symbols(rows: DataFrame) -> DataFrame:
     return rows.where("language = 'python' AND text IS NOT NULL").select("path", "text").mapInPandas(run, "path string, kind string, name string, first int, last int")
 
 
+def _commits(lines: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """Lines of histories with the hash and the time of the commit they are of: the last line above them that opens one."""
+    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    head = F.when(F.col("line").rlike("^commit [0-9a-f]+ [0-9]+$"), F.split("line", " "))
+    rows = lines.withColumn("_head", head).withColumn("_of", F.last("_head", ignorenulls=True).over(w))
+    return rows.select(*by, F.col("_head").isNotNull().alias("opens"), "line", F.col("_of")[1].alias("hash"), F.col("_of")[2].cast("long").alias("at"))
+
+
+def commit_dates(lines: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """(by, path, at): when each path was last changed, from dumped histories (``commit HASH TIME``, then its paths)."""
+    c = _commits(lines, by, order).where("NOT opens AND line <> '' AND hash IS NOT NULL")
+    return c.groupBy(*by, F.col("line").alias("path")).agg(F.max("at").alias("at"))
+
+
+def oldest_commit(lines: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """(by, hash, at): the first commit of each history; of those of one moment the one with the smaller hash."""
+    c = _commits(lines, by, order).where("opens")
+    first = c.groupBy(*by).agg(F.min(F.struct("at", "hash")).alias("_f"))
+    return first.select(*by, F.col("_f.hash").alias("hash"), F.col("_f.at").alias("at"))
+
+
+def name_status(lines: DataFrame, line: str) -> DataFrame:
+    """(path, change) of a listing ``STATE<tab>path``; a rename or copy has two paths: the old one goes (not of a copy), the
+    new one comes."""
+    p = F.split(line, "\t")
+    state = F.substring(p[0], 1, 1)
+    one = lambda path, change: F.struct(path.alias("path"), change.alias("change"))
+    both = F.when(state == "R", F.array(one(p[1], F.lit("D")), one(F.get(p, F.lit(2)), F.lit("A")))).when(state == "C", F.array(one(F.get(p, F.lit(2)), F.lit("A"))))
+    return lines.select(F.explode(F.coalesce(both, F.array(one(p[1], state)))).alias("x")).select("x.path", "x.change")
+
+
+EVAL_FIELDS = {"id": int, "kind": str, "text": str, "relevant": list}
+
+
+def parsed_queries(file: str) -> list[dict[str, Any]]:
+    """The queries of an evaluation file (TOML). Unknown or missing fields, wrong types and double ids are errors."""
+    import tomllib
+
+    data, out, seen = tomllib.loads(file), [], set()
+    if unknown := set(data) - {"query"}:
+        raise ValueError(f"unknown: {sorted(unknown)}")
+    for q in data.get("query", []):
+        if set(q) != set(EVAL_FIELDS):
+            raise ValueError(f"fields of a query: {sorted(q)}")
+        for name, kind in EVAL_FIELDS.items():
+            if not isinstance(q[name], kind):
+                raise ValueError(f"{name} of a query: {q[name]!r}")
+        if q["id"] in seen or not q["text"].strip():
+            raise ValueError(f"a query twice, or without a text: {q['id']}")
+        seen.add(q["id"])
+        out.append(q)
+    return out
+
+
+def eval_queries(files: DataFrame, column: str) -> DataFrame:
+    """(id, kind, text, relevant) of the queries in evaluation files; a file with an error stops the job."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame([q for f in pdf[column] for q in parsed_queries(f)], columns=list(EVAL_FIELDS))
+
+    return files.select(column).mapInPandas(run, "id long, kind string, text string, relevant array<long>")
+
+
 def text_bodies(spark: SparkSession, folder: str, key: str) -> DataFrame:
     """(key, body): files read whole, one record each, without the line end of the last line; ``key`` is taken from the folder's name (key=value)."""
     return spark.read.option("wholetext", True).text(folder).select(key, F.regexp_replace("value", r"\n\z", "").alias("body"))
@@ -138,7 +202,8 @@ def session_turns(lines: DataFrame, cap_user: int = 500, cap_other: int = 1000)
     raw = F.col("j.message.content")
     blocks = F.from_json(raw, "array<struct<type:string,text:string>>")
     joined = F.array_join(F.transform(F.filter(blocks, lambda b: b["type"] == "text"), lambda b: b["text"]), " ")
-    text = F.trim(without_private(F.when(F.startswith(raw, F.lit("[")), joined).otherwise(raw)))
+    listed = F.get_json_object("value", "$.message.content[0]").isNotNull()  # a string that starts with a bracket is none
+    text = F.trim(without_private(F.when(listed, joined).otherwise(raw)))
     cap = F.when(F.col("j.type") == "user", F.lit(cap_user)).otherwise(F.lit(cap_other))
     return j.select("line", F.col("j.type").alias("role"), F.substring(text, F.lit(1), cap).alias("text"), F.col("j.uuid").alias("id"), F.col("j.timestamp").alias("at")).where("text <> ''")
 

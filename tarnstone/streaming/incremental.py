@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnstone.storage import folder
+from tarnstone import storage
 
 
 def changed(manifest: DataFrame, known: DataFrame, key: list[str], digest: str) -> DataFrame:
@@ -48,6 +48,20 @@ def run_history(events: DataFrame, by: str, order: list[str], starts: Column, ke
     return rows.where(F.col("age") <= keep)
 
 
+def jobs_run(jobs: DataFrame, worker: str, order: list[str], ends: Column) -> DataFrame:
+    """Jobs with turn, state and attempts after a run, oldest first: a failed job stops only itself, an interrupted one is
+    queued again with one attempt more."""
+    w = Window.partitionBy(worker).orderBy(*order)
+    cut_off = ends == "interrupted"
+    return jobs.withColumns({"turn": F.row_number().over(w).cast("long"), "state": F.when(cut_off, "queued").otherwise(ends), "attempts": cut_off.cast("int")})
+
+
+def appended(log: DataFrame, new: DataFrame, at: str, days: int, now: DataFrame) -> DataFrame:
+    """The log with new rows, without those older than ``days`` before ``now`` (one row)."""
+    rows = log.unionByName(new).crossJoin(F.broadcast(now))
+    return rows.where(F.col(at) >= F.col("now") - F.expr(f"INTERVAL {int(days)} DAYS")).drop("now")
+
+
 def turns_of_lanes(waiting: DataFrame, worker: list[str], is_query: Column, order: list[str]) -> DataFrame:
     """Adds ``turn``: what waits for each worker in the order it is served; queries go before bulk, each as it came."""
     w = Window.partitionBy(*worker).orderBy(is_query.desc(), *order)
@@ -79,7 +93,7 @@ def retained(events: DataFrame, at: str, as_of: str, days: int) -> DataFrame:
 def stream_counts(folder: str, schema: T.StructType, spark, window: str = "1 hour", late: str = "1 day") -> DataFrame:
     """(start, event_type, n): event counts per window of a folder of Parquet files read as a stream, late rows included
     up to ``late``. What is there now is processed; the sink is idempotent by batch."""
-    out = folder(spark, "stream")
+    out = storage.folder(spark, "stream")
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
     agg = source.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late).groupBy(F.window("at", window), "event_type").agg(F.count("*").alias("n"))
 
@@ -94,7 +108,7 @@ def stream_counts(folder: str, schema: T.StructType, spark, window: str = "1 hou
 
 def stream_first_seen(folder: str, schema: T.StructType, spark, key: str) -> DataFrame:
     """Each key once, however often and in whatever batch it comes: exactly-once hand-out."""
-    out = folder(spark, "stream")
+    out = storage.folder(spark, "stream")
     source = spark.readStream.schema(schema).parquet(folder).select(key).dropDuplicates([key])
     q = source.writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     q.awaitTermination()

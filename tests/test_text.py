@@ -11,16 +11,16 @@ from tarnstone.sources import readers as R
 
 
 def test_query_terms():
-    assert X.sanitize('report-gen-worker hello"world') == ["report-gen-worker", "helloworld"]
-    assert X.loose_terms("why did we drop CoreML?") == ["drop", "CoreML?"]
-    assert X.loose_terms("what is") == ["what", "is"]
-    assert X.loose_terms("retry") is None and X.loose_terms("- ?") is None
-    assert X.code_terms("How is the DB password stored? see rotate_password()") == ["password", "stored", "see", "rotate_password"]
-    assert X.code_terms("one") == []
-    assert X.trigram_terms("fn sanitize") == ["sanitize"] and X.trigram_terms("fn if") == []
+    assert X.sanitize('night-shift rota "harbour"gate') == ["night-shift", "rota", "harbourgate"]
+    assert X.loose_terms("when did the ferry leave Oslo?") == ["ferry", "leave", "Oslo?"]
+    assert X.loose_terms("who are") == ["who", "are"]
+    assert X.loose_terms("ferry") is None and X.loose_terms("! ;") is None
+    assert X.code_terms("Where do we log ferry times? see load_times()") == ["log", "ferry", "times", "see", "load_times"]
+    assert X.code_terms("ferry") == []
+    assert X.trigram_terms("go harbour") == ["harbour"] and X.trigram_terms("go by") == []
 
 
-@pytest.mark.parametrize("word,parts", [("HTTPServer", ["HTTP", "Server"]), ("utf8Decoder", ["utf8", "Decoder"]), ("CoreML", ["Core", "ML"]), ("getX", ["get"]), ("ipv6", [])])
+@pytest.mark.parametrize("word,parts", [("XMLReader", ["XML", "Reader"]), ("base64Text", ["base64", "Text"]), ("HarbourGT", ["Harbour", "GT"]), ("setQ", ["set"]), ("lane4", [])])
 def test_word_parts(word, parts):
     assert X.word_parts(word) == parts
 
@@ -31,8 +31,8 @@ def test_stem(word, stem):
 
 
 def test_tokens_share_positions():
-    found = X.tokens("a change to FinancialDocuments.")
-    assert [t for t in found if t[0] == 3] == [(3, "financialdocu", False), (3, "financi", True), (3, "document", True)]
+    found = X.tokens("the new HarbourReports.")
+    assert [t for t in found if t[0] == 2] == [(2, "harbourreport", False), (2, "harbour", True), (2, "report", True)]
 
 
 def test_chunk_text():
@@ -43,6 +43,15 @@ def test_chunk_text():
     assert all(len(p) <= 300 for p in parts) and len(parts) > 5
 
 
+def test_chunk_text_by_hand():
+    assert X.split_long("aa bbb cccc", 6) == ["aa", "bbb", "cccc"]  # the window is the first six characters
+    assert X.split_long(" lead", 9) == [" lead"] and X.split_long("abcdefgh ij", 4) == ["abcd", "efgh", "ij"]
+    assert X.chunk_text("  \n ", 10, 2) == ["  \n "] and X.chunk_text("", 10, 2) == [""]
+    assert X.chunk_text("first part\n\nsecond part\n\nthird", 20, 6) == ["first part", "...part\n\nsecond part", "...d part\n\nthird"]
+    assert X.overlap_tail("harbour", 10, 10) == "harbour" and X.overlap_tail("harbour", 10, 6) == "...our" and X.overlap_tail("harbour", 4, 20) == "...bour"
+    assert X.overlap_tail("harbour", 4, 3) == "" and X.overlap_tail("harbour", 0, 9) == ""
+
+
 def test_split_code_keeps_every_line():
     text = "\n".join(f"line {k} " + "x" * (k % 37) for k in range(200))
     pieces = X.split_code(text, 300)
@@ -83,6 +92,25 @@ def test_facts():
     assert facts == [{"key": "a", "value": "b", "type": "project", "supersedes": None, "repo_scope": True, "project": 12}]
     with pytest.raises(ValueError):
         R.distilled_facts('[{"key": "a"}]')
+    assert R.distilled_facts('[{"key": "", "value": "b"}]') == []
+    assert R.distilled_facts('[{"key": "a", "value": "b", "scope": " repo ", "project": "x", "type": 5}]')[0] == {"key": "a", "value": "b", "type": "project", "supersedes": None, "repo_scope": True, "project": None}
+
+
+def test_eval_files():
+    good = "[[query]]\nid = 1\nkind = 'k'\ntext = 'where'\nrelevant = [1]\n"
+    assert R.parsed_queries(good) == [{"id": 1, "kind": "k", "text": "where", "relevant": [1]}]
+    for bad in (good + good, good.replace("kind", "sort"), good.replace("id = 1", "id = 'x'"), good.replace("'where'", "' '"), "top = 1\n"):
+        with pytest.raises(ValueError):
+            R.parsed_queries(bad)
+
+
+def test_wordpiece():
+    from tarnstone.functions.wordpiece import count_tokens, pieces
+
+    known = {"har", "##bour", "##s", "gate", "a"}
+    assert pieces("harbours", known) == ["har", "##bour", "##s"] and pieces("xyz", known) is None and pieces("a" * 101, known) is None
+    assert count_tokens("Harbours, gäte xyz 東京", known) == 3 + 1 + 1 + 1 + 2
+    assert count_tokens("", known) == 0 and count_tokens(None, known) is None and count_tokens("abcde", None) == 2
 
 
 def test_python_symbols():

@@ -15,7 +15,7 @@ QUERIES = catalog.queries()
 def test_large_files_are_admitted_as_text(spark):
     rows = table(spark, SF, "chunks").where("chunk_text IS NOT NULL")
     large = {r.id for r in rows.where("octet_length(chunk_text) > 3000").select("id").collect()}
-    got = {r.id: r.language for r in QUERIES["src_05_admission_whole"](spark, SF).collect()}
+    got = {r.id: r.language for r in QUERIES["src_05_admission"](spark, SF).collect()}
     assert len(large) > 0 and len(got) == rows.count() and {got[i] for i in large} == {"text"}
 
 
@@ -27,5 +27,5 @@ def test_bootstrap_has_2000_resamples(spark, name, of):
 
 def test_all_repos_enter_the_upsert(spark):
     ids = {r.id for r in table(spark, SF, "repos").select("id").collect()}
-    got = [r.id for r in QUERIES["dml_12_repo_upsert_whole"](spark, SF).collect()]
+    got = [r.id for r in QUERIES["dml_12_repo_upsert"](spark, SF).collect()]
     assert max(ids) > 20 and len(got) == len(set(got)) == 2 * len(ids) and {i for i in got if i > 0} == ids
