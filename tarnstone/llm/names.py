@@ -22,7 +22,9 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -308,6 +310,12 @@ def parsed_people(people: DataFrame) -> DataFrame:
     return out.select(*[c.split()[0] for c in PARSED.split(", ")])
 
 
+@lru_cache(CACHE)
+def slips(code: str) -> tuple[str, ...]:
+    """A code and what is left of it without one of its letters."""
+    return (code, *{code[:k] + code[k + 1 :] for k in range(len(code))})
+
+
 def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
@@ -324,13 +332,12 @@ def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 else:
                     marks = {f[0] for f in [*NICKNAMES.get(r.first, "").split(), r.first] if f} or {"?"}
                 # a name of two letters has no slip that leaves it recognisable
-                for form in {f for code in codes for f in (code, *(code[:k] + code[k + 1 :] for k in range(len(code) if len(code) > 2 else 0)))}:
-                    keys |= {f"n{form} {m}" for m in marks}
+                for form in {f for code in codes for f in (slips(code) if len(code) > 2 else (code,))}:
+                    keys.update([f"n{form} {m}" for m in marks])
                 if not r.org and len(r.first) > 1:
                     first, last = phonetic(r.first), phonetic(r.last.replace("-", ""))
-                    slips = min(len(r.first), len(r.last)) > 2
-                    for f, form in [(first, last), *((first[:k] + first[k + 1 :], last) for k in range(len(first) if slips else 0)), *((first, last[:k] + last[k + 1 :]) for k in range(len(last) if slips else 0))]:
-                        keys.add("s" + " ".join(sorted((f, form))))
+                    both = [(f, last) for f in slips(first)] + [(first, f) for f in slips(last)] if min(len(r.first), len(r.last)) > 2 else [(first, last)]
+                    keys.update([f"s{a} {b}" if a <= b else f"s{b} {a}" for a, b in both])
             rows += [(k, r.cid) for k in keys]
         yield pd.DataFrame(rows, columns=["sig", "cid"])
 
@@ -347,14 +354,58 @@ def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(keep, columns=["lo", "hi", "contact", "score"])
 
 
+def meeting_ids(rows: DataFrame) -> DataFrame:
+    """(lo, hi), distinct: the pairs of rows (sig, cid, cell, side) that share sig and cell; of a split sig (side not 0) only
+    pairs of different sides. The rows of a sig are streamed in order and met at growing distance: no row of a sig of its
+    own is joined with anything."""
+
+    def met(sig: np.ndarray, cell: np.ndarray, cid: np.ndarray, side: np.ndarray) -> Iterator[pa.RecordBatch]:
+        out, size, d, last = [], 0, 1, len(sig) - 1
+        i = np.flatnonzero((sig[1:] == sig[:-1]) & (cell[1:] == cell[:-1]))
+        while len(i):
+            keep = (cid[i] != cid[i + d]) & ((side[i] == 0) | (side[i] != side[i + d]))
+            p, q = cid[i[keep]], cid[i[keep] + d]
+            out.append(np.stack([np.minimum(p, q), np.maximum(p, q)]))
+            size, d = size + len(p), d + 1
+            i = i[i + d <= last]
+            i = i[(sig[i + d] == sig[i]) & (cell[i + d] == cell[i])]
+            if size and (size >= 1 << 20 or not len(i)):  # a block of any size is given away in parts
+                got = np.unique(np.concatenate(out, axis=1), axis=1)
+                out, size = [], 0
+                for lo in range(0, got.shape[1], 1 << 18):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + (1 << 18)]) for c in got], names=["lo", "hi"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+
+        def flush(final: bool) -> Iterator[pa.RecordBatch]:
+            cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+            held.clear()
+            if not final:  # the rows of the last sig may go on in the next batch
+                other = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]))
+                stop = other[-1] + 1 if len(other) else 0
+                held.append([c[stop:] for c in cols])
+                cols = [c[:stop] for c in cols]
+            if len(cols[0]) > 1:
+                yield from met(*cols)
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append([c.to_numpy() for c in batch.columns])
+            if sum(len(h[0]) for h in held) >= 1 << 18 and (held[0][0][0] != held[-1][0][-1] or held[0][1][0] != held[-1][1][-1]):
+                yield from flush(False)
+        if held:
+            yield from flush(True)
+
+    near = rows.select("sig", "cell", "cid", "side").repartition("sig", "cell").sortWithinPartitions("sig", "cell")
+    return near.mapInArrow(run, "lo long, hi long").distinct()
+
+
 def scored_pairs(records: DataFrame, hot_rows: int = 20_000) -> DataFrame:
     """(lo, hi, contact, score) of the distinct records (cid, org, first, last, mail, handle) that share a block."""
-    keys = cut(records.mapInPandas(_keys, "sig string, cid long"), "keys")
-    many = keys.groupBy("sig").count().where("count > 1").select("sig")
-    spread = cells(keys.join(many, "sig", "left_semi"), hot_rows)
-    a, b = spread.alias("a"), spread.alias("b")
-    meets = a.join(b, F.expr("a.sig = b.sig AND a.cell = b.cell AND a.cid < b.cid AND (a.side = 0 OR a.side <> b.side)"))
-    pairs = meets.select(F.col("a.cid").alias("lo"), F.col("b.cid").alias("hi")).distinct()
+    keys = records.select("cid", "org", "first", "last", "mail", "handle").mapInPandas(_keys, "sig string, cid long")
+    keys = cut(keys.select(F.xxhash64("sig").alias("sig"), "cid"), "keys")  # another name under the same number is compared in vain
+    pairs = cut(meeting_ids(cells(keys, hot_rows)), "pairs")
     x = records.select(F.col("cid").alias("lo"), "org", "first", "last", "mail", "handle")
     y = records.select(F.col("cid").alias("hi"), *[F.col(c).alias(c + "2") for c in ("org", "first", "last", "mail", "handle")])
     both = pairs.join(x, "lo").join(y, "hi").withColumn("contact", F.coalesce((F.col("mail") == F.col("mail2")) | (F.col("handle") == F.col("handle2")), F.coalesce(F.col("mail") == F.col("mail2"), F.col("handle") == F.col("handle2")), F.lit(False)))
