@@ -68,7 +68,7 @@ def _(s, d):
 _LETTERS = "list_transform(['a', 'b', 'c', 'd', 'e', 'f', 'g', 'h'], lambda c: CAST(length({0}) - length(replace({0}, c, '')) AS DOUBLE))"
 
 
-@query("src_17_embedder", f"SELECT id, list_transform(n, lambda x: round(x / sqrt(list_dot_product(n, n)), 5)) AS vec FROM (SELECT id, {_LETTERS.format(chr(39) + 'passage: ' + chr(39) + ' || value')} AS n FROM memory WHERE trim(value, ' ') <> '')")
+@query("src_17_embedder", f"SELECT id, list_transform(n, lambda x: round(CAST(CAST(x / sqrt(list_dot_product(n, n)) AS FLOAT) AS DOUBLE), 5)) AS vec FROM (SELECT id, {_LETTERS.format(chr(39) + 'passage: ' + chr(39) + ' || value')} AS n FROM memory WHERE trim(value, ' ') <> '')")
 def _(s, d):
     v = EM.embedded(T(s, d, "memory"), "id", "value", EM.Embedder(EM.letters, "passage: ", "query: "))
     return v.select("id", F.transform("vec", lambda x: F.round(x.cast("double"), 5)).alias("vec"))
