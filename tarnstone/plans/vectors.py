@@ -58,7 +58,8 @@ def best_per_record(scored: DataFrame, record: str, tie: str, k: int) -> DataFra
 
 
 def without_overlaps(scored: DataFrame, by: list[str], first: str, last: str, tie: str) -> DataFrame:
-    """Greedily, best first: a chunk stays unless it overlaps one kept before in the same file.
+    """Greedily, best first: a chunk stays unless it overlaps one kept before in the same file. Ends given the wrong way
+    round are taken in order.
 
     Kept chunks don't overlap one another, so a sorted list of their ends tells in logarithmic time whether a new one fits.
     """
@@ -66,7 +67,7 @@ def without_overlaps(scored: DataFrame, by: list[str], first: str, last: str, ti
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["score", tie], ascending=[False, True], ignore_index=True)
         starts, ends, kept = [], [], []
-        for at, (a, b) in enumerate(zip(pdf[first].tolist(), pdf[last].tolist(), strict=True)):
+        for at, (a, b) in enumerate(zip(pdf[[first, last]].min(axis=1).tolist(), pdf[[first, last]].max(axis=1).tolist(), strict=True)):
             k = bisect.bisect_left(ends, a)  # the first kept chunk that doesn't end before this one begins
             if k == len(ends) or starts[k] > b:
                 starts.insert(k, a)

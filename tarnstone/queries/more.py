@@ -16,7 +16,7 @@ from tarnstone.plans import fulltext as FT
 from tarnstone.plans import reports as R
 from tarnstone.plans import vectors as V
 from tarnstone.queries.lifecycle import _RES, _results
-from tarnstone.queries.scalars import low
+from tarnstone.queries.scalars import low, tok
 from tarnstone.queries.search import _LINES, _SIM, _STRICT, DOCS, _scored
 from tarnstone.sources import readers as S
 from tarnstone.storage import table as T
@@ -48,7 +48,17 @@ def _(s, d):
     return folds.packed(c, ["repo_id", "file_path"], "id", "n", 2000).select("id", "pack")
 
 
-@query("win_10_overlaps")
+#: Greedy suppression in SQL: the rows of a file one after the other, with the ends of those kept so far.
+GREEDY = """
+WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY repo_id, file_path ORDER BY score DESC, id) AS k FROM ({0})),
+r AS (SELECT repo_id, file_path, k, [a] AS s, [b] AS e, [id] AS ids FROM o WHERE k = 1
+ UNION ALL SELECT repo_id, file_path, k, CASE WHEN ok THEN list_append(s, a) ELSE s END, CASE WHEN ok THEN list_append(e, b) ELSE e END, CASE WHEN ok THEN list_append(ids, id) ELSE ids END
+ FROM (SELECT o.repo_id, o.file_path, o.k, o.a, o.b, o.id, r.s, r.e, r.ids, len(list_filter(range(1, len(r.s) + 1), lambda i: o.a <= r.e[i] AND o.b >= r.s[i])) = 0 AS ok FROM r JOIN o ON o.repo_id IS NOT DISTINCT FROM r.repo_id AND o.file_path IS NOT DISTINCT FROM r.file_path AND o.k = r.k + 1)),
+f AS (SELECT unnest(ids) AS id FROM r SEMI JOIN (SELECT repo_id, file_path, max(k) AS k FROM o GROUP BY 1, 2) l ON l.repo_id IS NOT DISTINCT FROM r.repo_id AND l.file_path IS NOT DISTINCT FROM r.file_path AND l.k = r.k)
+"""
+
+
+@query("win_10_overlaps", GREEDY.format("SELECT id, repo_id, file_path, start_line AS a, end_line AS b, 1.0::DOUBLE / (chunk_index + 1) AS score FROM chunks WHERE start_line IS NOT NULL AND end_line IS NOT NULL AND start_line <= end_line") + "SELECT id FROM f")
 def _(s, d):
     c = T(s, d, "chunks").where("start_line IS NOT NULL AND end_line IS NOT NULL AND start_line <= end_line")
     scored = c.select("id", "repo_id", "file_path", "start_line", "end_line", (1.0 / (F.col("chunk_index") + 1)).alias("score"))
@@ -398,3 +408,13 @@ def _(s, d):
     near = O.numbered(near, F.col("score").desc(), "doc", name="p", rows=25).select("doc", F.lit(1).alias("tier"), (F.col("p") + 1_000_000_000).alias("input_pos"), "score")
     hits = kw.unionByName(near).withColumns({"type": F.lit("vector"), "tier_place": F.col("input_pos")})
     return E.ranked(hits, E.rankers(F.lit(False))).select("ranker", "doc", F.col("place").cast("bigint").alias("place"))
+
+
+@query("vec_06_without_overlaps", GREEDY.format(f"SELECT id, repo_id, file_path, least(start_line, end_line) AS a, greatest(start_line, end_line) AS b, score FROM (SELECT *, len(list_filter(['store', 'retry', 'lock', 'return'], lambda q: list_contains({tok('chunk_text')}, q))) / 4 AS score FROM chunks WHERE chunk_text IS NOT NULL AND start_line IS NOT NULL AND end_line IS NOT NULL) WHERE score > 0") + "SELECT c.id, c.repo_id, c.file_path, c.start_line, c.end_line, o.score FROM f JOIN chunks c USING (id) JOIN o USING (id)")
+def _(s, d):
+    """Chunks best first, none that overlaps a better one of its file (score: share of query terms)."""
+    w = F.array_distinct(X.simple_tokens("chunk_text"))
+    q = F.array(*[F.lit(t) for t in ("store", "retry", "lock", "return")])
+    c = T(s, d, "chunks").where("chunk_text IS NOT NULL AND start_line IS NOT NULL AND end_line IS NOT NULL")
+    scored = c.select("id", "repo_id", "file_path", "start_line", "end_line", X.overlap_ratio(q, w).alias("score"))
+    return V.without_overlaps(scored.where("score > 0"), ["repo_id", "file_path"], "start_line", "end_line", "id")

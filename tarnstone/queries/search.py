@@ -152,16 +152,6 @@ def _(s, d):
     return _scored(s, d).groupBy("label").agg(F.round(F.avg("score"), 6).alias("score"))
 
 
-@query("vec_06_without_overlaps")
-def _(s, d):
-    """Chunks best first, none that overlaps a better one of its file (score: share of query terms)."""
-    w = F.array_distinct(X.simple_tokens("chunk_text"))
-    q = F.array(*[F.lit(t) for t in ("store", "retry", "lock", "return")])
-    c = T(s, d, "chunks").where("chunk_text IS NOT NULL AND start_line IS NOT NULL AND end_line IS NOT NULL")
-    scored = c.select("id", "repo_id", "file_path", "start_line", "end_line", X.overlap_ratio(q, w).alias("score"))
-    return V.without_overlaps(scored.where("score > 0"), ["repo_id", "file_path"], "start_line", "end_line", "id")
-
-
 @query("vec_07_scores_of_hits", f"WITH {_SIM} SELECT vec_id, round(score, 6) AS score FROM s WHERE vec_id IN (SELECT doc_id FROM documents WHERE kind = 'code')")
 def _(s, d):
     hits = T(s, d, "documents").where("kind = 'code'").select(F.col("doc_id").cast("int").alias("vec_id"))

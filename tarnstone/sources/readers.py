@@ -28,7 +28,8 @@ SKIPPED_NOTES = ("MEMORY", "AGENTS", "README", "INDEX")
 def language(path: Column) -> Column:
     """The language of a path by its extension, null if there is no rule."""
     table = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])
-    return F.element_at(table, F.element_at(F.split(F.element_at(F.split(path, "/"), -1), r"\."), -1))
+    parts = F.split(F.element_at(F.split(path, "/"), -1), r"\.")  # a name without a dot has no extension
+    return F.when(F.size(parts) > 1, F.element_at(table, F.element_at(parts, -1)))
 
 
 def indexable(path: Column) -> Column:

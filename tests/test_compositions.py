@@ -123,3 +123,10 @@ def test_range_and_settings(spark):
 
     df = spark.createDataFrame([(1, None), (2, 5000), (3, 10), (4, 700)], "id int, flag int")
     assert [r.x for r in df.select(R.setting([F.col("flag")], 800, 200, 4000).alias("x")).collect()] == [800, 4000, 200, 700]
+
+
+def test_language_needs_an_extension(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("src/go",), ("sql",), ("a.go",), ("b.tar.py",), (".md",), ("x.zz",), (None,)], "path string")
+    assert [r.x for r in df.select(R.language(F.col("path")).alias("x")).collect()] == [None, None, "go", "python", "markdown", None, None]
