@@ -201,13 +201,14 @@ def segments(text: str, who: Labels) -> list[Segment]:
     """The segments of a transcript in any known layout; without a known label there is none."""
     lines = re.split(r"\r\n|\n|\r", text)
     full = [x for x in lines if x.strip()]
-    if any(_CUE.match(x) for x in full):
+    if "-->" in text and any(_CUE.match(x) for x in full):
         return _captions(lines, who)
     if sum(x.lstrip().startswith("{") for x in full) * 2 > len(full):
         return _json_lines(full)
 
+    # a plain look at the line spares most of them the pattern
     def lead(line: str) -> Segment | None:
-        m = _LEAD.match(line)
+        m = _LEAD.match(line) if line.lstrip()[:1] in ("[", "(") else None
         if not m:
             return None
         p = _PLAIN.match(m[2])
@@ -220,20 +221,20 @@ def segments(text: str, who: Labels) -> list[Segment]:
         return seconds(m[1]), None, None, m[2]
 
     def after(line: str) -> Segment | None:
-        m = _AFTER.match(line)
+        m = _AFTER.match(line) if "):" in line else None
         return (seconds(m[2] or m[5]), None, m[1] or m[4], m[3] if m[2] else m[6]) if m else None
 
     def head(line: str) -> Segment | None:
-        m = _HEAD.match(line)
+        m = _HEAD.match(line) if line.rstrip()[-1:].isdigit() else None
         return (seconds(m[2]), None, m[1], "") if m else None
 
     def plain(line: str) -> Segment | None:
-        m = _PLAIN.match(line)
+        m = _PLAIN.match(line) if ":" in line else None
         label = m and (m[1] or m[3])
         return (None, None, label, m[2] or "") if label and who(label) is not None else None
 
     def dash(line: str) -> Segment | None:
-        m = _DASH.match(line)
+        m = _DASH.match(line) if any(sign in line for sign in "-–—") else None
         return (None, None, m[1], m[2]) if m and who(m[1]) is not None else None
 
     def clocked(line: str) -> Segment | None:
