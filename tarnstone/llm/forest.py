@@ -30,10 +30,10 @@ from pyspark.sql import functions as F
 
 from tarnstone.storage import cut
 
-TREES, BITS, SKETCH, REACH = 20, 32, 256, 64
+TREES, BITS, SKETCH, REACH = 20, 32, 256, 192
 DIM, FLOOR, K, SEED = 384, 0.8, 5, 20
 #: Neighbours to one side with a like sketch from which a row is crowded.
-CROWD = 48
+CROWD = 144
 PAIR, CROWDED, COPY = 0, 1, 2
 #: Vectors whose strings decide where the sorted array is cut.
 SAMPLE = 8192
